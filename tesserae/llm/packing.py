@@ -155,7 +155,7 @@ def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     where = places(plan(counts, capacity))
     keep = [c for c in cuts.columns if c != "grp"]
     inner = Window.partitionBy("length", "grp").orderBy("doc_id", "piece", "start", "ids_crc32")
-    numbered = cuts.withColumn("in_grp", F.row_number().over(inner) - 1).join(first.select("length", "grp", "first"), ["length", "grp"])
+    numbered = cuts.withColumn("in_grp", F.row_number().over(inner) - 1).join(first.select("length", "grp", "first").hint("merge"), ["length", "grp"])
     numbered = numbered.select(*keep, (F.col("first") + F.col("in_grp")).cast("long").alias("number"))
     schema = numbered.drop("number").schema.add("sequence_id", "long").add("offset", "long")
 
