@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import packing, simhash, suffixes
+from tesserae.llm import divergence, language, packing, resampling, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -32,7 +36,16 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_array_dedup, op5_best_fit_packing, op6_simhash_near_dedup)}
+def op7_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, docs.where(~language.held_out())).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "weight", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_distribution_divergence, op2_suffix_array_dedup, op5_best_fit_packing, op6_simhash_near_dedup, op7_string_kernel_language, op9_importance_resampling)}
 
 #: No operator here is expressible in SQL over whole tables; each is held against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
