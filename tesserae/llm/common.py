@@ -43,7 +43,13 @@ def settle(df: DataFrame, *drop: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tesserae-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     for p in drop:
         remove(spark, p)

@@ -5,11 +5,11 @@ are pairs (rank at p, rank at p + h) renamed. A document never leaves its task,
 1, 2, 4, 8, 16 and 32 of its positions are doubled there, as 64-bit names; what tasks exchange, sort and
 rerank are the ranks of lengths that can tell documents apart:
 
-1. length 20, at one sampled position per window of `length` bytes: the leftmost smallest rank in it. Equal
+1. length 26, at one sampled position per window of `length` bytes: the leftmost smallest rank in it. Equal
    windows sample equal positions, wherever they stand, so a window whose rank is found in one document
    only is unique and its positions are discarded.
 2. runs: the consecutive windows that share a sampled position, named by all their bytes. A run that also
-   stands in a smaller document is settled as a whole. A run that doesn't, but whose rank of length 20
+   stands in a smaller document is settled as a whole. A run that doesn't, but whose rank of length 26
    has other continuations elsewhere, goes on.
 3. length 50 (`length`), at every position of those runs only: rank pairs (p, p + 18) of length 32.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import BUCKETS_PER_PARTITION, bucketed, by_bucket, chunked, exchange, flat, longs, partitions, remove, settle
 
 LENGTH = 50
-SAMPLE = 20
-TILE = 1 << 19
+SAMPLE = 26
+TILE = 1 << 16
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _S29, _S32 = np.uint64(29), np.uint64(32)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64)
@@ -51,55 +51,50 @@ class Runs:
     """Runs of windows of one chunk: document index, first and last window start, rank of the sampled position, name of the run."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, length: int = LENGTH):
-        parts = [self._tile(data, off, a, b, i, j, length) for a, b, i, j in _tiles(off, length)]
-        self.doc, self.first, self.last, self.rank, self.name = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.int64, np.uint64, np.uint64)))
-        self.data, self.length = data, length
+        self.data, self.length, self.tiles = data, length, list(_tiles(off, length))
+        parts = [self._tile(off, *tile) for tile in self.tiles]
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+        self.doc, self.first, self.last, self.rank, self.name = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t) for k, t in enumerate(kinds))
 
-    @staticmethod
-    def _tile(data, off, a, b, i, j, length):
+    def _tile(self, off, a, b, i, j):
         """Windows that start in bytes a..b of documents i..j."""
-        r16, r32 = _ranks(data[a:b])
-        n = b - a - length + 1
+        length = self.length
+        r16, r32 = _ranks(self.data[a:b])
         rank = pair(r16[: len(r16) - (SAMPLE - 16)], r16[SAMPLE - 16 :])
-        at = _leftmost(rank, length - SAMPLE + 1)[:n]
-        ends = np.repeat(np.minimum(off[i + 1 : j + 1], b) - a, np.diff(np.r_[a, np.minimum(off[i + 1 : j + 1], b)]))[:n]
-        inside = np.flatnonzero(np.arange(length, n + length) <= ends)
-        if not len(inside):
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-        cut = np.flatnonzero(np.r_[True, (at[inside[1:]] != at[inside[:-1]]) | (inside[1:] != inside[:-1] + 1)])
-        first, last = inside[cut], inside[np.r_[cut[1:] - 1, len(inside) - 1]]
+        at = _leftmost(rank, length - SAMPLE + 1)
+        n = len(at)
+        heads, ends = np.maximum(off[i:j] - a, 0), np.minimum(off[i + 1 : j + 1], b) - a
+        new = np.ones(n + 1, bool)
+        new[1:n] = at[1:] != at[:-1]
+        new[heads[heads < n]] = True
+        stops = np.maximum(ends - length + 1, heads)  # windows from here on reach into the next document
+        new[stops[stops < n]] = True
+        edges = np.flatnonzero(new)
+        first, last = edges[:-1], edges[1:] - 1
+        doc = np.searchsorted(heads, first, "right") - 1
+        ok = first + length <= ends[doc]
+        first, last, doc = first[ok], last[ok], doc[ok]
         p, size = at[first], last - first + length  # sizes run from length to 2 * length - SAMPLE
         name = pair(r32[first], r32[first + size - 32])
         for step in range(24, 2 * length - SAMPLE - 32, 24):
             name = pair(name, r32[first + np.minimum(step, size - 32)])
         name = pair(name, pair(rank[p], ((size.astype(np.uint64) << np.uint64(20)) | (p - first).astype(np.uint64)) * _M3))
-        doc = np.searchsorted(off, first + a, "right") - 1
-        return doc, first + a, last + a, rank[p], name
+        return doc + i, first + a, last + a, rank[p], name
 
     def windows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the picked runs: document index, start and rank of length `length` of every window."""
+        """Of the runs picked (ascending): document index, start and rank of length `length` of every window."""
         first, size = self.first[pick], self.last[pick] - self.first[pick] + 1
         starts = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        ranks = np.zeros(len(starts), np.uint64)
-        for i in range(0, len(starts), 1 << 14):
-            s = starts[i : i + (1 << 14)]
-            r = _BYTE[self.data[s[:, None] + np.arange(self.length)[None, :]]]
-            ranks[i : i + (1 << 14)] = _fold(r)
+        ranks, done = np.zeros(len(starts), np.uint64), 0
+        for a, b, _, _ in self.tiles:
+            upto = np.searchsorted(starts, b - self.length, "right")
+            if upto > done:
+                r32, at = _ranks(self.data[a:b])[1], starts[done:upto] - a
+                ranks[done:upto] = pair(r32[at], r32[at + self.length - 32])
+                done = upto
         return np.repeat(self.doc[pick], size), starts, ranks
 
 
-def _fold(r: np.ndarray) -> np.ndarray:
-    """Names of rows of ranks of length 1, doubled as for positions; the last step takes the overlapping pair."""
-    h, n = 1, r.shape[1]
-    while 2 * h <= n and h < 32:
-        r = pair(r[:, :-h], r[:, h:])
-        h *= 2
-    out = r[:, 0]
-    for step in range(h, n - h + 1, h):
-        out = pair(out, r[:, step])
-    return pair(out, r[:, n - h])
-
-
 def _ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranks of lengths 16 and 32 of all positions that have as many bytes after them."""
     r, h = _BYTE[data], 1
@@ -109,15 +104,15 @@ def _ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r, pair(r[:-16], r[16:])
 
 
-def _leftmost(v: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` values, the position of the leftmost smallest."""
-    at, w = np.arange(len(v), dtype=np.int32), 1
+def _leftmost(rank: np.ndarray, width: int) -> np.ndarray:
+    """For each window of `width` ranks, the position of the smallest, by all but its lowest 17 bits; the leftmost of equals."""
+    low = np.uint64((1 << 17) - 1)
+    v, w = (rank & ~low) | np.arange(len(rank), dtype=np.uint64), 1
     while w < width:
         step = min(w, width - w)
-        right = v[step:] < v[:-step]
-        v, at = np.where(right, v[step:], v[:-step]), np.where(right, at[step:], at[:-step])
+        v = np.minimum(v[:-step], v[step:])
         w += step
-    return at
+    return (v & low).astype(np.int64)
 
 
 def _tiles(off: np.ndarray, length: int):
@@ -203,7 +198,7 @@ def _received(t: pa.Table):
     return (one, two, np.concatenate(docs), mark), told
 
 
-# Round 1: ranks of length 20 at sampled positions; found: (document, rank) whose rank stands in more than one document.
+# Round 1: ranks of length 26 at sampled positions; found: (document, rank) whose rank stands in more than one document.
 
 
 def _round1_send(batches, n, length):
@@ -324,7 +319,7 @@ def _covered(runs: Runs, whole: pa.ChunkedArray, windows: pa.ChunkedArray, looke
     return np.cumsum(step[:-1]) > 0
 
 
-def _cut(batches, length, keep):
+def _cut(batches, length, keep, as_text):
     for t in chunked(batches):
         data, off = flat(t.column("text"))
         todo = Runs(data, off, length) if any(len(t.column(c).combine_chunks().flatten()) for c in ("whole", "windows")) else None
@@ -338,20 +333,21 @@ def _cut(batches, length, keep):
         left = data[~gone]
         cuts = np.r_[0, np.cumsum(~gone)][off]
         kept = [left[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-        cols = [pa.array(np.diff(off)), pa.array(sums[off[1:]] - sums[off[:-1]]), pa.array(spans[off[1:]] - spans[off[:-1]]), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())]
+        cols = [pa.array(np.diff(off)), pa.array(sums[off[1:]] - sums[off[:-1]]), pa.array(spans[off[1:]] - spans[off[:-1]]), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array([None if null else x.decode(errors="ignore") for x, null in zip(kept, t.column("text").is_null().to_pylist())], pa.string()) if as_text else pa.array(kept, pa.binary())]
         yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in keep), *cols], [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
     """Takes out of each text every byte covered by a `length`-byte string that also starts in a document with a smaller doc_id.
 
-    Returns the columns `keep`, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left).
+    Returns the columns `keep`, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left;
+    as_text: as a string, without the bytes that are no character any more, null for a null text).
     Strings never cross documents and are judged on the input. Null text: empty. Rows with one doc_id
     are parts of one document: they don't count as smaller than each other. Rows with a null doc_id are
-    returned whole, and take nothing from others. `length` from 40 to 90.
+    returned whole, and take nothing from others. `length` from 40 to 64.
     """
-    if not 40 <= length <= 90:
-        raise ValueError("length must lie between 40 and 90")
+    if not 40 <= length <= 64:
+        raise ValueError("length must lie between 40 and 64")
     spark = docs.sparkSession
     n = partitions(spark)
     nb = n * BUCKETS_PER_PARTITION
@@ -373,6 +369,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
     none = F.expr("array()").cast("array<long>")
     whole = docs.join(lists, "doc_id", "left").select(*columns, *(F.coalesce(c, none).alias(c) for c in ("whole", "looked", "windows")))
     schema = docs.select(*keep).schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary")):
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string" if as_text else "binary")):
         schema = schema.add(name, kind)
-    return whole.mapInArrow(lambda it: _cut(it, length, keep), schema)
+    return whole.mapInArrow(lambda it: _cut(it, length, keep, as_text), schema)
