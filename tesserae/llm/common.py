@@ -6,6 +6,7 @@ reread from a table in the shared checkpoint folder, so a lost executor costs on
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -17,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Hash buckets of an exchange for each of its partitions; more even out the partitions.
-BUCKETS_PER_PARTITION = 16
+#: Hash buckets of an exchange for each of its partitions; a task holds one bucket at a time.
+BUCKETS_PER_PARTITION = 4
 #: Bytes of text that a task gathers before it sends what it found.
 CHUNK_BYTES = 24 << 20
 
@@ -43,13 +44,8 @@ def settle(df: DataFrame, *drop: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tesserae-{uuid.uuid4().hex}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, None)
-    spark.conf.set(cleanup, "true")
-    try:
+    with shuffles_removed(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     for p in drop:
         remove(spark, p)
@@ -58,6 +54,18 @@ def settle(df: DataFrame, *drop: str) -> tuple[DataFrame, str]:
     return out, path
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run meanwhile remove their shuffle files when they end."""
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let go of shuffle files of finished queries."""
     gc.collect()
@@ -124,8 +132,8 @@ def bucketed(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def exchange(df: DataFrame, n_partitions: int) -> DataFrame:
-    """Deals rows by their column bucket; each partition then holds its buckets one after another."""
-    return df.repartition(n_partitions, "bucket").sortWithinPartitions("bucket")
+    """Deals rows by their column bucket, evenly; each partition then holds its buckets one after another."""
+    return df.repartitionById(n_partitions, F.pmod(F.col("bucket"), F.lit(n_partitions)).cast("int")).sortWithinPartitions("bucket")
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -167,7 +175,8 @@ def add_up(df: DataFrame, n: int, ways: int = 32) -> np.ndarray:
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["v"])
 
-    rows = df.select("v").repartition(ways).mapInArrow(total, "v binary").collect()
+    with shuffles_removed(df.sparkSession):
+        rows = df.select("v").repartition(ways).mapInArrow(total, "v binary").collect()
     return sum((np.frombuffer(r.v, np.float64) for r in rows), np.zeros(n))
 
 
