@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import add_up, chunked, longs, settle
+from tesserae.llm.common import add_up, chunked, longs, remove, settle
 
 BUCKETS = 10_000
 SEED = 7
@@ -134,12 +134,15 @@ def classify(docs: DataFrame, labels: DataFrame, missed: float = MISSED, tempera
     known = docs.select("doc_id", "text").join(target, F.col("doc_id") == F.col("label_id"), "left").select("text", (F.col("is_target") & ~held).alias("target"))
     ratio = models(known, buckets)
     flagged = target.where(F.col("is_target") & held).select("label_id")
-    scored, _ = settle(weights(docs, ratio, temperature, seed))
-    of_target = scored.select(F.col("doc_id").cast("long").alias("label_id"), "weight").join(flagged, "label_id", "left_semi")
+    scored = weights(docs, ratio, temperature, seed)
+    keys, p_keys = settle(weights(docs.select("doc_id", "text"), ratio, temperature, seed).drop("text"))
+    of_target, p_target = settle(keys.select(F.col("doc_id").cast("long").alias("label_id"), "weight").join(flagged, "label_id", "left_semi"))
     n_target = of_target.count()
     if not n_target:
         return scored.drop("key").withColumn("kept", F.lit(True))
     cut = kth_largest(of_target, "weight", n_target - int(missed * n_target))
-    k = scored.where(F.col("weight") >= cut).count()
-    last = kth_largest(scored, "key", k)
+    k = keys.where(F.col("weight") >= cut).count()
+    last = kth_largest(keys, "key", k)
+    for p in (p_keys, p_target):
+        remove(docs.sparkSession, p)
     return scored.withColumn("kept", F.col("key") >= last).drop("key")
