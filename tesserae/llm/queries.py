@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import divergence, language, packing, resampling, simhash, suffixes
+from tesserae.llm import divergence, hmm, language, packing, resampling, simhash, suffixes, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -45,7 +49,11 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "weight", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_distribution_divergence, op2_suffix_array_dedup, op5_best_fit_packing, op6_simhash_near_dedup, op7_string_kernel_language, op9_importance_resampling)}
+def op10_hidden_markov_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_distribution_divergence, op2_suffix_array_dedup, op3_link_graph_urls, op5_best_fit_packing, op6_simhash_near_dedup, op7_string_kernel_language, op9_importance_resampling, op10_hidden_markov_scoring)}
 
 #: No operator here is expressible in SQL over whole tables; each is held against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
