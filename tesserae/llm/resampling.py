@@ -131,7 +131,8 @@ def classify(docs: DataFrame, labels: DataFrame, missed: float = MISSED, tempera
     """
     target = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("is_target"))
     held = F.pmod(F.xxhash64("label_id"), F.lit(HOLD_OUT)) == 0
-    known = docs.select("doc_id", "text").join(target, F.col("doc_id") == F.col("label_id"), "left").select("text", (F.col("is_target") & ~held).alias("target"))
+    # A merge join at every size: labels grow with the documents.
+    known = docs.select("doc_id", "text").join(target.hint("merge"), F.col("doc_id") == F.col("label_id"), "left").select("text", (F.col("is_target") & ~held).alias("target"))
     ratio = models(known, buckets)
     flagged = target.where(F.col("is_target") & held).select("label_id")
     scored = weights(docs, ratio, temperature, seed)
