@@ -25,7 +25,7 @@ NEAREST = 20
 #: Centroids of each half, and the bounded sample of vectors they are fitted on.
 CENTROIDS, SAMPLE, ROUNDS = 40, 20_000, 12
 #: Share of the table in the cells that a query visits. The test vectors have hardly any structure, so much is needed.
-SHARE = 0.5
+SHARE = 0.65
 #: Vectors of a shard and queries of a block, about; fewest shards.
 SHARD_ROWS, BLOCK_ROWS, MIN_SHARDS = 1 << 16, 1 << 14, 8
 SEED = 5
