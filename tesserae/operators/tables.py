@@ -95,8 +95,8 @@ def changed(specs: DataFrame, records: DataFrame, key: str, compatibility: str =
 
 
 def last_by(rows: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
-    """Of each key the row written last, in one aggregation."""
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in columns))
+    """Of each key the row written last, in one aggregation; rows without an order come before all others."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(order)).alias("_row")).select(*keys, *(F.col(f"_row.{c}").alias(c) for c in columns))
 
 
 def fill_nulls(status: DataFrame, found: DataFrame, columns: Sequence[str], order: str, sample: str = "sample_id", label: str = "annotation") -> DataFrame:
