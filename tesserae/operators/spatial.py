@@ -45,3 +45,21 @@ def explode_rois(slides: DataFrame, coordinates: str = "coordinates") -> DataFra
     """One row for each (x, y) of an array of pairs; slides without any drop out."""
     pairs = slides.select("*", F.posexplode(coordinates).alias("roi_index", "_c"))
     return pairs.select(*(c for c in slides.columns if c != coordinates), "roi_index", F.col("_c")[0].alias("x"), F.col("_c")[1].alias("y"))
+
+
+def grid_tiles(slides: DataFrame, size: int, overlap: float = 0.0, width: str = "width", height: str = "height") -> DataFrame:
+    """All whole tiles of each slide, by rows, with their index. Slides smaller than a tile drop out."""
+    if not 0 <= overlap < 1:
+        raise ValueError("an overlap is a part of a tile")
+    stride = max(1, round(size * (1 - overlap)))
+    starts = lambda side: F.sequence(F.lit(0), F.col(side).cast("int") - size, F.lit(stride))
+    fits = slides.where((F.col(width) >= size) & (F.col(height) >= size))
+    rows = fits.select("*", F.posexplode(starts(height)).alias("_r", "y"), F.size(starts(width)).alias("_n"))
+    out = rows.select("*", F.posexplode(starts(width)).alias("_c", "x"))
+    index = F.col("_r").cast("long") * F.col("_n") + F.col("_c")
+    return out.select(*(c for c in slides.columns if c not in (width, height)), index.alias("tile_index"), "x", "y")
+
+
+def supertile_reads(tiles: DataFrame, keys: Sequence[str], group: str, order: str) -> DataFrame:
+    """One row for each read: a group of tiles, their number, the first in order and all of them to be cut out."""
+    return tiles.groupBy(*keys, group).agg(F.count("*").alias("tiles"), F.min(order).alias("first"), F.array_sort(F.collect_list(order)).alias("members"))

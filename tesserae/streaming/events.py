@@ -41,10 +41,22 @@ def bridged(events: DataFrame, kinds=BRIDGED) -> DataFrame:
 
 
 def throttled(lines: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """Of lines (key, line, ts) in a table: drops a line that repeats the one just before it within a time."""
+    """Of lines (key, line, ts) in a table: drops a line that repeats the last one shown for its key within a time.
+
+    Lines are cut into runs of equal ones; what is shown of a run depends on all before it in the run, so each
+    run is a fold over its times alone. Further columns are not kept.
+    """
     w = Window.partitionBy("key").orderBy("ts", "line")
-    same = F.lag("line").over(w).eqNullSafe(F.col("line")) & (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) < int(seconds * 1e6))
-    return lines.withColumn("_same", F.coalesce(same, F.lit(False))).where("NOT _same").drop("_same")
+    fresh = ~F.col("line").eqNullSafe(F.lag("line").over(w)) | F.lag(F.lit(1)).over(w).isNull()
+    runs = lines.select("key", "line", "ts", fresh.cast("int").alias("_new")).withColumn("_run", F.sum("_new").over(w)).groupBy("key", "_run", "line").agg(F.array_sort(F.collect_list("ts")).alias("_ts"))
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    none = F.slice("_ts", 1, 0)
+
+    def step(shown, t):
+        last = F.get(shown, F.size(shown) - 1)
+        return F.when(last.isNull() | (micros(t) - micros(last) >= int(seconds * 1e6)), F.array_append(shown, t)).otherwise(shown)
+
+    return runs.select("key", "line", F.explode(F.aggregate("_ts", none, step)).alias("ts"))
 
 
 def throttled_stream(lines: DataFrame, seconds: str = "1 second") -> DataFrame:

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tesserae.plans import catalogue
+from tesserae.plans import registered
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,12 +34,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(registered.QUERIES))
 def test_query(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, DATA)
+    df = registered.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     ours = Counter(repr(tuple(plain(r[c]) for c in cols)) for r in df.collect())
-    got = duck.execute(catalogue.ORACLE_SQL[name])
+    got = duck.execute(registered.ORACLE_SQL[name])
     names = [d[0] for d in got.description]
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
