@@ -110,13 +110,13 @@ def supertile_reads(spark, sf_dir):
     WITH f AS (SELECT o_orderkey, o_totalprice / 500000 AS s0 FROM orders), l AS (SELECT o_orderkey, level, s0 * d AS spacing FROM f, (VALUES (0, 1.0), (1, 2.0), (2, 4.0)) v(level, d)),
     near AS (SELECT o_orderkey, min_by(level, abs(spacing - 0.5)) AS level, min_by(spacing, abs(spacing - 0.5)) AS spacing FROM l WHERE abs(spacing - 0.5) <= 0.025 GROUP BY 1),
     finer AS (SELECT o_orderkey, max_by(level, spacing) AS level, max(spacing) AS spacing FROM l WHERE spacing <= 0.5 GROUP BY 1)
-    SELECT o_orderkey, coalesce(near.level, finer.level, 0) AS level, near.level IS NOT NULL AS within, round(coalesce(near.spacing, finer.spacing, s0), 6) AS read_spacing,
+    SELECT o_orderkey, coalesce(near.level, finer.level, 0) AS level, near.level IS NOT NULL AS within, CAST(round(coalesce(near.spacing, finer.spacing, s0) * 50000000) AS BIGINT) AS read_spacing,
       CASE WHEN near.level IS NOT NULL THEN 1000 ELSE CAST(round_even(1000 * (coalesce(finer.spacing, s0) / 0.5), 0) AS INTEGER) END AS output_height
     FROM f LEFT JOIN near USING (o_orderkey) LEFT JOIN finer USING (o_orderkey)""")
 def level_read_plan(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", records.level_choice(F.lit(0.5), F.col("o_totalprice") / 500000, F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)), 0.05).alias("c"))
     p = o.select("o_orderkey", records.image_plan("c", F.lit(1000), F.lit(800), F.lit(0.5)).alias("p"))
-    return p.select("o_orderkey", F.col("p.read_level").alias("level"), F.col("p.is_within_tolerance").alias("within"), F.round("p.read_spacing_um", 6).alias("read_spacing"), F.col("p.output_size")[0].alias("output_height"))
+    return p.select("o_orderkey", F.col("p.read_level").alias("level"), F.col("p.is_within_tolerance").alias("within"), F.round(F.col("p.read_spacing_um") * 50000000).cast("long").alias("read_spacing"), F.col("p.output_size")[0].alias("output_height"))
 
 
 # Records and units
@@ -154,10 +154,10 @@ def last_bag_wins(spark, sf_dir):
     return aggregate.nested(last, "l_orderkey", "label", "bag").select("l_orderkey", F.map_keys("bags").alias("labels"), F.map_values("bags").alias("bags"))
 
 
-@query("SELECT l_orderkey, l_returnflag AS label, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber::BIGINT * 1000000000 + l_partkey)) AS place FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_orderkey, l_returnflag AS label, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber::BIGINT * 1000000000 + l_partkey), l_returnflag) AS place FROM lineitem GROUP BY 1, 2")
 def first_seen_labels(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("label")).agg(F.min(F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")).alias("o"))
-    return t.select("l_orderkey", "label", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("o")).alias("place"))
+    return t.select("l_orderkey", "label", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("o", "label")).alias("place"))
 
 
 @query("SELECT o_orderkey, CAST(count(DISTINCT l_returnflag) AS BIGINT) AS classes, coalesce(bool_and(l_linestatus = 'F'), false) AS ready FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
