@@ -98,3 +98,18 @@ def trials(spark: SparkSession, paths: Sequence[str], numbers: Sequence[str]) ->
     """Trial results of several files; the named columns as doubles, blanks null."""
     df = text_csv(spark, paths)
     return df.select(*(F.col(c).try_cast("double").alias(c) if c in numbers else F.col(c) for c in df.columns))
+
+
+def save_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> bool:
+    """Writes a folder of CSV parts with headers; nothing, and False, without rows."""
+    if rows.isEmpty():
+        return False
+    rows.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    return True
+
+
+def save_slides(rows: DataFrame, path: str) -> bool:
+    """A slide manifest that `slides` reads back; columns without any value are left out, but for id and path."""
+    optional = [c for c in ("mask_path", "spacing_at_level_0") if c in rows.columns]
+    used = rows.agg(*(F.count(c).alias(c) for c in optional)).first() if optional else {}
+    return save_csv(rows.select("sample_id", "image_path", *(c for c in optional if used[c])), path)

@@ -88,9 +88,9 @@ def stage_durations(events: DataFrame, key: str, kind: str, time: str, stages: d
 
     One aggregation by key: the number of stages is fixed, so nothing is pivoted by data.
     """
-    t = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
+    t = F.unix_micros(F.col(time).cast("timestamp"))
     first = lambda k: F.min(F.when(F.col(kind) == k, t))
-    return events.groupBy(key).agg(*(F.round(first(b) - first(a), digits).alias(name) for name, (a, b) in stages.items()))
+    return events.groupBy(key).agg(*(F.round((first(b) - first(a)) / 1e6, digits).alias(name) for name, (a, b) in stages.items()))
 
 
 def paired_seconds(events: DataFrame, key: list[str], kind: str, time: str, order: list[str], start: str, end: str, out: str = "seconds", digits: int = 4) -> DataFrame:
