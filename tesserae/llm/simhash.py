@@ -3,9 +3,11 @@
 A fingerprint is cut in two 32-bit segments. Two fingerprints that differ in at most 3 bits differ in
 at most 1 bit in one of the segments, so each fingerprint is put in the table under its own segment
 values and looks up the Hamming ball of radius 1 around them; what meets is verified on all 64 bits.
-Copies meet first: the tables hold each distinct fingerprint once. In a table entry with many members
-links are found through the bytes of the other segment and only a spanning forest of them leaves the
-task, so a group of near copies never yields its pairs. Components then take the smallest document.
+Copies meet first: the tables hold each distinct fingerprint once. Table entries that hold a large share of
+the fingerprints are dealt by the bytes of the other segment: at most 3 bits of its 4 bytes differ, so
+linked fingerprints still meet under one of them. Within an entry links are found in the same way and only
+a spanning forest of them leaves the task, so a group of near copies never yields its pairs. Components
+then take the smallest document.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ SEED = 42
 MAX_BITS = 3
 #: Members of a table entry up to which all of them are compared at once.
 SMALL_ENTRY = 4096
+#: Owners of a table entry over which it and its neighbours are dealt by bytes; raised so that there are at most HOT_ENTRIES of them.
+LARGE_ENTRY, HOT_ENTRIES = 1 << 16, 20_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -55,38 +59,65 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _probes(batches, n_buckets: int):
-    """Table entries (owner) and look-ups (not owner) of both segments, by bucket."""
+def _probes(batches, n_buckets: int, hot: np.ndarray):
+    """Table entries (owner) and look-ups (not owner) of both segments, by bucket.
+
+    Keys are the segment's value and number. Those in `hot` (ascending) are sent four times instead, each
+    with one byte of the other segment in the key.
+    """
     flips = np.concatenate([[0], 1 << np.arange(32)]).astype(np.uint64)
     for b in batches:
         fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         for seg in (0, 1):
             value = (fp >> np.uint64(32 * seg)) & np.uint64(0xFFFFFFFF)
             key = ((value[:, None] ^ flips[None, :]) << np.uint64(1) | np.uint64(seg)).ravel()
+            of, own = np.repeat(fp, 33), np.tile(np.arange(33) == 0, len(fp))
+            if len(hot):
+                is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                split, split_of, split_own = key[is_hot], of[is_hot], own[is_hot]
+                key, of, own = [key[~is_hot]], [of[~is_hot]], [own[~is_hot]]
+                for byte in range(4):
+                    shared = (split_of >> np.uint64(32 * (1 - seg) + 8 * byte)) & np.uint64(255)
+                    key.append(split | np.uint64((4 + byte) << 33) | shared << np.uint64(36))
+                    of.append(split_of)
+                    own.append(split_own)
+                key, of, own = map(np.concatenate, (key, of, own))
             spread = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
             bucket = ((spread * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int32)
-            own = np.tile(np.arange(33) == 0, len(fp))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key.view(np.int64)), pa.array(np.repeat(fp, 33).view(np.int64)), pa.array(own)], ["bucket", "key", "fp", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key.view(np.int64)), pa.array(of.view(np.int64)), pa.array(own)], ["bucket", "key", "fp", "own"])
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def _spanning(fp: np.ndarray, own: np.ndarray, max_bits: int, other: int) -> list[np.ndarray]:
+def _free_bits(key: int) -> np.ndarray:
+    """Bits of a fingerprint that the key of its entry leaves open, without those of the key's own segment."""
+    bits = np.arange(32)
+    if key >> 35 & 1:
+        bits = bits[bits // 8 != (key >> 33 & 3)]
+    return bits + 32 * (1 - (key & 1))
+
+
+def _spanning(fp: np.ndarray, own: np.ndarray, max_bits: int, free: np.ndarray) -> list[np.ndarray]:
     """Position pairs that span the links between owners and all members of one table entry.
 
-    Large entries are split by each byte of the segment that they do not share, `other`: of its 4 bytes
-    at most 3 can differ between fingerprints at most 3 bits apart.
+    Large entries are split by each of max_bits + 1 groups of the bits that they need not share, `free`: of
+    fingerprints at most max_bits apart one group is equal. Parts still large are split again if they have
+    shrunk so much that the parts of all groups together are no more than what was split.
     """
-    if len(fp) <= SMALL_ENTRY:
-        return _reach(fp, own, np.arange(len(fp)), max_bits)
-    out = []
-    for byte in range(4):
-        v = (fp >> np.uint64(32 * other + 8 * byte)) & np.uint64(255)
-        order = np.argsort(v, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(v[order])) + 1):
-            out += _reach(fp, own, part, max_bits)
+    out, todo = [], [(np.arange(len(fp)), free, True)]
+    while todo:
+        at, free, split = todo.pop()
+        if not split or len(at) <= SMALL_ENTRY or len(free) <= max_bits:
+            out += _reach(fp, own, at, max_bits)
+            continue
+        for group in np.array_split(free, max_bits + 1):
+            v = fp[at] & np.bitwise_or.reduce(np.uint64(1) << group.astype(np.uint64))
+            order = np.argsort(v, kind="stable")
+            rest = np.setdiff1d(free, group)
+            parts = np.split(order, np.flatnonzero(np.diff(v[order])) + 1)
+            todo += [(at[p], rest, (max_bits + 1) * len(p) <= len(at)) for p in parts if len(p) > 1 and own[at[p]].any()]
     return out
 
 
@@ -127,7 +158,7 @@ def _match(batches, max_bits: int):
                 us.append(fp[s])
                 vs.append(fp[s + d])
         for s, n in zip(starts[live & (sizes > 8)], sizes[live & (sizes > 8)]):
-            at = _spanning(fp[s : s + n], own[s : s + n], max_bits, 1 - int(key[s] & 1))
+            at = _spanning(fp[s : s + n], own[s : s + n], max_bits, _free_bits(int(key[s])))
             if at:
                 a, b = np.concatenate(at).T
                 us.append(fp[s + a])
@@ -139,12 +170,26 @@ def _match(batches, max_bits: int):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def hot_keys(distinct: DataFrame, large: int = LARGE_ENTRY) -> np.ndarray:
+    """Keys of the table entries with more than `large` owners, and of those one bit away from one, ascending.
+
+    Each fingerprint owns two entries, so over a bound of 2 n / HOT_ENTRIES owners there are at most HOT_ENTRIES.
+    """
+    large = max(large, -(-2 * distinct.count() // HOT_ENTRIES))
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    owned = distinct.select(F.explode(F.array(low * 2, high * 2 + 1)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    full = np.array([r["key"] for r in owned.where(F.col("n") > large).select("key").collect()], np.uint64)
+    flips = np.concatenate([[0], 2 << np.arange(32)]).astype(np.uint64)
+    return np.unique(full[:, None] ^ flips[None, :])
+
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, large: int = LARGE_ENTRY) -> DataFrame:
     """(u, v): enough links between the distinct fingerprints (column fp) to give the components of all links of at most max_bits (3 at most) bits."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments and balls of radius 1 find links of up to 3 bits")
     n = partitions(distinct.sparkSession)
-    made = distinct.select("fp").mapInArrow(lambda it: _probes(it, 4 * n), "bucket int, key long, fp long, own boolean")
+    hot = hot_keys(distinct, large)
+    made = distinct.select("fp").mapInArrow(lambda it: _probes(it, 4 * n, hot), "bucket int, key long, fp long, own boolean")
     return exchange(made, n).mapInArrow(lambda it: _match(it, max_bits), "u long, v long")
 
 

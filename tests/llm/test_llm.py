@@ -255,8 +255,8 @@ def test_simhash(awkward, spark, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("small", [4096, 16])
-def test_simhash_links_give_all_components(spark, small, monkeypatch):
+@pytest.mark.parametrize("small, large", [(4096, 1 << 16), (16, 1 << 16), (4096, 5), (16, 5)])
+def test_simhash_links_give_all_components(spark, small, large, monkeypatch):
     base = RNG.integers(0, 1 << 62, 40, dtype=np.uint64)
     fps = set(base.tolist())
     for b in base[:4].tolist():
@@ -265,11 +265,20 @@ def test_simhash_links_give_all_components(spark, small, monkeypatch):
             for bit in RNG.choice(64, int(RNG.integers(1, 5)), replace=False).tolist():
                 x ^= 1 << bit
             fps.add(x)
+    # Many that share one segment, each within 6 bits of a centre in the other.
+    for shift in (0, 32):
+        for _ in range(200):
+            x = int(base[5])
+            for bit in RNG.choice(32, int(RNG.integers(0, 7)), replace=False).tolist():
+                x ^= 1 << (bit + shift)
+            fps.add(x)
     fps = np.array(sorted(fps), np.uint64)
+    hot = simhash.hot_keys(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), large)
+    assert (len(hot) > 0) == (large == 5)
     monkeypatch.setattr(simhash, "SMALL_ENTRY", small)
     import pyarrow as pa
 
-    made = list(simhash._probes([pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], ["fp"])], 1))
+    made = list(simhash._probes([pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], ["fp"])], 1, hot))
     t = pa.Table.from_batches(made)
     got = [b for b in simhash._match([t.combine_chunks().to_batches()[0]], 3)]
     up = {int(x): int(x) for x in fps}
