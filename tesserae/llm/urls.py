@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import settle
+from tesserae.llm.common import remove, settle
 
 #: Fixed values: (verdict, host, path prefix) of the default rules.
 RULES = (
@@ -23,7 +23,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
-ITERATIONS = 8
+#: Ranks are settled when all of them together are no farther than this from the exact solution; seeds have a mass of one.
+TOLERANCE = 1e-6
 #: Rounds between writes that cut the lineage.
 ROUNDS_PER_TABLE = 4
 #: A host is blocked if its distrust is over this many times the mean of hosts, and over so many times its trust.
@@ -68,24 +69,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return every.where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, rank): personalised PageRank from seeds (host, mass) along edges (src, dst, share).
 
     Mass of hosts without an out-edge is lost to the sum, as if it left the graph; ranks are compared, not
-    added up. Hosts never reached have no row. A fixed number of rounds, each two shuffles of host rows.
+    added up. Hosts never reached have no row. Rounds of two shuffles of host rows, until the summed distance to
+    the exact solution is at most tolerance, or the given number of them. A round brings the ranks nearer by
+    the factor damping, so r rounds that changed them by c leave them within c * damping^r / (1 - damping^r).
     """
     ranks, path = settle(seeds.select("host", F.col("mass").alias("rank")))
-    kept = path
-    for k in range(iterations):
-        moved = ranks.join(edges, ranks.host == edges.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        ranks = moved.unionByName(seeds.select("host", (F.col("mass") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if (k + 1) % ROUNDS_PER_TABLE == 0 or k == iterations - 1:
-            ranks, new = settle(ranks, kept)
-            kept = new
+    done = 0
+    while iterations is None or done < iterations:
+        rounds = ROUNDS_PER_TABLE if iterations is None else min(ROUNDS_PER_TABLE, iterations - done)
+        new = ranks
+        for _ in range(rounds):
+            moved = new.join(edges, new.host == edges.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+            new = moved.unionByName(seeds.select("host", (F.col("mass") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
+        new, p_new = settle(new)
+        done += rounds
+        if iterations is None:
+            both = new.unionByName(ranks.select("host", (-F.col("rank")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("change"))
+            change = both.agg(F.sum(F.abs("change"))).first()[0] or 0.0
+        remove(edges.sparkSession, path)
+        ranks, path = new, p_new
+        if iterations is None and change * damping**rounds <= tolerance * (1 - damping**rounds):
+            break
     return ranks
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterations: int = ITERATIONS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterations: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust (multiples of the mean over hosts) for every row of pages.
 
     Pages without a host have no rule and are allowed. Null html: no links. Repeated rows are judged alike and
@@ -98,15 +110,18 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterations: i
     pages_of = judged.where("host <> ''").groupBy("host").agg(*(F.count(F.when(F.col("by_rule") == k, 1)).cast("double").alias(k) for k in ("allow", "block")), F.count("*").alias("n"))
     pages_of, p_hosts = settle(pages_of)
     n, allow, block = pages_of.agg(F.count("*"), F.sum("allow"), F.sum("block")).first()
-    results = {}
+    # Both ranks move in the same rounds: two graphs apart, with the kind before the host.
+    ways, starts = [], []
     for kind, total, src, dst in (("allow", allow, "src", "dst"), ("block", block, "dst", "src")):
         sums = edges.groupBy(src).agg(F.sum("links").alias("out"))
-        along, p_along = settle(edges.join(sums, src).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("links") / F.col("out")).alias("share")))
-        seeds = pages_of.where(F.col(kind) > 0).select("host", (F.col(kind) / F.lit(float(total or 1))).alias("mass"))
-        results[kind] = propagate(along, seeds, damping, iterations).select("host", (F.col("rank") * F.lit(float(n or 1))).alias({"allow": "trust", "block": "distrust"}[kind]))
-        results[kind + "_path"] = p_along
-    scores = pages_of.select("host").join(results["allow"], "host", "left").join(results["block"], "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    scores, _ = settle(scores, p_edges, p_hosts, results["allow_path"], results["block_path"])
+        of = lambda c: F.concat(F.lit(kind + " "), F.col(c))  # noqa: B023, E731
+        ways.append(edges.join(sums, src).select(of(src).alias("src"), of(dst).alias("dst"), (F.col("links") / F.col("out")).alias("share")))
+        starts.append(pages_of.where(F.col(kind) > 0).select(of("host").alias("host"), (F.col(kind) / F.lit(float(total or 1))).alias("mass")))
+    along, p_along = settle(ways[0].unionByName(ways[1]))
+    ranks = propagate(along, starts[0].unionByName(starts[1]), damping, iterations)
+    scaled = {kind: ranks.where(F.col("host").startswith(kind + " ")).select(F.substring("host", 7, 1 << 30).alias("host"), (F.col("rank") * F.lit(float(n or 1))).alias(name)) for kind, name in (("allow", "trust"), ("block", "distrust"))}
+    scores = pages_of.select("host").join(scaled["allow"], "host", "left").join(scaled["block"], "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    scores, _ = settle(scores, p_edges, p_hosts, p_along)
     out = judged.drop("html").join(scores, "host", "left")
     guess = F.when((F.col("distrust") > threshold) & (F.col("distrust") > MARGIN * F.col("trust")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", guess).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

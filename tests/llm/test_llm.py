@@ -148,6 +148,25 @@ def test_url_ranks_against_power_iteration(spark):
     assert all(abs(got.get(h, 0) - x) < 1e-12 for h, x in zip(hosts, v))
 
 
+def test_url_ranks_settle(spark):
+    """A chain of parents from a blocked seed (12 links long) and a pair of ties, against the exact solution."""
+    names = ["x.net"]
+    for k in range(12):
+        names.append(f"s{k}.{names[-1]}")
+    names += ["y.net", "a.y.net"]
+    df = spark.createDataFrame([(k, f"http://{h}/", None) for k, h in enumerate(names)] + [(99, "http://x.net/bad", None), (98, "http://y.net/bad", None)], "page_id long, url string, html string")
+    rows = urls.judge(df, rules=(("block", "x.net", "/bad"), ("block", "y.net", "/bad"))).collect()
+    got = {r["host"]: r["distrust"] for r in rows}
+    assert {r["verdict"] for r in rows if r["path"] == "/bad"} == {"block"} and got.keys() == set(names)
+    at, m, seed = {h: k for k, h in enumerate(names)}, np.zeros((15, 15)), np.zeros(15)
+    for h in names:
+        if (up := h.partition(".")[2]) in at:
+            m[at[up], at[h]] = m[at[h], at[up]] = 1
+    seed[[at["x.net"], at["y.net"]]] = 0.5
+    want = np.linalg.solve(np.eye(15) - 0.85 * m / np.maximum(m.sum(0), 1), 0.15 * seed) * 15
+    assert max(abs(got[h] - want[at[h]]) for h in names) < 15 * urls.TOLERANCE and want.min() > 0
+
+
 # 4
 
 
