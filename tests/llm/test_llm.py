@@ -322,6 +322,33 @@ def test_simhash_links_give_all_components(spark, small, large, monkeypatch):
     assert len({(a, b) for a, b in zip(ours, label.tolist())}) == len(set(ours)) == len(set(label.tolist()))
 
 
+def test_near_dedup_stage_takes_all_five_word_copies(spark):
+    """Planted copies with several changed words, of many sizes, against all pairs of five-word sets."""
+    import corpus_pipeline
+
+    rng, texts = np.random.default_rng(5), [None, "", "a", "A", "one two three four five", "x one two three four five"]
+    for n in (9, 14, 30, 60, 200, 700, 3000):
+        base = [f"w{x}" for x in rng.integers(0, 50_000, n)]
+        texts.append(" ".join(base))
+        for share in (0.01, 0.015, 0.02, 0.025, 0.03, 0.05):
+            copy = list(base)
+            for k in rng.integers(0, n, max(1, int(share * n))):
+                copy[k] = f"v{rng.integers(0, 50_000)}"
+            texts += [" ".join(copy), " ".join(base[: int(n * (1 - 4 * share))])]
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    assert 20 < len(set(label)) < len(texts) - 20
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(label)
+
+
 def test_components_of_a_chain(spark):
     n = 200
     order = RNG.permutation(n)
