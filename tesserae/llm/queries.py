@@ -25,7 +25,7 @@ def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op3_link_graph_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

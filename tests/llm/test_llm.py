@@ -91,7 +91,7 @@ def brute_suffix(rows, length=50):
 
 
 def test_suffixes(awkward, none):
-    got = Counter(tuple(r) for r in suffixes.remove_repeats(awkward).drop("kept").collect())
+    got = Counter(tuple(r) for r in suffixes.remove_repeats(awkward).collect())
     assert got == brute_suffix(list(zip(IDS, TEXTS)))
     assert suffixes.remove_repeats(none).count() == 0
 
@@ -99,10 +99,74 @@ def test_suffixes(awkward, none):
 def test_suffixes_many_small_alphabet(spark):
     texts = ["".join(RNG.choice(list("ab"), int(RNG.integers(0, 400)))) + ("ab" * 60 if k % 3 else "") for k in range(60)]
     ids = [int(x) for x in RNG.permutation(60)]
-    got = Counter(tuple(r) for r in suffixes.remove_repeats(table(spark, texts, ids)).drop("kept").collect())
+    got = Counter(tuple(r) for r in suffixes.remove_repeats(table(spark, texts, ids)).collect())
     assert got == brute_suffix(list(zip(ids, texts)))
 
 
+def test_suffixes_in_pieces(spark, monkeypatch):
+    """Long documents are worked on in pieces, several in a chunk; repeats straddle their seams."""
+    texts = [prose(400), prose(3000), prose(50), prose(2500)]
+    texts.append(texts[1][3000:9000] + prose(20) + texts[3][100:5000] + texts[0])
+    texts += [texts[4], texts[1][::-1], texts[4][500:], "", None]
+    ids = [40, 7, 3, 12, 5, 60, 8, 9, 1, 2]
+    for piece in (512, 4000):
+        part = table(spark, texts, ids).coalesce(1)
+        rows = [dict(doc_id=i, text=t, _whole=[], _looked=[], _windows=[], _copy=False) for i, t in zip(ids, texts)]
+        import pyarrow as pa
+
+        # The steps of remove_repeats on one task, so that PIECE can be set.
+        monkeypatch.setattr(suffixes, "PIECE", piece)
+        full = pa.Table.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *((c, pa.list_(pa.int64())) for c in ("_whole", "_looked", "_windows")), ("_copy", pa.bool_())]))
+        t = full.filter(pa.array([bool(x) and len(x) >= 50 for x in texts]))
+
+        def listed(found, kind, name="names"):
+            by = defaultdict(list)
+            for d, x, k in found:
+                if k == kind:
+                    by[d].append(x)
+            return pa.array([by[d] for d in t.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+
+        def found(batches):
+            return [tuple(r.values()) for b in batches for r in b.to_pylist()]
+
+        def in_order(batches, *keys):
+            whole = pa.Table.from_batches(list(batches))
+            cuts = whole.sort_by([(k, "ascending") for k in keys]).to_batches(max_chunksize=97)
+            return cuts
+
+        one = found(suffixes._filter_rank(in_order(suffixes._filter_send(t.to_batches(), 3, 50), "bucket")))
+        two = found(suffixes._rerank(in_order(suffixes._runs_send(t.append_column("names", listed(one, 0)).to_batches(), 3, 50), "key", "name", "doc_id"), 0, False))
+        three = found(suffixes._rerank(in_order(suffixes._windows_send(t.append_column("names", listed(two, 1)).to_batches(), 3, 50), "key", "name", "doc_id"), 2, True))
+        t = full
+        for c, k in (("_whole", 0), ("_looked", 1), ("_windows", 2)):
+            t = t.set_column(t.schema.get_field_index(c), c, listed(two + three, k))
+        got = Counter(tuple(r.values()) for b in suffixes._cut(t.to_batches(), 50, ("doc_id",), None) for r in b.to_pylist())
+        assert got == brute_suffix(list(zip(ids, texts)))
+        assert got == Counter(tuple(r) for r in suffixes.remove_repeats(part).collect())
+
+
+def test_suffixes_of_a_long_document_take_bounded_memory():
+    """What a task needs for one document of 50 MB, against the bytes of its text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    data = np.random.default_rng(3).integers(97, 123, 50 << 20, np.uint8)
+    t = pa.table({"doc_id": [1], "text": pa.array([data.tobytes()], pa.large_binary()).cast(pa.large_string())})
+    tracemalloc.start()
+    for _ in suffixes._filter_send(t.to_batches(), 64, 50):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    empty = pa.array([[]], pa.list_(pa.int64()))
+    one = pa.array([[1]], pa.list_(pa.int64()))
+    for c, x in (("_whole", one), ("_looked", empty), ("_windows", empty), ("_copy", pa.array([False]))):
+        t = t.append_column(c, x)
+    tracemalloc.reset_peak()
+    (out,) = suffixes._cut(t.to_batches(), 50, ("doc_id",), None)
+    assert out.column("n_removed").to_pylist() == [0] and tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
 # 3
 
 
