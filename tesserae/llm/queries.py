@@ -54,7 +54,7 @@ def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "weight", "kept")
+    return resampling.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_hidden_markov_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

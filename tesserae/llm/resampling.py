@@ -1,75 +1,110 @@
 """Quality classifier by importance resampling.
 
-Two bag-of-hashed-n-gram models (words and word pairs, hashed to `buckets`) are counted over whole
-tables: one of the target text, one of the raw text. A document's weight is its mean log ratio of the
-two over its n-grams, shrunk for short texts; documents are sampled without replacement by
-Gumbel top-k: the k largest of weight / temperature + Gumbel noise. The noise is a hash of the seed and
-doc_id, so a run can be repeated. k is the expected number of target-like documents: those whose weight
-reaches a low quantile of the weights of labelled target documents that the model has not counted.
+Bags of hashed n-grams (words and pairs of neighbouring words) are counted over whole tables: for target text,
+for the labelled text that is unwanted, and for all raw text. Raw text is modelled as a mixture of the target
+model, of an unwanted text's own model, and of target text in which a share of the n-grams is drawn from
+those that unwanted documents have in excess, at several shares: a few decisive words count in a long text,
+and common words don't. A document's weight is the log ratio of the target model and the raw model over all
+its n-grams. Documents are sampled without replacement by Gumbel top-k: the k largest of weight plus Gumbel
+noise, which is a hash of the seed and doc_id, so a run can be repeated.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tesserae.llm.common import add_up, chunked, longs, remove, settle
+from tesserae.llm.common import add_up, chunked, longs, settle
 
-BUCKETS = 10_000
+#: Buckets of words, and of pairs of words.
+WORDS, PAIRS = 1 << 16, 1 << 14
 SEED = 7
-#: Pseudo-count of each bucket, as a share of the mean count of a bucket.
+#: Share of the raw text's counts in the model of each kind of labelled text.
 SMOOTHING = 0.05
-#: N-grams of neutral evidence added to each document.
-PRIOR = 8.0
-#: Share of labelled target documents that may have a lower weight than the cut that sets k.
-MISSED = 0.005
-#: One of so many labelled target documents is not counted in the target model, so that it can set the cut.
-HOLD_OUT = 4
-#: Scale of the noise: weights are mean log ratios.
-TEMPERATURE = 0.005
+#: Kinds of labelled documents: target, low quality, toxic. Low quality shows in all of a text, so its own model is compared too.
+TARGET, LOW, TOXIC = 0, 1, 2
+WHOLE_TEXT = (LOW,)
+#: Shares of n-grams from the excess of an unwanted kind.
+SHARES = (0.003, 0.01, 0.03, 0.1, 0.3)
+#: A bucket is in excess where a kind's documents have it so many standard deviations, and so many times, more often than target documents.
+DEVIATIONS, TIMES = 4.0, 4.0
+#: Weight of a text without a word.
+NOTHING = -100.0
 _PAIR = np.uint32(0x9E3779B1)
 
 
-def ngrams(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """Hashed words and pairs of neighbouring words of a whole text, lower-cased in A-Z."""
+def ngrams(text: str | None) -> np.ndarray:
+    """Buckets of the words and of the pairs of neighbouring words of a whole text, lower-cased in A-Z. All pairs of one word twice are one n-gram."""
     words = (text or "").encode().lower().split()
     one = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
     two = (one[:-1] * _PAIR) ^ (one[1:] + (one[1:] >> np.uint32(15)))
-    return (np.concatenate([one ^ (one >> np.uint32(16)), two ^ (two >> np.uint32(16)) ^ np.uint32(0x5BD1)]) % np.uint32(buckets)).astype(np.int64)
-
-
-def models(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratio target : raw of every bucket, counted over all rows. docs: text, and target (boolean; null: not known)."""
+    two[one[:-1] == one[1:]] = 0
+    one, two = one ^ (one >> np.uint32(16)), two ^ (two >> np.uint32(16))
+    return np.concatenate([one % np.uint32(WORDS), two % np.uint32(PAIRS) + np.uint32(WORDS)]).astype(np.int64)
+
+
+@dataclass
+class Model:
+    """Log ratio of each part of the raw mixture to the target model, by bucket, and the log share of each part; the target's own comes first."""
+
+    ratio: np.ndarray
+    share: np.ndarray
+
+    def weight(self, text: str | None) -> float:
+        at = ngrams(text)
+        if not len(at):
+            return NOTHING
+        parts = self.share + sum(self.ratio[at[i : i + 65536]].sum(0, dtype=np.float64) for i in range(0, len(at), 65536))
+        return -float(np.logaddexp.reduce(parts))
+
+
+def fit(occurrences: np.ndarray, documents: np.ndarray, n_documents: np.ndarray) -> Model | None:
+    """occurrences: of each kind and of all raw text, by bucket; documents: how many of each kind have a bucket. None without a target document."""
+    if not n_documents[TARGET]:
+        return None
+    raw = (occurrences[3] + SMOOTHING) / (occurrences[3] + SMOOTHING).sum()
+    of = [(1 - SMOOTHING) * c / c.sum() + SMOOTHING * raw if c.sum() else raw for c in occurrences[:3]]
+    target, kinds = of[TARGET], [k for k in (LOW, TOXIC) if n_documents[k]]
+    total = n_documents[[TARGET, *kinds]].sum()
+    parts, shares = [target], [n_documents[TARGET] / total]
+    for k in kinds:
+        expected = documents[TARGET] * n_documents[k] / n_documents[TARGET]
+        more = np.where(documents[k] > TIMES * expected, np.maximum(0, documents[k] - expected - DEVIATIONS * np.sqrt(documents[k] + expected)), 0)
+        mine = [of[k]] if k in WHOLE_TEXT or not more.any() else []
+        if more.any():
+            mine += [(1 - s) * target + s * more / more.sum() for s in SHARES]
+        parts += mine
+        shares += [n_documents[k] / total / len(mine)] * len(mine)
+    if not kinds:  # all that is known of other text is the raw text
+        parts, shares = [target, raw], [0.5, 0.5]
+    return Model(np.log(np.stack(parts, 1) / target[:, None]).astype(np.float32), np.log(shares))
+
+
+def models(docs: DataFrame) -> Model | None:
+    """Counts over all rows. docs: text, and kind (null: not labelled)."""
+    n = WORDS + PAIRS
 
     def count(batches):
-        raw, target = np.zeros(buckets), np.zeros(buckets)
+        occurrences, documents, n_documents = np.zeros((4, n)), np.zeros((3, n)), np.zeros(3)
         for t in chunked(batches):
-            for text, is_target in zip(t.column("text").to_pylist(), t.column("target").to_pylist()):
-                c = np.bincount(ngrams(text, buckets), minlength=buckets) if text and len(text) > buckets else None
-                if c is not None:
-                    raw += c
-                    if is_target:
-                        target += c
-                elif text:
-                    at = ngrams(text, buckets)
-                    np.add.at(raw, at, 1)
-                    if is_target:
-                        np.add.at(target, at, 1)
-        yield pa.RecordBatch.from_arrays([pa.array([np.r_[raw, target].tobytes()], pa.binary())], ["v"])
-
-    both = add_up(docs.select("text", "target").mapInArrow(count, "v binary"), 2 * buckets)
-    raw, target = both[:buckets], both[buckets:]
-    if not raw.sum() or not target.sum():
-        return np.zeros(buckets)
-    smooth = lambda c: np.log((c + SMOOTHING * c.sum() / buckets) / (c.sum() * (1 + SMOOTHING)))
-    return smooth(target) - smooth(raw)
+            for text, kind in zip(t.column("text").to_pylist(), t.column("kind").to_pylist()):
+                at, times = np.unique(ngrams(text), return_counts=True)
+                occurrences[3, at] += times
+                if kind is not None:
+                    occurrences[kind, at] += times
+                    documents[kind, at] += 1
+                    n_documents[kind] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([occurrences.ravel(), documents.ravel(), n_documents]).tobytes()], pa.binary())], ["v"])
+
+    sums = add_up(docs.select("text", "kind").mapInArrow(count, "v binary"), 7 * n + 3, ways=4)
+    return fit(sums[: 4 * n].reshape(4, n), sums[4 * n : 7 * n].reshape(3, n), sums[7 * n :])
 
 
 def noise(doc_ids: np.ndarray, seed: int = SEED) -> np.ndarray:
@@ -81,36 +116,18 @@ def noise(doc_ids: np.ndarray, seed: int = SEED) -> np.ndarray:
     return -np.log(-np.log(u + 1e-17 + (u == 0) * 1e-16))
 
 
-def weights(docs: DataFrame, ratio: np.ndarray, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """Adds weight and key (weight / temperature + noise) to all columns of docs. Texts without a word: weight -100, no n-gram speaks for them."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("weight", T.DoubleType()), T.StructField("key", T.DoubleType())])
-    buckets = len(ratio)
-
-    def run(batches):
-        for t in chunked(batches):
-            at = (ngrams(x, buckets) for x in t.column("text").to_pylist())
-            w = np.array([ratio[a].sum() / (len(a) + PRIOR) if len(a) else -100.0 for a in at])
-            ids = longs(pc.fill_null(t.column("doc_id").cast(pa.int64()), -1))
-            yield from pa.Table.from_arrays([*t.columns, pa.array(w), pa.array(w / temperature + noise(ids, seed))], [*t.column_names, "weight", "key"]).combine_chunks().to_batches()
-
-    return docs.mapInArrow(run, schema)
-
-
-def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, rounds: int = 8) -> float:
+def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096) -> float:
     """The k-th largest value of a double column, by counts in ever finer bins: a driver row for each bin, no sort."""
     low, high, count = rows.agg(F.min(column), F.max(column), F.count(column)).first()
-    if count is None or k <= 0 or not count:
+    if k <= 0 or not count:
         return math.inf
     if k >= count:
         return low
     above = 0  # values over high
-    for _ in range(rounds):
-        if low >= high:
-            break
+    while low < high:
         width = (high - low) / bins
-        if width <= 0 or low + width == low:
-            break
-        at = F.least(F.lit(bins - 1), F.floor((F.col(column) - low) / width).cast("int"))
+        # A bin of its own for the lowest value, so that every round parts what is left.
+        at = F.when(F.col(column) == low, -1).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(column) - low) / width).cast("int")))
         got = {r["b"]: (r["n"], r["lo"], r["hi"]) for r in rows.where(F.col(column).between(low, high)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect()}
         for b in sorted(got, reverse=True):
             n, lo, hi = got[b]
@@ -121,29 +138,38 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, rounds:
     return low
 
 
-def classify(docs: DataFrame, labels: DataFrame, missed: float = MISSED, temperature: float = TEMPERATURE, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """All columns of docs, weight, and kept: whether the document is among the k sampled.
+def kinds_of(labels: DataFrame) -> DataFrame:
+    """(label_id, kind) of every labelled doc_id. With several labels: toxic if one says so, else low quality if one says so; target if all have quality 1. A label without a quality that is not toxic says nothing."""
+    kind = F.when(F.max("toxic") == 1, TOXIC).when(F.min("quality") == 0, LOW).when(F.bool_and(F.coalesce(F.col("quality") == 1, F.lit(False))), TARGET)
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(kind.alias("kind"))
+    return known.where("kind is not null")
+
 
-    labels: doc_id, quality, toxic; the target are documents with a label of quality 1 that is not toxic.
-    Documents with several labels are in the target if all of their labels say so. Without any target
-    document that was not counted there is no cut, and all documents are kept. Null texts and texts without a word rank
-    last. Documents tied at the k-th key are all kept. Null doc_id: never in the target, sampled like others.
+def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: float | None = None, seed: int = SEED) -> DataFrame:
+    """The columns `keep` of every row of docs, weight, and kept: whether the row is among the k sampled.
+
+    docs: doc_id, text; labels: doc_id, quality, toxic; other columns are ignored. share: k as a share of the rows; without it,
+    k is the number of rows that are more likely target text than not, by the shares of the labels. Null texts and texts
+    without a word rank last. Rows tied at the k-th key, as all those of one document are, are all kept. A null doc_id has no
+    label and is sampled like others. Without a target document there is nothing to compare: weight 0, all kept.
     """
-    target = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("is_target"))
-    held = F.pmod(F.xxhash64("label_id"), F.lit(HOLD_OUT)) == 0
+    if {"weight", "kept"} & {c.lower() for c in keep}:
+        raise ValueError("weight and kept are columns of the result")
+    columns = list(dict.fromkeys(["doc_id", *keep, "text"]))
+    docs = docs.select(*columns)
     # A merge join at every size: labels grow with the documents.
-    known = docs.select("doc_id", "text").join(target.hint("merge"), F.col("doc_id") == F.col("label_id"), "left").select("text", (F.col("is_target") & ~held).alias("target"))
-    ratio = models(known, buckets)
-    flagged = target.where(F.col("is_target") & held).select("label_id")
-    scored = weights(docs, ratio, temperature, seed)
-    keys, p_keys = settle(weights(docs.select("doc_id", "text"), ratio, temperature, seed).drop("text"))
-    of_target, p_target = settle(keys.select(F.col("doc_id").cast("long").alias("label_id"), "weight").join(flagged, "label_id", "left_semi"))
-    n_target = of_target.count()
-    if not n_target:
-        return scored.drop("key").withColumn("kept", F.lit(True))
-    cut = kth_largest(of_target, "weight", n_target - int(missed * n_target))
-    k = keys.where(F.col("weight") >= cut).count()
-    last = kth_largest(keys, "key", k)
-    for p in (p_keys, p_target):
-        remove(docs.sparkSession, p)
-    return scored.withColumn("kept", F.col("key") >= last).drop("key")
+    known = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(kinds_of(labels).hint("merge"), "label_id", "left")
+    model = models(known)
+    if model is None:
+        return docs.select(*keep, F.lit(0.0).alias("weight"), F.lit(True).alias("kept"))
+    schema = docs.select(*keep).schema.add("weight", "double").add("_key", "double")
+
+    def run(batches):
+        for t in chunked(batches):
+            w = np.array([model.weight(x) for x in t.column("text").to_pylist()])
+            ids = longs(pc.fill_null(t.column("doc_id").cast(pa.int64()), -1))
+            yield from pa.Table.from_arrays([*(t.column(c) for c in keep), pa.array(w), pa.array(w + noise(ids, seed))], [*keep, "weight", "_key"]).combine_chunks().to_batches()
+
+    scored, _ = settle(docs.mapInArrow(run, schema))
+    k = math.ceil(share * scored.count()) if share is not None else scored.where(F.col("weight") + float(model.share[0]) > math.log(0.5)).count()
+    return scored.withColumn("kept", F.col("_key") >= kth_largest(scored, "_key", k)).drop("_key")

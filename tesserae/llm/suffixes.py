@@ -231,7 +231,7 @@ def _filter_send(batches, n, length):
             doc, (rank,), new = _by_key(ids[rows][runs.doc], runs.rank)
             size = _sizes(new)
             many = np.repeat(size > 1, size)
-            out = [(b, rank[new][at].tobytes(), _shorter(doc[new][at]), None) for b, at in bucketed(rank[new], n)]
+            out = [(b, rank[new][at].tobytes(), _shorter(doc[new][at]), None) for b, at in bucketed(rank[new] * _M3, n)]
             if many.any():
                 out.append((int(doc[0]) % n, None, None, _told(doc[many], rank[many])))
             if out:
@@ -283,7 +283,8 @@ def _runs_send(batches, n, length):
             doc, rank, name = doc[new], rank[new], name[new]
             size = _sizes(np.r_[True, rank[1:] != rank[:-1]][: len(rank)])
             many, marks = np.repeat(size > 1, size), rank[np.cumsum(size) - size][size > 1]
-            key = np.concatenate([np.where(many, pair(name, rank) | _ODD, rank & ~_ODD), marks & ~_ODD])
+            # Sampled ranks are small ones; a factor spreads them.
+            key = np.concatenate([np.where(many, pair(name, rank) | _ODD, rank * _M3 & ~_ODD), marks * _M3 & ~_ODD])
             yield from _rows(key, np.r_[name, np.zeros(len(marks), np.uint64)], np.r_[doc, np.full(len(marks), _LAST)], n, told)
 
 

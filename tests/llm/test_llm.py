@@ -471,19 +471,80 @@ def test_visit_goes_by_summed_distance():
 
 def test_resampling(spark, awkward, none):
     good, bad = WORDS, ["zzq", "xx%", "buy", "now", "click"]
-    docs = spark.createDataFrame([(i, prose(60, bad if i % 5 == 0 else good)) for i in range(300)], "doc_id long, text string").withColumn("key", F.lit(1))
-    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(0, 150)] + [(None, 1, 0), (3, 1, None)], "doc_id long, quality int, toxic int")
-    kept = {r["doc_id"] for r in resampling.classify(docs.drop("key"), labels).where("kept").collect()}
+    docs = spark.createDataFrame([(i, prose(60, bad if i % 5 == 0 else good)) for i in range(300)], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit("x") for c in ("key", "Weight", "kept", "_key", "kind", "label_id")})
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(0, 150)] + [(None, 1, 0), (3, 1, None), (7, None, None)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in resampling.classify(docs, labels).where("kept").collect()}
     assert len([i for i in kept if i % 5]) >= 230 and not [i for i in kept if i % 5 == 0]
-    assert resampling.classify(awkward.drop("weight", "kept"), labels).count() == len(TEXTS)
-    assert resampling.classify(none.drop("weight", "kept"), labels.limit(0)).count() == 0
+    out = resampling.classify(docs, labels, ("doc_id", "key", "text"))
+    assert out.columns == ["doc_id", "key", "text", "weight", "kept"] and out.count() == 300
+    with pytest.raises(ValueError):
+        resampling.classify(docs, labels, ("doc_id", "Weight"))
+    assert resampling.classify(awkward, labels).count() == len(TEXTS)
+    assert {(r["weight"], r["kept"]) for r in resampling.classify(awkward, labels.limit(0)).collect()} == {(0.0, True)}
+    assert resampling.classify(none, labels.limit(0)).count() == 0
+
+
+def test_resampling_takes_out_toxic_documents_by_a_few_words(spark):
+    rng = np.random.default_rng(8)
+    common = [f"w{k}" for k in range(200)]
+    docs, labels = [], []
+    for i in range(900):
+        toxic = i % 6 == 0
+        words = rng.choice(common, 300).tolist() + [f"rare{i}x{k}" for k in range(30)]
+        for w in rng.choice(["vile", "foul", "nasty"], 2 if toxic else 0, replace=False):
+            words[int(rng.integers(0, 330))] = str(w)
+        docs.append((i, " ".join(words)))
+        if i % 2 == 0:
+            labels.append((i, 1, int(toxic)))
+    got = {r["doc_id"]: r["kept"] for r in resampling.classify(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert sum(got[i] for i in got if i % 6) > 735 and sum(got[i] for i in got if i % 6 == 0) < 15
+
+
+def test_resampling_weights_and_sampling_by_brute_force(spark):
+    """Weights from counts in plain dictionaries; and how often each document is drawn, over seeds, against weighted draws without replacement."""
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(rng.choice(["a", "b", "c", "d"], 12, p=[0.4, 0.3, 0.2, 0.1] if i < 6 else [0.1, 0.2, 0.3, 0.4]))) for i in range(8)]
+    labels = [(i, int(i < 6), 0) for i in (0, 1, 2, 6)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    counts = {k: Counter() for k in ("raw", 0, 1)}
+    kind = {i: 0 if q else 1 for i, q, _ in labels}
+    for i, t in docs:
+        for k in ("raw", kind.get(i)):
+            if k is not None:
+                counts[k].update(resampling.ngrams(t).tolist())
+    n, s = resampling.WORDS + resampling.PAIRS, resampling.SMOOTHING
+    raw = lambda g: (counts["raw"][g] + s) / (sum(counts["raw"].values()) + s * n)
+    p = lambda k, g: (1 - s) * counts[k][g] / sum(counts[k].values()) + s * raw(g)
+    want = {}
+    for i, t in docs:
+        r = sum(math.log(p(1, g) / p(0, g)) for g in resampling.ngrams(t).tolist())
+        want[i] = -math.log(0.75 + 0.25 * math.exp(r))
+    got = {r["doc_id"]: r["weight"] for r in resampling.classify(df, lab).collect()}
+    assert all(abs(got[i] - w) < 1e-3 * max(1, abs(w)) for i, w in want.items())
+    # Draws: the noise of classify() for many seeds, against the chances of three draws without replacement.
+    w = np.array([got[i] for i in range(8)])
+    seeds, ids = 20_000, np.arange(8)
+    drawn = np.zeros(8)
+    for seed in range(seeds):
+        drawn[np.argsort(-(w + resampling.noise(ids, seed)))[:3]] += 1
+    chance = np.zeros(8)
+    for order in itertools.permutations(range(8), 3):
+        left, c = np.exp(w).sum(), 1.0
+        for i in order:
+            c *= np.exp(w[i]) / left
+            left -= np.exp(w[i])
+        chance[list(order)] += c
+    assert np.abs(drawn / seeds - chance).max() < 0.02
+    top = {r["doc_id"] for r in resampling.classify(df, lab, share=3 / 8, seed=5).where("kept").collect()}
+    assert top == set(np.argsort(-(w + resampling.noise(ids, 5)))[:3].tolist())
 
 
 def test_kth_largest(spark):
-    x = np.r_[RNG.normal(size=500), [2.0] * 20, -1e9]
+    x = np.r_[RNG.normal(size=500), [2.0] * 20, -1e9, 1e300, 5e-324]
     df = spark.createDataFrame([(float(v),) for v in x], "v double")
-    for k in (1, 15, 300, len(x)):
-        assert resampling.kth_largest(df, "v", k, bins=16, rounds=40) == np.sort(x)[-k]
+    for k in (1, 2, 15, 300, len(x)):
+        assert resampling.kth_largest(df, "v", k, bins=16) == np.sort(x)[-k]
 
 
 # 10
