@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of an exchange for each of its partitions; a task holds one bucket at a time.
 BUCKETS_PER_PARTITION = 4
-#: Bytes of text that a task gathers before it sends what it found.
-CHUNK_BYTES = 24 << 20
+#: Bytes of text, and rows, that a task gathers before it sends what it found.
+CHUNK_BYTES, CHUNK_ROWS = 24 << 20, 4096
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -101,21 +101,21 @@ def longs(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return col.cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
-def chunked(batches: Iterator[pa.RecordBatch], budget: int = CHUNK_BYTES) -> Iterator[pa.Table]:
-    """Joins small batches, and cuts large ones between rows, to tables of about budget bytes."""
+def chunked(batches: Iterator[pa.RecordBatch], budget: int = CHUNK_BYTES, most_rows: int = CHUNK_ROWS) -> Iterator[pa.Table]:
+    """Joins small batches, and cuts large ones between rows, to tables of about budget bytes and of at most 2 * most_rows rows."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = 0
     for b in batches:
         if not b.num_rows:
             continue
-        step = max(1, min(b.num_rows, int(b.num_rows * budget / max(1, b.nbytes))))
+        step = max(1, min(b.num_rows, most_rows, int(b.num_rows * budget / max(1, b.nbytes))))
         for i in range(0, b.num_rows, step):
             part = b.slice(i, step)
             held.append(part)
-            size += part.nbytes
-            if size >= budget:
+            size, rows = size + part.nbytes, rows + part.num_rows
+            if size >= budget or rows >= most_rows:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 

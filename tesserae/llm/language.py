@@ -1,10 +1,9 @@
 """Language identification with string kernels.
 
 The kernel of two texts is the number of byte n-grams (all lengths of a blended spectrum, 1 to 3) that
-are present in both, over the geometric mean of the numbers present in each; n-grams are those of the
-landmarks. Nyström landmarks map a text to m kernel values, whitened by the landmarks' own kernel matrix,
-and kernel ridge regression in that space gives one score per language (one versus rest). Texts are
-scored in batches, as products of presence and landmark matrices.
+are present in both, over the geometric mean of the numbers present in each. Nyström landmarks map a text to m kernel values, whitened by the landmarks' own kernel matrix, and kernel
+ridge regression in that space gives one score per language (one versus rest). Texts are scored in batches,
+as products of presence and landmark matrices.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import chunked
@@ -24,11 +23,13 @@ TRAIN_ROWS = 3000
 LANDMARKS = 192
 RIDGE = 1.0
 ORDERS = (1, 2, 3)
-#: Training texts are used whole up to this many bytes in all; rows over it are left out, longest hash first.
+#: Bound of the sample in bytes: texts are used whole; those with the largest hashes are left out, but not the first of a language.
 TRAIN_BYTES = 48 << 20
 UNKNOWN = "und"
-#: Factor from differences of ridge scores (in -1..1) to log odds.
+#: Factor from ridge scores (about -1 to 1, 0 between a language and the others) to log odds.
 SHARPNESS = 6.0
+#: Texts whose presence is held at once.
+BLOCK = 256
 _LETTER = re.compile("[A-Za-z]")
 
 
@@ -54,17 +55,17 @@ class Model:
     prior: int
 
     def presence(self, texts: list[bytes], tables: dict[int, np.ndarray]) -> np.ndarray:
-        """Texts x n-grams, 1 where present, rows of unit length."""
+        """Texts x n-grams of the landmarks, 1 where present, over the root of the number of all n-grams in the text."""
         size = sum(map(len, self.grams.values()))
-        out = np.zeros((len(texts), size + 1), np.float32)
-        for row, text in zip(out, texts):
+        out, present = np.zeros((len(texts), size + 1), np.float32), np.ones(len(texts), np.float32)
+        for i, text in enumerate(texts):
             data = np.frombuffer(text, np.uint8)
             for order, table in tables.items():
                 if len(data) >= order:
-                    row[table[codes(data, order)]] = 1
-        out = out[:, :size]
-        norm = np.sqrt(out.sum(1, keepdims=True))
-        return out / np.maximum(norm, 1)
+                    found = np.sort(codes(data, order))
+                    out[i, table[found]] = 1
+                    present[i] += 1 + np.count_nonzero(found[1:] != found[:-1])
+        return out[:, :size] / np.sqrt(np.maximum(present - 1, 1))[:, None]
 
     def tables(self) -> dict[int, np.ndarray]:
         """For each length, from code to column; n-grams of no landmark go to a last column that is cut off."""
@@ -76,17 +77,16 @@ class Model:
         return out
 
     def predict(self, texts: list[bytes], tables: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language and its probability."""
-        x = self.presence(texts, tables)
-        scores = (x @ self.landmarks) @ self.weights
-        blank = ~x.any(1)
-        p = np.exp(SHARPNESS * (scores - scores.max(1, keepdims=True)))
-        p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        best[blank] = self.prior
-        score = p[np.arange(len(best)), best]
-        score[blank] = 1 / len(self.languages)
-        return best, np.clip(score.astype(np.float64), 0, 1)
+        """Index of the language, and how sure its one-versus-rest score is: the same whatever the number of languages, so that a text in none of them is sure of none."""
+        best, score = [], []
+        for i in range(0, len(texts), BLOCK):
+            x = self.presence(texts[i : i + BLOCK], tables)
+            scores = ((x @ self.landmarks) @ self.weights).astype(np.float64)
+            blank = ~x.any(1)
+            top = np.where(blank, self.prior, scores.argmax(1))
+            best.append(top)
+            score.append(np.where(blank, 0.0, 1 / (1 + np.exp(-SHARPNESS * scores[np.arange(len(top)), top]))))
+        return np.concatenate(best), np.clip(np.concatenate(score), 0, 1)
 
 
 def train(texts: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -115,26 +115,27 @@ def train(texts: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridg
     return model
 
 
-def sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[bytes], list[str]]:
-    """At most `rows` labelled texts, evenly by language, those with the smallest hash of doc_id first."""
-    known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "doc_id")
+def sample(docs: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> tuple[list[bytes], list[str]]:
+    """Labelled texts, at most `rows` and about `max_bytes` together, evenly by language, those with the smallest hash of doc_id first."""
+    known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("digest"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
     if not counts:
         return [], []
     each = max(1, rows // len(counts))
     # Hashes are even over the longs: a bound that lets about 1.5 times as many through, then the exact number.
     bound = {k: min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (1.5 * each + 30) / n))) for k, n in counts.items()}
-    near = spark_map(bound)
-    got = known.where(F.col("h") <= F.element_at(near, F.col("lang"))).orderBy("h", "doc_id", "text").limit(3 * rows + 60 * len(counts)).collect()
-    texts, langs, taken, size = [], [], dict.fromkeys(counts, 0), 0
-    for r in got:
-        text = r["text"].encode()
-        if taken[r["lang"]] < each and (size + len(text) <= TRAIN_BYTES or not taken[r["lang"]]):
-            taken[r["lang"]] += 1
-            size += len(text)
-            texts.append(text)
-            langs.append(r["lang"])
-    return texts, langs
+    near = known.where(F.col("h") <= F.element_at(spark_map(bound), F.col("lang")))
+    # Texts are left out until it is known which fit the bound in bytes; Spark cuts each language to `each` rows before they meet.
+    in_order = Window.partitionBy("lang").orderBy("h", "size", "digest")
+    first = near.select("lang", "h", "size", "digest").withColumn("turn", F.row_number().over(in_order)).where(F.col("turn") <= each)
+    chosen, total = [], 0
+    for r in sorted(first.collect(), key=lambda r: (r["turn"], r["lang"])):  # `rows` at most
+        if r["turn"] == 1 or total + r["size"] <= max_bytes:
+            total += r["size"]
+            chosen.append((r["lang"], r["h"], r["size"], r["digest"]))
+    texts = near.where(F.col("h").isin(sorted({c[1] for c in chosen}))).groupBy("lang", "h", "size", "digest").agg(F.min("text").alias("text"))
+    by = {tuple(r)[:4]: r["text"].encode() for r in texts.join(docs.sparkSession.createDataFrame(chosen, "lang string, h long, size long, digest long").distinct(), ["lang", "h", "size", "digest"], "left_semi").collect()}
+    return [by[c] for c in chosen], [c[0] for c in chosen]
 
 
 def spark_map(values: dict[str, int]):
@@ -146,7 +147,7 @@ def identify(docs: DataFrame, training: DataFrame, keep: tuple[str, ...] = ("doc
 
     training: doc_id, text and lang, of which a bounded sample is learned. Texts that are null or have no
     letter: `und` with score 0; so are all if nothing can be learned. A text without any known n-gram gets
-    the most frequent language of the sample with an even score. lang, source and doc_id of docs are not looked at.
+    the most frequent language of the sample with score 0. lang, source and doc_id of docs are not looked at.
     """
     texts, langs = sample(training)
     model = train(texts, langs) if texts else None

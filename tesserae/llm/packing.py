@@ -23,6 +23,8 @@ from tesserae.llm.common import chunked, partitions, settle
 
 CAPACITY = 1024
 END_ID = 2
+#: Characters of white space in one run from which a text takes the slower way.
+LONG_RUN = 50_000
 #: Hash groups among which the pieces of one length are dealt for numbering, for each shuffle partition.
 GROUPS_PER_PARTITION = 4
 
@@ -32,9 +34,11 @@ def encoder(vocabulary: str):
     """Function from texts to lists of ids, of a byte-level BPE that the tokenizers library reads.
 
     The ids are those of `tokenizers` with add_special_tokens=False. Texts without special-token
-    strings go through tiktoken's faster merge loop over the same vocabulary and merges.
+    strings go through tiktoken's faster merge loop over the same vocabulary and merges; not those with a long
+    run of white space, in which the look-ahead of tiktoken's pattern takes one stack frame a character.
     """
     import json
+    import re
 
     import tiktoken
     from tokenizers import Tokenizer
@@ -50,9 +54,10 @@ def encoder(vocabulary: str):
     ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     fast = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    long_run = re.compile(r"\s{%d}" % LONG_RUN)
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or len(text) >= LONG_RUN and long_run.search(text):
             return whole.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -86,7 +91,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Best-two-fit over a histogram of lengths: (lengths of a bin in order, number of such bins)."""
+    """Best-two-fit over a histogram of lengths: (lengths of a bin in order, number of such bins).
+
+    A bin of one piece is not exchanged: its piece is the longest left, and best-two-fit replaces the smallest of a greedy fill.
+    """
     left = {k: v for k, v in counts.items() if v > 0}
     if left and (min(left) < 1 or max(left) > capacity):
         raise ValueError("lengths must lie between 1 and the capacity")

@@ -208,3 +208,26 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS) -
     smallest, _ = settle(named.groupBy("root").agg(F.min("first").alias("component_id")))
     by_fp, _ = settle(named.join(smallest, "root").select("fp", "component_id"))
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def fingerprint_pairs(texts: DataFrame, width: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
+    """Candidates (u, v) among rows (node, text): pairs enough to join all nodes whose fingerprints are linked."""
+    fps, _ = settle(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), width))
+    first, _ = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    same = fps.join(first, "fp").where("doc_id <> first").select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
+    u, v = (first.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}")) for k in "uv")
+    near = links(first.select("fp"), max_bits).distinct().join(u, "u").join(v, "v")
+    return same.unionByName(near.select(F.least("first_u", "first_v").alias("u"), F.greatest("first_u", "first_v").alias("v")))
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id) for every row of docs: documents linked by a Jaccard similarity of five-word shingle sets of 0.8 or more.
+
+    Fingerprints over five-word shingles give the first candidates. Texts that are just similar enough differ in about 10 of 64
+    bits, more than multi-index hashing can look up; so those it leaves apart come from equal parts of shingle sets, and all
+    candidates are compared exactly (see `shingles`). doc_id: not null. Null texts and texts without words are alike;
+    extra columns are ignored; a repeated row is returned as often as it occurs.
+    """
+    from tesserae.llm import shingles
+
+    return shingles.near_duplicates(docs, fingerprint_pairs)

@@ -225,7 +225,7 @@ def _longer(x: bytes) -> np.ndarray:
 
 
 def _filter_send(batches, n, length):
-    for t in chunked(batches, PIECE):
+    for t in chunked(batches, PIECE, 1 << 16):
         ids = longs(t.column("doc_id"))
         for rows, _, runs in _in_pieces(t, length):
             doc, (rank,), new = _by_key(ids[rows][runs.doc], runs.rank)
@@ -274,7 +274,7 @@ def sorted_pairs(rows: DataFrame, n: int) -> DataFrame:
 
 def _runs_send(batches, n, length):
     """Pairs (rank, run). Ranks with several runs here are known to go on: their runs meet by name under odd keys, so that a hot rank is spread, and a mark tells other tasks."""
-    for t in chunked(batches, PIECE):
+    for t in chunked(batches, PIECE, 1 << 16):
         ids, wanted = longs(t.column("doc_id")), _Listed(t.column("names"))
         for rows, _, runs in _in_pieces(t, length):
             pick = wanted.has(rows[runs.doc], runs.rank)
@@ -290,7 +290,7 @@ def _runs_send(batches, n, length):
 
 def _windows_send(batches, n, length):
     """Pairs (rank at p, rank at p + length - 32) of windows, by the name of the pair."""
-    for t in chunked(batches, PIECE):
+    for t in chunked(batches, PIECE, 1 << 16):
         ids, wanted = longs(t.column("doc_id")), _Listed(t.column("names"))
         for rows, _, runs in _in_pieces(t, length):
             at, _, rank, name = runs.windows(np.flatnonzero(wanted.has(rows[runs.doc], runs.name)))
@@ -373,7 +373,7 @@ def _spans(t: pa.Table, length: int) -> _Spans:
 
 
 def _cut(batches, length, keep, kept):
-    for t in chunked(batches, PIECE):
+    for t in chunked(batches, PIECE, 1 << 16):
         data, off = flat(t.column("text"))
         size, copy = np.diff(off), np.array(t.column("_copy").to_pylist(), bool)
         spans = _spans(t, length)

@@ -284,6 +284,8 @@ def test_packing(awkward, none):
 
     tok = Tokenizer.from_file(queries.vocabulary())
     texts = [*TEXTS, "a <|endoftext|> b"]
+    for long in (" " * 2_000_000 + "a", "b" + "\n" * 2_000_000 + "a"):
+        assert packing.encoder(queries.vocabulary())(long) == tok.encode(long, add_special_tokens=False).ids
     encode = packing.encoder(queries.vocabulary())
     assert all(encode(t) == tok.encode(t, add_special_tokens=False).ids for t in texts if t and len(t) < 5000)
     rows = packing.pack_documents(awkward, queries.vocabulary(), with_ids=True).collect()
@@ -400,15 +402,7 @@ def test_near_dedup_stage_takes_all_five_word_copies(spark):
                 copy[k] = f"v{rng.integers(0, 50_000)}"
             texts += [" ".join(copy), " ".join(base[: int(n * (1 - 4 * share))])]
     docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    sets = []
-    for t in texts:
-        words = (t or "").lower().split()
-        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
-    label = list(range(len(texts)))
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
-            a, b = sorted((label[i], label[j]))
-            label = [a if x == b else x for x in label]
+    label = jaccard_classes(texts)
     assert 20 < len(set(label)) < len(texts) - 20
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(label)
 
@@ -438,6 +432,57 @@ def test_language(spark, awkward, none):
     assert {r["lang_pred"] for r in language.identify(awkward, none).collect()} == {"und"}
 
 
+def test_language_by_brute_force():
+    """Kernel values from sets of n-grams, whitening and ridge by dense algebra, one by one."""
+    en, fr = "the of and river quiet yellow stone with this that".split(), "le la des maison soleil bientôt avec cette où très".split()
+    texts = [prose(12, en if i % 2 else fr).encode() for i in range(60)]
+    langs = ["en" if i % 2 else "fr" for i in range(60)]
+    m = language.train(texts, langs, landmarks=9)
+    grams = lambda t: {(k, t[p : p + k]) for k in language.ORDERS for p in range(len(t) - k + 1)}
+    kernel = lambda a, b: len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))
+    # Landmarks in turn from each language: the first four or five of each, in order of language.
+    of = {x: [t for t, y in zip(texts, langs) if y == x] for x in ("en", "fr")}
+    marks = [of[x][k] for k in range(5) for x in ("en", "fr")][:9]
+    k = np.array([[kernel(t, x) for x in marks] for t in texts])
+    value, vector = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    white = vector / np.sqrt(value)
+    z = k @ white
+    y = np.array([[1.0 if x == n else -1.0 for n in ("en", "fr")] for x in langs])
+    beta = np.linalg.solve(z.T @ z + language.RIDGE * np.eye(9), z.T @ y)
+    new = [*texts[:5], prose(8, en + fr).encode(), "пример".encode(), b"x"]
+    s = np.array([[kernel(t, x) for x in marks] for t in new]) @ white @ beta
+    best, score = m.predict(new, m.tables())
+    known = np.array([any(grams(t) & grams(x) for x in marks) for t in new])
+    assert (best[known] == s.argmax(1)[known]).all() and known[:6].all()
+    assert np.allclose(score[known], 1 / (1 + np.exp(-language.SHARPNESS * s.max(1)[known])), atol=1e-3) and (score[~known] == 0).all()
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i} " + "x" * 1000, "en" if i % 3 else "fr") for i in range(300)] + [(7, "short", "de"), (8, None, "de"), (9, "none", None)], "doc_id long, text string, lang string")
+    texts, langs = language.sample(docs, rows=30, max_bytes=12_000)
+    count = Counter(langs)
+    assert sum(map(len, texts)) <= 12_000 and count["de"] == 1 and count["en"] >= 4 and count["fr"] >= 4
+    assert Counter(language.sample(docs, rows=30)[1]) == {"en": 10, "fr": 10, "de": 1}
+
+
+def test_many_short_texts_take_bounded_memory():
+    """200,000 texts of ten letters through the tasks of operators 1 and 7."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["abcdefghij"[k % 7 :] + "the xyz"[: k % 7] for k in range(200_000)]
+    t = pa.table({"doc_id": range(len(texts)), "text": texts})
+    m = language.train([x.encode() for x in texts[:300]], ["en", "fr", "de"] * 100)
+    tables = m.tables()
+    tracemalloc.start()
+    for part in common.chunked(t.to_batches()):
+        divergence.distances(divergence.histograms(part.column("text").to_pylist()), np.ones(len(divergence.CLASSES) + len(divergence._WORDS) + 1))
+        m.predict([x.encode() for x in part.column("text").to_pylist()], tables)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
 # 8
 
 
@@ -586,7 +631,108 @@ def test_forward_is_exact_and_em_rises():
 # Pipeline
 
 
-def test_pipeline(spark):
+def jaccard_classes(texts):
+    """Label of each text: the first one that a chain of five-word similarities of 0.8 or more leads to."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return label
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """A folder with documents and labels: good, bad, toxic, foreign, near-copied and repeated texts; and what each text is."""
+    rng = np.random.default_rng(12)
+    en = [a + b for a in "the an of re in ed".split() for b in "tion ing ers and ou ha le st".split()]
+    fr = [a + b for a in "qué lar dé mou sè ché".split() for b in "ment eau aux ier oux ère tte is".split()]
+    say = lambda words, n: " ".join(rng.choice(words, n))
+    rows, kinds = [], []
+
+    def add(kind, text, lang):
+        rows.append((len(rows), text, lang, "web", len(text) if text else None))
+        kinds.append(kind)
+
+    for i in range(150):
+        add("good", say(en if i % 2 else fr, 60), "en" if i % 2 else "fr")
+    for _ in range(40):
+        add("bad", " ".join(w + "###" for w in rng.choice(en, 60)), "en")
+    for i in range(40):
+        words = rng.choice(en, 60).tolist()
+        for k in rng.integers(0, 60, 4):
+            words[k] = str(rng.choice(["vile", "scum"]))
+        add("toxic", " ".join(words), "en")
+    for i in range(0, 20, 2):  # one word of 60 changed: at least 51 of 61 shingles are shared
+        words = rows[i][1].split()
+        words[int(rng.integers(5, 55))] = "changed"
+        add("copy", " ".join(words), rows[i][2])
+    passage = say(en, 30)
+    for i in range(6):
+        add("good", say(en, 40) + " " + passage + " " + say(en, 20 + i), "en")
+    for text in (None, "", "12 34 56", "пример текста на другом языке " * 6):
+        add("foreign", text, None)
+    folder = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(folder + "/documents.parquet")
+    labels = [(i, int(k != "bad"), int(k == "toxic")) for i, k in enumerate(kinds) if k in ("good", "bad", "toxic") and i % 4]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(folder + "/labels.parquet")
+    return folder, rows, kinds
+
+
+def test_pipeline_against_plain_stages(spark, planted):
+    import corpus_pipeline
+
+    folder, rows, kinds = planted
+    encode = packing.encoder(queries.vocabulary())
+    # Quality and language: what was planted. Near copies: all pairs. Repeats: all 50-byte strings.
+    left = [r for r, k in zip(rows, kinds) if k in ("good", "copy")]
+    label = jaccard_classes([r[1] for r in left])
+    left = [r for k, r in enumerate(left) if label[k] == k]
+    assert len(left) == 156
+    first = {}
+    for r in left:
+        b = r[1].encode()
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], r[0])
+    want = Counter()
+    for r in left:
+        b = r[1].encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < r[0]:
+                gone[p : p + 50] = True
+        ids = np.array([*encode(bytes(np.frombuffer(b, np.uint8)[~gone]).decode(errors="ignore")), 2], "<u4")
+        for k, (s, n) in enumerate(packing.cut(len(ids))):
+            want[r[0], k, s, n, zlib.crc32(ids[s : s + n].tobytes())] += 1
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in b) <= 1024 and [o for o, _ in sorted(b)] == np.cumsum([0, *(n for _, n in sorted(b))])[:-1].tolist() for b in bins.values())
+
+
+def test_pipeline_stages_on_awkward_tables(spark, awkward, none, planted):
+    """Nulls, empty and long texts, repeated ids and rows, columns with clashing names, no rows: rows and columns of each stage."""
+    import corpus_pipeline
+
+    for docs in (awkward, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, planted[0])
+            assert out.columns == list(corpus_pipeline.COLUMNS), name
+            assert out.count() <= docs.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, planted[0]).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    kept = Counter(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, awkward, "").collect())
+    label = jaccard_classes([t for i, t in zip(IDS, TEXTS) if i is not None])
+    ids = [i for i in IDS if i is not None]
+    assert kept == Counter({ids[k]: 1 for k in set(label)} | {None: 2})
+
+
+def test_pipeline_on_test_data(spark):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
@@ -596,8 +742,9 @@ def test_pipeline(spark):
         docs, _ = common.settle(stage(spark, before, sf))
         assert docs.columns == list(corpus_pipeline.COLUMNS) and 0 < docs.count() <= before.count(), name
         if name.startswith("SimHash"):
-            ids = {r["component_id"] for r in simhash.near_duplicates(before).collect()}
-            assert {r["doc_id"] for r in docs.collect()} == ids
+            rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
+            label = jaccard_classes([t for _, t in rows])
+            assert {r["doc_id"] for r in docs.collect()} == {rows[k][0] for k in label}
         if name.startswith("suffix"):
             rows = [(r["doc_id"], r["text"]) for r in before.collect()]
             left = {k[0]: k[1] - k[2] for k in brute_suffix(rows)}
