@@ -51,12 +51,12 @@ def center_crop(pixels: Column | str, height: Column | str, width: Column | str,
     return F.when((h >= size) & (w >= size), crop)
 
 
-def padded(pixels: Column | str, height: Column | str, width: Column | str, to_height: Column | str, to_width: Column | str, mode: str = "reflect", value: float = 0.0, channels: int = 1) -> Column:
-    """Padded at the bottom and right. `reflect` needs a pad smaller than the side, else the result is null."""
+def padded(pixels: Column | str, height: Column | str, width: Column | str, to_height: Column | str, to_width: Column | str, mode: str = "reflect", value: float = 0.0, channels: int = 1, element: str = "float") -> Column:
+    """Padded at the bottom and right. `reflect` needs a pad smaller than the side, else the result is null. element: type of a pixel, which the fill must have too."""
     if mode not in PAD_MODES:
         raise ValueError(f"no such padding: {mode}")
     p, (h, w, th, tw) = col(pixels), (col(v).cast("int") for v in (height, width, to_height, to_width))
-    fill = F.lit(0.0 if mode == "zero" else value)
+    fill = F.lit(0.0 if mode == "zero" else value).cast(element)
 
     def inside(i: Column, n: Column) -> Column:
         if mode == "reflect":
@@ -73,14 +73,14 @@ def padded(pixels: Column | str, height: Column | str, width: Column | str, to_h
     return F.when(fits, _raster(th, tw, channels, cell))
 
 
-def cropped_read(pixels: Column | str, height: Column | str, width: Column | str, x: Column | str, y: Column | str, size: Column | str, channels: int = 1, outside: float = 255.0) -> Column:
-    """A square of an image at (x, y); what lies outside the image is white."""
+def cropped_read(pixels: Column | str, height: Column | str, width: Column | str, x: Column | str, y: Column | str, size: Column | str, channels: int = 1, outside: float = 255.0, element: str = "float") -> Column:
+    """A square of an image at (x, y); what lies outside the image is white. element: type of a pixel."""
     p, (h, w, left, top, n) = col(pixels), (col(v).cast("int") for v in (height, width, x, y, size))
 
     def cell(j: Column, i: Column, c: Column) -> Column:
         yy, xx = j + top, i + left
         ok = (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
-        return F.when(ok, _pick(p, w, channels, yy, xx, c)).otherwise(F.lit(outside))
+        return F.when(ok, _pick(p, w, channels, yy, xx, c)).otherwise(F.lit(outside).cast(element))
 
     return _raster(n, n, channels, cell)
 

@@ -163,10 +163,14 @@ class Pipeline:
 
         The scan lists its files here, so what the run appends later does not change what is left to do.
         """
-        if not self.resume or self.model.level == "patient":
+        return None if self.model.level == "patient" else self.finished(spark, self.stored())
+
+    def finished(self, spark, kind: str) -> DataFrame | None:
+        """On resume: units whose metadata of a kind is stored."""
+        if not self.resume:
             return None
         try:
-            return artifacts.read_metadata(spark, self.root, self.stored()).select("sample_id", artifact_label("annotation").alias("annotation"))
+            return artifacts.read_metadata(spark, self.root, kind).select("sample_id", artifact_label("annotation").alias("annotation"))
         except Exception as e:  # a first run has no table yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -176,7 +180,8 @@ class Pipeline:
         """Tiles of slides in the manifest to stored vectors, and a status row of each unit.
 
         Units without tiles get metadata and no payload; units that are stored already are left out on resume.
-        What was stored is read back, so a vector is made once.
+        What was stored is read back, so a vector is made once. On resume only units that were not done are pooled
+        and stored; their tiles are taken from the store where an earlier run has finished them.
         """
         spark = slides.sparkSession
         tables.require_unique(slides, ["sample_id"], "slides")
@@ -192,15 +197,22 @@ class Pipeline:
         out = Result(status)
         vectors = self.model.embed_tiles(mine, pixels)
         if self.model.level == "tile" or self.save_tiles:
-            artifacts.write_tiles(vectors.select(*UNIT, "tile_index", "embedding"), todo.select(*UNIT), self.root, "append" if self.resume else "overwrite")
+            new, bag = todo, vectors
+            if (stored := self.finished(spark, "tile_embeddings")) is not None:
+                new = tables.pending(todo, stored, UNIT)
+                bag = bag.join(stored, tables.same_unit(bag, stored, UNIT), "left_anti")
+            artifacts.write_tiles(bag.select(*UNIT, "tile_index", "embedding"), new.select(*UNIT), self.root, "append" if self.resume else "overwrite")
             out.tiles = artifacts.read(spark, self.root, "tile_embeddings")
-            vectors = out.tiles
+            vectors = out.tiles.join(have, tables.same_unit(out.tiles, have, UNIT), "left_semi")
         if self.model.level != "tile":
             pooled = self.model.aggregate_tiles(vectors)
             if self.model.level == "slide" or self.save_slides:
-                artifacts.write_vectors(pooled, self.root, "slide_embeddings", "append" if self.resume else "overwrite")
-                pooled = artifacts.read(spark, self.root, "slide_embeddings")
-                out.slides = pooled
+                new = pooled
+                if (stored := self.finished(spark, "slide_embeddings")) is not None:
+                    new = pooled.join(stored, tables.same_unit(pooled, stored, UNIT), "left_anti")
+                artifacts.write_vectors(new, self.root, "slide_embeddings", "append" if self.resume else "overwrite")
+                out.slides = artifacts.read(spark, self.root, "slide_embeddings")
+                pooled = out.slides.join(have, tables.same_unit(out.slides, have, UNIT), "left_semi")
             if self.model.level == "patient":
                 artifacts.write_vectors(pool_patients(pooled, patients), self.root, "patient_embeddings", "overwrite")
                 out.patients = artifacts.read(spark, self.root, "patient_embeddings")

@@ -23,10 +23,10 @@ def path_of(root: str, kind: str) -> str:
 
 def write(payload: DataFrame, metadata: DataFrame, root: str, kind: str, mode: str = "append") -> None:
     """Payload first, metadata last. A payload with classes is partitioned by them; flat labels have none."""
-    by_class = "annotation" in payload.columns and kind != "patient_embeddings"
-    out = payload.withColumn("annotation", artifact_label("annotation")) if by_class else payload
+    classes = "annotation" in payload.columns and kind != "patient_embeddings"
+    out = payload.withColumn("annotation", artifact_label("annotation")) if classes else payload
     writer = out.write.mode(mode)
-    (writer.partitionBy("annotation") if by_class else writer).parquet(f"{path_of(root, kind)}/payload")
+    (writer.partitionBy("annotation") if classes else writer).parquet(f"{path_of(root, kind)}/payload")
     metadata.write.mode(mode).parquet(f"{path_of(root, kind)}/metadata")
 
 
@@ -44,9 +44,23 @@ def write_vectors(vectors: DataFrame, root: str, kind: str, mode: str = "append"
     write(vectors, vectors.select(*(c for c in vectors.columns if c != "embedding"), F.size("embedding").alias("feature_dim")), root, kind, mode)
 
 
+def payload(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """All payload rows. Classes stay text: Spark would guess the type of a partition column from its values."""
+    path = f"{path_of(root, kind)}/payload"
+    schema = spark.read.option("recursiveFileLookup", "true").parquet(path).schema
+    if kind != "patient_embeddings" and "annotation" not in schema.names and by_class(spark, path):
+        schema = schema.add("annotation", "string")
+    return spark.read.schema(schema).parquet(path)
+
+
+def by_class(spark: SparkSession, path: str) -> bool:
+    """Whether a payload is partitioned by class."""
+    return "annotation" in spark.read.parquet(path).columns
+
+
 def read(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """Payload rows of units that were finished."""
-    rows, done = spark.read.parquet(f"{path_of(root, kind)}/payload"), read_metadata(spark, root, kind)
+    rows, done = payload(spark, root, kind), read_metadata(spark, root, kind)
     keys = [c for c in ("sample_id", "patient_id", "annotation") if c in rows.columns and c in done.columns]
     done = done.withColumn("annotation", artifact_label("annotation")) if "annotation" in keys else done
     return rows.join(done, same_unit(rows, done, keys), "left_semi")

@@ -42,5 +42,8 @@ def test_query(spark, duck, name):
     got = duck.execute(registered.ORACLE_SQL[name])
     names = [d[0] for d in got.description]
     assert sorted(names) == cols
+    # A double array where the SQL has floats would be another value.
+    floats = {c for c, t in df.dtypes if t == "array<float>"}
+    assert floats == {d[0] for d in got.description if str(d[1]).upper() == "FLOAT[]"}
     at = [names.index(c) for c in cols]
     assert ours == Counter(repr(tuple(plain(r[i]) for i in at)) for r in got.fetchall())

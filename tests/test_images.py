@@ -140,6 +140,20 @@ def test_run(spark, tmp_path, registry):
         assert {x.feature_status for x in r.status.collect()} == {"success"}
         assert [x.sample_id for x in r.skipped.collect()] == ["c"]
 
+    # Slides with stored tiles, classes null only and then one that reads like a number: a second run adds nothing.
+    for k, some in enumerate((tiles.withColumn("annotation", F.lit(None).cast("string")), tiles.withColumn("annotation", F.when(F.col("sample_id") == "b", "01")))):
+        runs = []
+        for _ in range(2):
+            r = Pipeline(Model.from_preset("s", registry=registry), f"{tmp_path}/s{k}", resume=True, save_tiles=True).run(slides, some)
+            runs.append((sorted((x.sample_id, x.annotation or "", x.embedding) for x in r.slides.collect()), r.tiles.count()))
+        label = "01" if k else ""
+        assert runs[0] == runs[1] == ([("a", "", [2.5, 0.5]), ("b", label, [5.0, 0.0])], 3)
+    more = Pipeline(Model.from_preset("s", registry=registry), f"{tmp_path}/s1", resume=True, save_tiles=True).run(slides, tiles.withColumn("annotation", F.when(F.col("sample_id") == "b", "02")))
+    assert sorted((x.sample_id, x.annotation or "") for x in more.slides.collect()) == [("a", ""), ("b", "01"), ("b", "02")] and more.tiles.count() == 4
+    for _ in range(2):
+        r = Pipeline(Model.from_preset("p", registry=registry), f"{tmp_path}/pr", resume=True, save_tiles=True, save_slides=True).run(slides, tiles, who)
+        assert (r.tiles.count(), r.slides.count(), r.patients.count()) == (3, 2, 2)
+
     r = Pipeline(Model.from_preset("p", registry=registry), f"{tmp_path}/p", save_slides=True).run(slides, tiles, who)
     assert sorted((x.patient_id, x.embedding, x.num_slides) for x in r.patients.collect()) == [("b", [5.0, 0.0], 1), ("x", [2.5, 0.5], 1)]
     assert {x.patient_id: x.slide_embeddings for x in slide_vectors_of(r.slides, who).collect()} == {"b": {"b": [5.0, 0.0]}, "x": {"a": [2.5, 0.5]}}
