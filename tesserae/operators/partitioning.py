@@ -38,18 +38,28 @@ def balanced(units: DataFrame, ranks: int, weight: str, unit: str, out: str = "r
 
 
 def packed_groups(groups: DataFrame, key: Sequence[str], order: str, size: str, capacity: int, out: str = "batch") -> DataFrame:
-    """Greedy batches of whole groups in order: a group that would overfill a batch that holds something opens the next."""
-    item = F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n"))
-    queue = groups.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("q"))
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("to"))
+    """Greedy batches of whole groups in order: a group that would overfill a batch that holds something opens the next.
 
-    def step(s: Column, x: Column) -> Column:
-        over = (s["n"] > 0) & (s["n"] + x["n"] > capacity)
-        b = F.when(over, s["b"] + 1).otherwise(s["b"])
-        return F.struct(b.alias("b"), F.when(over, x["n"]).otherwise(s["n"] + x["n"]).alias("n"), F.array_append(s["to"], b).alias("to"))
-
-    done = queue.select(*key, "q", F.aggregate("q", zero, step)["to"].alias("to"))
-    return done.select(*key, F.explode(F.arrays_zip("q", "to")).alias("x")).select(*key, F.col("x.q.o").alias(order), F.col("x.q.n").alias(size), F.col("x.to").alias(out))
+    Spark sorts the groups of each key; a task walks them and holds only the batch that is open.
+    """
+    rows = groups.select(*key, order, F.col(size).cast("long").alias(size))
+    n = len(key)
+
+    def walk(frames):
+        now, batch, held = None, 0, 0
+        for frame in frames:
+            to = []
+            for *k, _, units in frame.itertuples(index=False, name=None):
+                if k != now:
+                    now, batch, held = k, 0, 0
+                if held > 0 and held + units > capacity:
+                    batch, held = batch + 1, 0
+                held += units
+                to.append(batch)
+            yield frame.assign(**{out: to})
+
+    schema = rows.schema.add(out, "integer")
+    return (rows.repartition(*key) if n else rows.repartition(1)).sortWithinPartitions(*key, order).mapInPandas(walk, schema)
 
 
 def size_bins(rows: DataFrame, size: str, cuts: Sequence[float] = (0.33, 0.66), out: str = "bin") -> DataFrame:

@@ -296,8 +296,10 @@ def overlap_add(spark, sf_dir):
     SELECT t.label, list_concat(list_transform(t.embedding, lambda x: round(CAST(x AS DOUBLE), 6)), p.m) AS vector FROM t JOIN p USING (label) WHERE t.r = 1""")
 def cls_patch_mean(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    tokens = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("tokens"))
-    return tokens.select("label", F.transform(X.class_and_patch_mean("tokens", 1), lambda x: F.round(x, 6)).alias("vector"))
+    # One label may hold much of the table: its class token by min_by, its patches by partial sums.
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("token"), F.min("vec_id").alias("vec_id"))
+    patches = aggregate.pool_mean(e.join(first.select("label", "vec_id"), ["label", "vec_id"], "left_anti"), ["label"], "embedding", "mean")
+    return first.join(patches, "label").select("label", F.transform(F.concat(F.col("token").cast("array<double>"), "mean"), lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kinds of events that a bridge passes on.
@@ -22,12 +22,17 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema("kind string, payload map<string,string>, timestamp double").json(path).select("kind", "payload", F.timestamp_micros((F.col("timestamp") * 1e6).cast("long")).alias("ts"))
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there now; the result table, which is an aggregate, as a DataFrame."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str | None = None, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all that is there now; the result table, which is an aggregate, as a DataFrame.
+
+    The table and the checkpoint lie in a folder of their own, in the shared one that the session names for checkpoints if none is given.
+    """
+    spark = stream.sparkSession
+    root = folder or f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/drained-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    q = q.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{root}/table")).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{root}/table")
 
 
 def counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,20 +48,24 @@ def bridged(events: DataFrame, kinds=BRIDGED) -> DataFrame:
 def throttled(lines: DataFrame, seconds: float = 1.0) -> DataFrame:
     """Of lines (key, line, ts) in a table: drops a line that repeats the last one shown for its key within a time.
 
-    Lines are cut into runs of equal ones; what is shown of a run depends on all before it in the run, so each
-    run is a fold over its times alone. Further columns are not kept.
+    Spark sorts the lines of each key; a task walks them and holds only the line shown last. Further columns are not kept.
     """
-    w = Window.partitionBy("key").orderBy("ts", "line")
-    fresh = ~F.col("line").eqNullSafe(F.lag("line").over(w)) | F.lag(F.lit(1)).over(w).isNull()
-    runs = lines.select("key", "line", "ts", fresh.cast("int").alias("_new")).withColumn("_run", F.sum("_new").over(w)).groupBy("key", "_run", "line").agg(F.array_sort(F.collect_list("ts")).alias("_ts"))
-    micros = lambda t: F.unix_micros(t.cast("timestamp"))
-    none = F.slice("_ts", 1, 0)
-
-    def step(shown, t):
-        last = F.get(shown, F.size(shown) - 1)
-        return F.when(last.isNull() | (micros(t) - micros(last) >= int(seconds * 1e6)), F.array_append(shown, t)).otherwise(shown)
-
-    return runs.select("key", "line", F.explode(F.aggregate("_ts", none, step)).alias("ts"))
+    rows = lines.select("key", "line", "ts").repartition("key").sortWithinPartitions("key", "ts", "line")
+    least = int(seconds * 1e6)
+
+    def walk(frames):
+        last = None  # key, line and time of what was shown last
+        for frame in frames:
+            micros = frame["ts"].astype("datetime64[us]").astype("int64")
+            keep = []
+            for key, line, at in zip(frame["key"], frame["line"], micros):
+                again = last is not None and last[0] == key and last[1] == line and at - last[2] < least
+                if not again:
+                    last = key, line, at
+                keep.append(not again)
+            yield frame[keep]
+
+    return rows.mapInPandas(walk, rows.schema)
 
 
 def throttled_stream(lines: DataFrame, seconds: str = "1 second") -> DataFrame:
