@@ -4,7 +4,7 @@ Rules (host and path prefix) decide first. Hosts of pages they allow are trusted
 they block are distrusted ones. Trust is a personalised PageRank along host edges from the trusted
 seeds; distrust is one along the reversed edges from the blocked seeds, so that who links to blocked
 hosts is distrusted. A host's other pages are blocked if its distrust passes a threshold and far outweighs
-its trust. Host edges are absolute links of pages, and ties between a host and its parent domain.
+its trust. Host edges are links of pages that name a host (with a scheme or from // on), and ties between a host and its parent domain.
 """
 
 from __future__ import annotations
@@ -60,8 +60,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     Links are counted by host pair before they are shuffled. The parent of a host is what follows its first
     dot, if that has a dot itself; a tie counts as a link both ways.
     """
-    targets = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?\s*(https?://[^\s"'<>]+)"""), 1)
-    links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(targets).alias("url")).select("src", host_of(F.col("url")).alias("dst"))
+    targets = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""), 1)
+    links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(targets).alias("url")).select("src", host_of(F.concat(F.lit(":"), F.regexp_replace("url", "^[^/]*:", ""))).alias("dst"))
     hosts = pages.where("host <> ''").select("host").distinct()
     parent = F.regexp_extract("host", r"^[^.]+\.([^.]+\..+)$", 1)
     ties = hosts.select("host", parent.alias("up")).where("up <> ''")

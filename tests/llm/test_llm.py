@@ -231,6 +231,35 @@ def test_url_ranks_settle(spark):
     assert max(abs(got[h] - want[at[h]]) for h in names) < 15 * urls.TOLERANCE and want.min() > 0
 
 
+def test_url_method_blocks_hosts_that_link_to_blocked_ones(spark):
+    """A graph of absolute and protocol-relative links: seeds, both ranks and the verdicts against power iteration by hand."""
+    out = {
+        "good.org": ["news.net", "wiki.net"], "news.net": ["wiki.net", "good.org"], "wiki.net": ["good.org"],
+        "bad.net": [], "farm.net": ["bad.net"] * 6 + ["good.org"], "ring.net": ["farm.net", "bad.net"],
+        **{f"plain{k}.net": [] for k in range(6)},
+    }
+    link = lambda k, h: f'<a class=x HREF = "{("//", "https://", "HTTP://")[k % 3]}{h.upper() if k % 2 else h}/p?q">'
+    pages = [(i, f"http://{h}/{'bad' if h == 'bad.net' else 'x'}", "<a href='/rel'><a href=mailto:a@b.c>" + "".join(link(k, d) for k, d in enumerate(to))) for i, (h, to) in enumerate(out.items())]
+    pages.append((99, "http://bad.net/other", None))
+    rules = (("allow", "org", "/"), ("block", "bad.net", "/bad"))
+    rows = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"trust": F.lit(1), "rank": F.lit(2), "src": F.lit("s")}), rules).collect()
+    hosts = list(out)
+    m = np.array([[to.count(d) for d in hosts] for to in out.values()], float)
+    seeds = {"trust": np.eye(12)[0], "distrust": np.eye(12)[3]}
+    want = {}
+    for kind, a in (("trust", m), ("distrust", m.T)):
+        share = (a / np.maximum(a.sum(1, keepdims=True), 1)).T
+        want[kind] = np.linalg.solve(np.eye(12) - 0.85 * share, 0.15 * seeds[kind]) * 12
+    for r in rows:
+        k = hosts.index(r["host"])
+        t, d = want["trust"][k], want["distrust"][k]
+        assert abs(r["trust"] - t) < 1e-4 and abs(r["distrust"] - d) < 1e-4
+        by_rule = "allow" if r["host"] == "good.org" else "block" if r["path"] == "/bad" else None
+        assert r["verdict"] == (by_rule or ("block" if d > urls.THRESHOLD and d > urls.MARGIN * t else "allow"))
+    assert {r["host"] for r in rows if r["verdict"] == "block" and r["rule"] is None} >= {"farm.net"}
+    assert {r["verdict"] for r in rows if r["host"] in ("news.net", "wiki.net")} == {"allow"}
+
+
 # 4
 
 
@@ -504,6 +533,21 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_recall_at_the_registered_share(spark):
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in queries.table(spark, "/root/testdata/sf0.01", "embeddings").collect()}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] for i in ids])
+    got = defaultdict(set)
+    for r in queries.op8_inverted_multi_index(spark, "/root/testdata/sf0.01").collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = []
+    for q in ids[ids % 20 == 0]:
+        s = x @ rows[q]
+        best = [i for i in ids[np.lexsort((ids, -s))] if i != q][:20]
+        hits.append(len(got[q] & set(best)) / 20)
+    assert np.mean(hits) >= 0.9
+
+
 def test_visit_goes_by_summed_distance():
     one, two, q = RNG.normal(size=(5, 3)), RNG.normal(size=(6, 3)), RNG.normal(size=6)
     cells = neighbours.visit(q, one, two, np.ones(30, np.int64), 30)
