@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("tesserae.llm.queries")
-from tesserae.llm import common, divergence, hmm, language, neighbours, packing, pieces, queries, resampling, simhash, suffixes, urls  # noqa: E402
+from tesserae.llm import common, divergence, hmm, language, neighbours, packing, pieces, queries, resampling, shingles, simhash, suffixes, urls  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, weight int, bucket string, kept string"
 
@@ -436,6 +436,21 @@ def test_near_dedup_stage_takes_all_five_word_copies(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(label)
 
 
+def test_parities_never_exceed_the_shingles_that_differ():
+    rng = np.random.default_rng(3)
+    for n, changed in [(0, 0), (1, 1), (40, 3), (400, 30), (3000, 900)]:
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.union1d(a[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64))
+        differ = len(np.setxor1d(a, b))
+        for longs_ in (1, shingles.WIDE):
+            x, y = shingles.parities(a, longs_), shingles.parities(b, longs_)
+            bits = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+            assert bits <= differ and bits % 2 == differ % 2
+        if differ == 6:
+            assert bits >= 4
+        assert (x == shingles.parities(a[::-1])).all() and shingles.parities(a, 1)[0] == shingles.parity(a)
+
+
 def test_components_of_a_chain(spark):
     n = 200
     order = RNG.permutation(n)
