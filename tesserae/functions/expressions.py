@@ -77,6 +77,31 @@ def artifact_dir(kind: str, label: Column | str) -> Column:
     return F.concat_ws("/", F.lit(kind), artifact_label(label))
 
 
+def image_paths(root: str, kind: str, sample: Column | str, suffix: str) -> Column:
+    """Struct (payload, sidecar) of an image's artifact, flat in the folder of its kind; null where the sample can't be part of a path."""
+    base = F.concat(F.lit(f"{root.rstrip('/')}/{kind}/"), col(sample))
+    return F.when(is_path_part(sample), F.struct(F.concat(base, F.lit("." + suffix)).alias("payload"), F.concat(base, F.lit(".meta.json")).alias("sidecar")))
+
+
+def tile_archive(root: Column | str, sample: Column | str) -> Column:
+    """A root that is an archive holds all samples; else each has its own below it."""
+    r = col(root)
+    return F.when(r.endswith(".tar"), r).otherwise(F.concat(F.regexp_replace(r, "/+$", ""), F.lit("/"), col(sample), F.lit(".tiles.tar")))
+
+
+def ranked_path(path: Column | str, rank: Column | str) -> Column:
+    """A file's path with the rank before its last suffix."""
+    p = col(path)
+    folder, name = F.regexp_extract(p, r"^(.*/)?", 0), path_stem(p)
+    return F.concat(folder, name, F.lit(".rank"), col(rank).cast("string"), F.regexp_extract(p, r"[^/](\.[^./]*)$", 1))
+
+
+def positive_or_null(x: Column | str) -> Column:
+    """A positive, finite number; null for any other."""
+    v = col(x).cast("double")
+    return F.when((v > 0) & ~F.isnan(v) & (v < float("inf")), v)
+
+
 def region_name(x: Column | str, y: Column | str) -> Column:
     return F.concat_ws("_", col(x).cast("string"), col(y).cast("string"))
 

@@ -85,6 +85,12 @@ def cropped_read(pixels: Column | str, height: Column | str, width: Column | str
     return _raster(n, n, channels, cell)
 
 
+def window(pixels: Column | str, width: Column | str, top: Column | str, left: Column | str, height_out: Column | str, width_out: Column | str, channels: int = 1) -> Column:
+    """A part of an image of the given width; it must lie inside."""
+    p, (w, t, s, ho, wo) = col(pixels), (col(v).cast("int") for v in (width, top, left, height_out, width_out))
+    return _raster(ho, wo, channels, lambda y, x, c: _pick(p, w, channels, y + t, x + s, c))
+
+
 def unfolded(pixels: Column | str, side: Column | str, tile: int, channels: int = 1) -> Column:
     """A square region as an array of its tiles, by rows. Null where tiles don't divide the region."""
     p, s = col(pixels), col(side).cast("int")

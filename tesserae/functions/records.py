@@ -114,6 +114,13 @@ def raster_plan(spacing_source: str, declared: Column | str | None, requested_ba
     return record(READ_PLAN, reader_regime="raster", spacing_source=spacing_source, declared_spacing_um=declared, source_spacing_um=declared, effective_spacing_um=declared, requested_backend=requested_backend, backend="pil")
 
 
+def image_recipe(recipe: dict[str, Column], plan: Column | str, sample: Column | str, path: Column | str) -> Column:
+    """What an image's grid must agree in to be kept: identity, encoder, read plan, then the rest of the recipe. The plan's fields come before the recipe's own of the same name."""
+    p = {n: col(plan)[n] for n, _ in fields(READ_PLAN)}
+    who = {"sample_id": col(sample), "image_path": col(path)} | {n: recipe[n] for n in ("encoder_name", "output_variant")}
+    return merged(who, p, {n: c for n, c in recipe.items() if n not in p and n not in who})
+
+
 def region_compatibility(plan: Column | str, read_px: Column | str, requested_px: Column | str) -> Column:
     """What a region's record must agree in to be kept: the read plan and both sizes."""
     p = {n: col(plan)[n] for n, _ in fields(READ_PLAN)}

@@ -127,6 +127,22 @@ def vector_udf(e: Encoder, dim: int):
     return encode
 
 
+def token_udf(e: Encoder, tokens: int, dim: int):
+    """Column function from arrays to grids of `tokens` vectors of dim; the encoder is made once for each Python worker's task."""
+    make = e.make
+
+    @F.pandas_udf("array<array<float>>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = make()
+        for s in batches:
+            out = np.zeros((0, tokens, dim), np.float32) if not len(s) else np.asarray(run(np.stack(s.to_numpy())), np.float32)
+            if out.shape != (len(s), tokens, dim):
+                raise ValueError(f"{e.name} gave {out.shape}, not {(len(s), tokens, dim)}")
+            yield pd.Series([list(v) for v in out])
+
+    return encode
+
+
 def as_half(column):
     """Values rounded to half precision and back; Spark has no half type."""
 

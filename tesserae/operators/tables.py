@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.expressions import artifact_label, has_tiles
+from tesserae.functions.expressions import artifact_label, has_tiles, positive_or_null
 
 
 class TableError(ValueError):
@@ -38,6 +38,23 @@ def require_all(rows: DataFrame, ok: Column, shown: Sequence[str], what: str, na
     return rows
 
 
+def require_images(images: DataFrame, raster: bool = True) -> DataFrame:
+    """Image rows (sample_id, image_path, spacing_at_level_0), if there are any, their ids differ and their spacings make sense; rasters have none."""
+    if images.isEmpty():
+        raise TableError("no images")
+    known = require_unique(images, ["sample_id"], "images")
+    spacing = F.col("spacing_at_level_0")
+    ok = spacing.isNull() if raster else spacing.isNull() | positive_or_null(spacing).isNotNull()
+    return require_all(known, ok, ["sample_id"], "images whose spacing at level 0 can't be used")
+
+
+def agreed(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Keys with the one value that their rows agree in (nulls have no say; null if there is none), and whether they agree."""
+    low, high = F.min(value), F.max(value)
+    same = F.coalesce(low == high, F.lit(True))
+    return rows.groupBy(*keys).agg(F.when(same, low).alias(value), same.alias("agree"))
+
+
 # Filters
 
 

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions import encoders
+from tesserae.functions import contracts, encoders
 from tesserae.functions.expressions import artifact_label, has_tiles
-from tesserae.functions.registry import Encoder, Registry, vector_udf
-from tesserae.operators import aggregate, spatial, tables
+from tesserae.functions.registry import Encoder, Registry, token_udf, vector_udf
+from tesserae.operators import aggregate, dense, spatial, tables
 from tesserae.sources import artifacts
 
 UNIT = ("sample_id", "annotation")
@@ -112,6 +112,17 @@ class Model:
     def embed_images_dense(self, windows: DataFrame, pixels: str = "pixels") -> DataFrame:
         return self.embed_regions_dense(windows, pixels, ("sample_id",))
 
+    def embed_grids(self, images: DataFrame, target: int | tuple[int, int], keys: Sequence[str] = ("sample_id",), window: int | None = None, overlap: float = 0.0, pad_mode: str = "reflect", pixels: str = "pixels", channels: int = 1) -> DataFrame:
+        """Images of one size to grids: (keys, h, w, vector), from windows that are encoded apart and blended on both axes."""
+        self.need("tile")
+        if self.encoder.make is None or self.encoder.patch is None:
+            raise ValueError(f"{self.encoder.name} has no implementation or no patches; plug one in")
+        layout = contracts.Layout.of(target, self.encoder.patch, window, overlap)
+        contracts.check_dense(layout, pad_mode)
+        cut = dense.cut(images.select(*keys, pixels), layout, pixels, channels, pad_mode)
+        tokens = token_udf(self.encoder, layout.tokens[0] * layout.tokens[1], self.dim)(pixels)
+        return dense.blend(cut.select(*keys, "win_y", "win_x", tokens.alias("tokens")), keys, layout)
+
 
 def pool_patients(slides: DataFrame, patients: DataFrame | None = None) -> DataFrame:
     """Slide vectors (sample_id, embedding) to patient vectors. An own id stands in where the map has none."""

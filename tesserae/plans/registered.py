@@ -1,7 +1,7 @@
 """All registered queries and their SQL."""
 
-from tesserae.plans import catalogue, imaging, telemetry
+from tesserae.plans import catalogue, grids, imaging, telemetry
 
 QUERIES = catalogue.QUERIES
 ORACLE_SQL = catalogue.ORACLE_SQL
-MODULES = (catalogue, imaging, telemetry)
+MODULES = (catalogue, grids, imaging, telemetry)
