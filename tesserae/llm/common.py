@@ -32,15 +32,16 @@ def scratch_root(spark: SparkSession) -> str:
             root = tempfile.mkdtemp(prefix="tesserae-")
             spark.conf.set("spark.checkpoint.dir", root)
         else:
-            root = spark.conf.get("spark.sql.warehouse.dir")
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
-def settle(df: DataFrame, *drop: str) -> tuple[DataFrame, str]:
+def settle(df: DataFrame, *drop: str, tidied: bool = True) -> tuple[DataFrame, str]:
     """Write df to a table in the shared folder and reread it: cuts the lineage, and survives executors.
 
     drop: paths of earlier tables that nothing needs any more. Also lets Spark remove the shuffle
-    files behind df, which nothing can read again.
+    files behind df, which nothing can read again. tidied: also those of queries that only the garbage collector
+    knows to be finished; not worth its time in rounds over small tables.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tesserae-{uuid.uuid4().hex}"
@@ -50,7 +51,8 @@ def settle(df: DataFrame, *drop: str) -> tuple[DataFrame, str]:
     for p in drop:
         remove(spark, p)
     del df
-    tidy(spark)
+    if tidied:
+        tidy(spark)
     return out, path
 
 

@@ -9,10 +9,12 @@ its trust. Host edges are links of pages that name a host (with a scheme or from
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import remove, settle
+from tesserae.llm.common import partitions, remove, settle
 
 #: Fixed values: (verdict, host, path prefix) of the default rules.
 RULES = (
@@ -25,21 +27,29 @@ RULES = (
 DAMPING = 0.85
 #: Ranks are settled when all of them together are no farther than this from the exact solution; seeds have a mass of one.
 TOLERANCE = 1e-6
+#: Steps along links are joined to themselves as long as that makes at most so many rows (or four times the edges).
+DOUBLED_ROWS = 1 << 20
 #: Rounds between writes that cut the lineage.
-ROUNDS_PER_TABLE = 4
+ROUNDS_PER_TABLE = 8
 #: A host is blocked if its distrust is over this many times the mean of hosts, and over so many times its trust.
 THRESHOLD, MARGIN = 1.0, 3.0
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def after_scheme(url: Column) -> Column:
+    """What follows the first ://; empty for null or without one. Later ones, as in redirects, play no part."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise("")
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to / ? # or the end, A-Z lower-cased; empty for null or without ://."""
-    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), _AZ, _az)
+    return F.translate(F.regexp_extract(after_scheme(url), r"^[^/?#]*", 0), _AZ, _az)
 
 
 def path_of(url: Column) -> Column:
     """After the host up to ? # or the end; empty for null or without ://."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(after_scheme(url), r"^[^/?#]*(/[^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -69,37 +79,92 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return every.where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+def joined_with(steps: DataFrame, right: DataFrame) -> DataFrame:
+    """steps: (src, dst, share). Rows of right (at, ...) moved along the steps that start there."""
+    return right.join(steps, right["at"] == steps["src"])
+
+
+def pairs_of(steps: DataFrame) -> int:
+    """Pairs of steps that follow one another, counted without making them."""
+    ends = steps.groupBy(F.col("dst").alias("h")).agg(F.count("*").alias("a"))
+    starts = steps.groupBy(F.col("src").alias("h")).agg(F.count("*").alias("b"))
+    return ends.join(starts, "h").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int | None = None, tolerance: float = TOLERANCE, certain=None, doubled: bool = True) -> DataFrame:
     """(host, rank): personalised PageRank from seeds (host, mass) along edges (src, dst, share).
 
     Mass of hosts without an out-edge is lost to the sum, as if it left the graph; ranks are compared, not
-    added up. Hosts never reached have no row. Rounds of two shuffles of host rows, until the summed distance to
-    the exact solution is at most tolerance, or the given number of them. A round brings the ranks nearer by
-    the factor damping, so r rounds that changed them by c leave them within c * damping^r / (1 - damping^r).
+    added up. Hosts never reached have no row. The ranks of k steps are a sum over walks of fewer than k steps, and
+    those of 2 k steps are these plus these moved by k steps. So steps are doubled by joining them to themselves
+    while that makes no more rows than a few times the edges, or DOUBLED_ROWS; beyond, ranks move by the steps last
+    made, a round being one shuffle of host rows, for the steps are dealt by src once and kept. It goes on
+    until no rank is farther than tolerance from the exact one (after k steps what is missing adds up to at most
+    damping ** k times the seeds' mass of one), or for the given number of steps less one.
+
+    certain: from a DataFrame of ranks to one number, the distance up to which nothing that is asked of them can
+    change (null: any); it ends when the ranks are nearer than that.
     """
-    ranks, path = settle(seeds.select("host", F.col("mass").alias("rank")))
-    done = 0
-    while iterations is None or done < iterations:
-        rounds = ROUNDS_PER_TABLE if iterations is None else min(ROUNDS_PER_TABLE, iterations - done)
+    spark = edges.sparkSession
+    add = lambda a, b: a.unionByName(b).groupBy("host").agg(F.sum("rank").alias("rank"))
+    move = lambda ranks, steps: joined_with(steps, ranks.withColumnRenamed("host", "at")).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+    first, p_first = settle(seeds.select("host", (F.col("mass") * ((1 - damping) if iterations is None else 1.0)).alias("rank")), tidied=False)
+    if iterations is not None:
+        base = first.select("host", (F.col("rank") * (1 - damping)).alias("rank"))
+    steps, p_steps = settle(edges.select("src", "dst", (F.col("share") * damping).alias("share")), tidied=False)
+    ranks, p_ranks, size, done = first, p_first, 1, 1
+    most = max(DOUBLED_ROWS, 4 * steps.count())
+
+    def near_enough() -> bool:
+        if damping**done <= tolerance:
+            return True
+        if certain is None or damping**done > 0.01:  # too early to ask
+            return False
+        far = certain(ranks).first()[0]
+        return far is None or damping**done < far
+
+    while doubled and iterations is None and not near_enough() and (steps.count() ** 2 <= most or pairs_of(steps) <= most):
+        ranks, p_new = settle(add(ranks, move(ranks, steps)), p_ranks, tidied=False)
+        onward = joined_with(steps, steps.select(F.col("src").alias("from"), F.col("dst").alias("at"), F.col("share").alias("so_far")))
+        twice = onward.groupBy(F.col("from").alias("src"), "dst").agg(F.sum(F.col("so_far") * F.col("share")).alias("share"))
+        steps, p_twice = settle(twice, p_steps, tidied=False)
+        p_ranks, p_steps, size, done = p_new, p_twice, 2 * size, 2 * done
+    kept = steps.repartition(partitions(spark), "src").persist()
+    if iterations is None:
+        base, p_base = ranks, p_ranks
+    else:
+        p_base = p_first
+    while (done <= iterations) if iterations is not None else not near_enough():
+        rounds = ROUNDS_PER_TABLE if iterations is None else min(ROUNDS_PER_TABLE, iterations - done + 1)
         new = ranks
         for _ in range(rounds):
-            moved = new.join(edges, new.host == edges.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-            new = moved.unionByName(seeds.select("host", (F.col("mass") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        new, p_new = settle(new)
-        done += rounds
-        if iterations is None:
-            both = new.unionByName(ranks.select("host", (-F.col("rank")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("change"))
-            change = both.agg(F.sum(F.abs("change"))).first()[0] or 0.0
-        remove(edges.sparkSession, path)
-        ranks, path = new, p_new
-        if iterations is None and change * damping**rounds <= tolerance * (1 - damping**rounds):
-            break
+            new = add(base, move(new, kept))
+        new, p_new = settle(new, *([p_ranks] if p_ranks != p_base else []), tidied=False)
+        ranks, p_ranks, done = new, p_new, done + rounds * size
+    kept.unpersist()
+    remove(spark, p_steps)
+    if p_ranks != p_base:
+        remove(spark, p_base)
     return ranks
 
 
-def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterations: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def room(ranks: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The distance from the exact ranks up to which no host's verdict can be another: the least over hosts, in one row.
+
+    ranks: (host, rank), host being `allow ` or `block ` and the name. Hosts that were not reached have no distrust
+    and are allowed up to the threshold.
+    """
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("host").startswith(kind + " "), F.col("rank"))), F.lit(0.0))
+    both = ranks.groupBy(F.substring("host", 7, 1 << 30).alias("name")).agg(of("allow").alias("t"), of("block").alias("d"))
+    over, more = F.col("d") - threshold / n, (F.col("d") - MARGIN * F.col("t")) / (1 + MARGIN)
+    return both.select(F.when((over > 0) & (more > 0), F.least(over, more)).otherwise(F.greatest(-over, -more)).alias("room")).agg(F.least(F.min("room"), F.lit(threshold / n)))
+
+
+def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterations: int | None = None, threshold: float = THRESHOLD, tolerance: float | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust and distrust (multiples of the mean over hosts) for every row of pages.
 
+    Ranks are iterated until no host's verdict can change any more (or, should one stay open, until all are within
+    TOLERANCE); if they are wanted themselves, a tolerance says how near.
     Pages without a host have no rule and are allowed. Null html: no links. Repeated rows are judged alike and
     count as often as they occur; extra columns are ignored. An empty table gives no rows.
     """
@@ -118,7 +183,8 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, iterations: i
         ways.append(edges.join(sums, src).select(of(src).alias("src"), of(dst).alias("dst"), (F.col("links") / F.col("out")).alias("share")))
         starts.append(pages_of.where(F.col(kind) > 0).select(of("host").alias("host"), (F.col(kind) / F.lit(float(total or 1))).alias("mass")))
     along, p_along = settle(ways[0].unionByName(ways[1]))
-    ranks = propagate(along, starts[0].unionByName(starts[1]), damping, iterations)
+    certain = None if tolerance is not None or not n else lambda r: room(r, n, threshold)
+    ranks = propagate(along, starts[0].unionByName(starts[1]), damping, iterations, TOLERANCE if tolerance is None else tolerance, certain)
     scaled = {kind: ranks.where(F.col("host").startswith(kind + " ")).select(F.substring("host", 7, 1 << 30).alias("host"), (F.col("rank") * F.lit(float(n or 1))).alias(name)) for kind, name in (("allow", "trust"), ("block", "distrust"))}
     scores = pages_of.select("host").join(scaled["allow"], "host", "left").join(scaled["block"], "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     scores, _ = settle(scores, p_edges, p_hosts, p_along)
