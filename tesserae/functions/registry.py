@@ -112,7 +112,10 @@ class Registry:
 
 
 def vector_udf(e: Encoder, dim: int):
-    """Column function from arrays to vectors of dim; the encoder is made once for each Python worker's task."""
+    """Column function from arrays to vectors of dim; the encoder is made once for each Python worker's task.
+
+    Not deterministic for the optimizer, which else copies it into filters that it infers (as those of explode), and encodes twice.
+    """
     make = e.make
 
     @F.pandas_udf("array<float>")
@@ -124,7 +127,7 @@ def vector_udf(e: Encoder, dim: int):
                 raise ValueError(f"{e.name} gave {out.shape}, not {(len(s), dim)}")
             yield pd.Series(list(out))
 
-    return encode
+    return encode.asNondeterministic()
 
 
 def token_udf(e: Encoder, tokens: int, dim: int):
@@ -140,7 +143,7 @@ def token_udf(e: Encoder, tokens: int, dim: int):
                 raise ValueError(f"{e.name} gave {out.shape}, not {(len(s), tokens, dim)}")
             yield pd.Series([list(v) for v in out])
 
-    return encode
+    return encode.asNondeterministic()
 
 
 def as_half(column):

@@ -7,10 +7,11 @@ All slides go through one plan; ranks and shards are Spark's partitions. Tables:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import contracts, encoders
@@ -160,6 +161,8 @@ class Pipeline:
     resume: bool = False
     save_tiles: bool = False
     save_slides: bool = False
+    #: Samples after which tile vectors are committed; 0: all at once.
+    checkpoint: int = 1000
 
     def stored(self) -> str:
         return {"tile": "tile_embeddings", "slide": "slide_embeddings", "patient": "patient_embeddings"}[self.model.level]
@@ -178,20 +181,33 @@ class Pipeline:
 
     def finished(self, spark, kind: str) -> DataFrame | None:
         """On resume: units whose metadata of a kind is stored."""
-        if not self.resume:
-            return None
-        try:
-            return artifacts.read_metadata(spark, self.root, kind).select("sample_id", artifact_label("annotation").alias("annotation"))
-        except Exception as e:  # a first run has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if not self.resume or not artifacts.exists(spark, self.root, kind):
             return None
+        return artifacts.read_metadata(spark, self.root, kind).select("sample_id", artifact_label("annotation").alias("annotation"))
+
+    def batches(self, units: DataFrame) -> list[Column]:
+        """Conditions that cut units into ranges of about `checkpoint` samples each. Ranges, so that a scan of tiles stored by sample reads a batch's row groups only."""
+        samples = units.select("sample_id").distinct()
+        n = -(-samples.count() // self.checkpoint) if self.checkpoint else 1
+        if n <= 1:
+            return [F.lit(True)]
+        ends = samples.repartitionByRange(n, "sample_id").groupBy(F.spark_partition_id()).agg(F.max("sample_id").alias("top")).select("top").collect()
+        tops = sorted(r.top for r in ends)[:-1]
+        at = F.col("sample_id")
+        return [F.lit(True) if not tops else at <= tops[0], *((at > a) & (at <= b) for a, b in zip(tops, tops[1:])), *([at > tops[-1]] if tops else [])]
+
+    def parked(self, df: DataFrame) -> DataFrame:
+        """Written and read back, where more than one plan reads what encoders have made."""
+        path = f"{self.root}/_work/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def run(self, slides: DataFrame, tiles: DataFrame, patients: DataFrame | None = None, tiling_only: bool = False, pixels: str = "pixels") -> Result:
         """Tiles of slides in the manifest to stored vectors, and a status row of each unit.
 
         Units without tiles get metadata and no payload; units that are stored already are left out on resume.
-        What was stored is read back, so a vector is made once. On resume only units that were not done are pooled
+        What was stored is read back, so a vector is made once, and tiles are committed after each `checkpoint`
+        samples, so a run that dies loses one batch. On resume only units that were not done are pooled
         and stored; their tiles are taken from the store where an earlier run has finished them.
         """
         spark = slides.sparkSession
@@ -208,11 +224,16 @@ class Pipeline:
         out = Result(status)
         vectors = self.model.embed_tiles(mine, pixels)
         if self.model.level == "tile" or self.save_tiles:
-            new, bag = todo, vectors
+            new, rows = todo, mine
             if (stored := self.finished(spark, "tile_embeddings")) is not None:
                 new = tables.pending(todo, stored, UNIT)
-                bag = bag.join(stored, tables.same_unit(bag, stored, UNIT), "left_anti")
-            artifacts.write_tiles(bag.select(*UNIT, "tile_index", "embedding"), new.select(*UNIT), self.root, "append" if self.resume else "overwrite")
+                rows = rows.join(stored, tables.same_unit(rows, stored, UNIT), "left_anti")
+            mode = "append" if self.resume else "overwrite"
+            for batch in self.batches(new):
+                # Rows are cut before they are encoded: no filter is pushed below an encoder.
+                bag = self.model.embed_tiles(rows.where(batch), pixels).select(*UNIT, "tile_index", "embedding")
+                artifacts.write_tiles(bag, new.where(batch).select(*UNIT), self.root, mode)
+                mode = "append"
             out.tiles = artifacts.read(spark, self.root, "tile_embeddings")
             vectors = out.tiles.join(have, tables.same_unit(out.tiles, have, UNIT), "left_semi")
         if self.model.level != "tile":
@@ -225,6 +246,8 @@ class Pipeline:
                 out.slides = artifacts.read(spark, self.root, "slide_embeddings")
                 pooled = out.slides.join(have, tables.same_unit(out.slides, have, UNIT), "left_semi")
             if self.model.level == "patient":
+                if not self.save_slides:
+                    pooled = self.parked(pooled)
                 artifacts.write_vectors(pool_patients(pooled, patients), self.root, "patient_embeddings", "overwrite")
                 out.patients = artifacts.read(spark, self.root, "patient_embeddings")
         out.skipped = units.where(~has_tiles("num_tiles"))
