@@ -1,11 +1,13 @@
-"""Queries on stored tables: commits and their replay."""
+"""Queries on what is stored: commits and their replay, pyramids of tiles."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tesserae.plans.catalogue import query, table
-from tesserae.sources import commits
+from tesserae.sources import commits, regions, tiff
 
 
 @query("""
@@ -22,3 +24,59 @@ def commit_replay(spark, sf_dir):
         t.commit({"payload": rows, "metadata": lambda stored: stored["payload"].groupBy("event_type").agg(F.count("*").alias("noted"))}, f"batch-{b}", partition_by={"payload": ["event_type"]})
     noted = t.read("metadata").groupBy("event_type").agg(F.sum("noted").alias("noted"))
     return t.read("payload").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).join(noted, "event_type")
+
+
+def byte_sum(column):
+    @F.pandas_udf("long")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: int(np.frombuffer(b, np.uint8).sum(dtype=np.int64)))
+
+    return run(column)
+
+
+def pyramids(spark, sf_dir) -> str:
+    """A folder with a pyramid of two levels for each label: its vectors, in order, as rows of 64 pixels; the second level has every other row and pixel."""
+    folder = commits.scratch(spark)
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda v: F.floor(F.abs(v) * 255).cast("int")).alias("p"))
+    spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
+
+    def write(key, group):
+        image = np.stack(group.sort_values("vec_id")["p"].to_numpy()).astype(np.uint8)[:, :, None]
+        tiff.write_pyramid(f"{folder}/{key[0]}.tif", [image, image[::2, ::2]], tile=16, predictor=2, big=bool(key[0] % 2))
+        return pd.DataFrame({"label": [key[0]]})
+
+    rows.groupBy("label").applyInPandas(write, "label int").count()
+    return folder
+
+
+PIXELS = """
+    WITH r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS y, embedding FROM embeddings),
+    p AS (SELECT label, y, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS x FROM r),
+    l AS (SELECT label, 0 AS level, x, y, CAST(floor(abs(v) * 255) AS BIGINT) AS v FROM p UNION ALL SELECT label, 1, x // 2, y // 2, CAST(floor(abs(v) * 255) AS BIGINT) FROM p WHERE x % 2 = 0 AND y % 2 = 0)
+"""
+
+
+@query(f"""{PIXELS}
+    SELECT label, CAST(level AS INTEGER) AS level, CAST(x // 16 AS INTEGER) AS tile_x, CAST(y // 16 AS INTEGER) AS tile_y, count(*) AS pixels, CAST(sum(v) AS BIGINT) AS total
+    FROM l WHERE level = 1 AND x // 16 >= 1 OR level = 0 AND y // 16 = 1 GROUP BY ALL""")
+def pyramid_tiles(spark, sf_dir):
+    folder = pyramids(spark, sf_dir)
+    named = lambda d: d.select(F.regexp_extract("image_path", r"([0-9]+)\.tif$", 1).cast("int").alias("label"), "level", "tile_x", "tile_y", F.octet_length("pixels").cast("long").alias("pixels"), byte_sum("pixels").alias("total"))
+    return named(tiff.tiles(spark, folder, 1, (32, 0, 64, 1 << 40), 2)).unionByName(named(tiff.tiles(spark, folder, 0, (0, 16, 64, 32), 2)))
+
+
+@query(f"""{PIXELS}, s AS (SELECT DISTINCT label, level, x // 10 AS sx, y // 10 AS sy FROM l)
+    SELECT s.label, CAST(s.level AS INTEGER) AS level, s.sx * 10 AS left_px, s.sy * 10 AS top_px, CAST(sum(v) + 255 * (100 - count(*)) AS BIGINT) AS total
+    FROM s JOIN l ON l.label = s.label AND l.level = s.level AND l.x // 10 = sx AND l.y // 10 = sy GROUP BY ALL""")
+def pyramid_squares(spark, sf_dir):
+    """Squares of 10 pixels of both levels, across the seams of tiles, through the opener of pyramids."""
+    folder = pyramids(spark, sf_dir)
+    tops = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.floor((n - 1) / 10)))
+    levels = tops.select("label", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("level")).select("*", F.when(F.col("level") == 0, F.lit(64)).otherwise(32).alias("across"), F.when(F.col("level") == 0, F.col("n")).otherwise(F.ceil(F.col("n") / 2)).alias("down"))
+    squares = levels.select("*", steps(F.col("across")).alias("sx")).select("*", (F.col("sx") * 10).cast("long").alias("left_px"), steps(F.col("down")).alias("sy")).withColumn("top_px", (F.col("sy") * 10).cast("long"))
+    # Places are given at level 0; of n rows the second level has ceil(n / 2).
+    up = lambda at, whole, part: F.ceil(F.col(at) * whole / part).cast("long")
+    requests = squares.select(F.concat(F.lit(folder + "/"), F.col("label"), F.lit(".tif")).alias("image_path"), "label", "level", "left_px", "top_px", up("left_px", F.lit(64), F.col("across")).alias("x"), up("top_px", F.col("n"), F.col("down")).alias("y"), F.lit(10).alias("read_px"))
+    total = F.aggregate("pixels", F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))
+    return regions.read_regions(requests, regions.opener("tiff"), 1).select("label", "level", "left_px", "top_px", total.alias("total"))

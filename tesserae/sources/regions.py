@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.sources.arrays import decode_any
+from tesserae.sources.tiff import Pyramid
 
 
 class Raster:
@@ -35,8 +36,8 @@ class Raster:
         return out
 
 
-#: Openers by backend; libraries for pyramids are added by the user.
-OPENERS: dict[str, Callable[[str], object]] = {"pil": Raster}
+#: Openers by backend; libraries for other pyramids are added by the user.
+OPENERS: dict[str, Callable[[str], object]] = {"pil": Raster, "tiff": Pyramid}
 
 
 def opener(backend: str) -> Callable[[str], object]:
