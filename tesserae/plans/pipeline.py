@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from tesserae.functions import contracts, encoders
 from tesserae.functions.expressions import artifact_label, has_tiles
 from tesserae.functions.registry import Encoder, Registry, token_udf, vector_udf
-from tesserae.operators import aggregate, dense, spatial, tables
-from tesserae.sources import artifacts
+from tesserae.operators import aggregate, dense, tables
+from tesserae.sources import artifacts, regions
 
 UNIT = ("sample_id", "annotation")
+REGION = (*UNIT, "x", "y")
 
 
 @dataclass
@@ -49,8 +50,10 @@ class Model:
         if self.level not in levels:
             raise ValueError(f"{self.encoder.name} works on {self.level}s, not on {' or '.join(levels)}s")
 
-    def embed_tiles(self, tiles: DataFrame, pixels: str = "pixels") -> DataFrame:
-        """Tiles with their vectors in place of what the encoder read."""
+    def embed_tiles(self, tiles: DataFrame, pixels: str = "pixels", tile_size: int | None = None, allow: bool = False) -> DataFrame:
+        """Tiles with their vectors in place of what the encoder read. A tile_size, if told, must be one that the encoder takes, and its own unless others are allowed."""
+        if tile_size is not None:
+            contracts.pooled_input(self.registry, self.encoder.name, tile_size, allow)
         tile = self.registry.tile_of(self.encoder.name)
         if tile.make is None:
             raise ValueError(f"{tile.name} has no implementation; plug one in")
@@ -102,23 +105,29 @@ class Model:
         who = tiles.select("sample_id").distinct().withColumn("patient_id", F.lit(patient_id))
         return self.embed_patients(tiles, who, pixels)
 
-    def embed_regions_dense(self, windows: DataFrame, pixels: str = "pixels", keys: Sequence[str] = ("sample_id", "annotation", "x", "y")) -> DataFrame:
-        """Windows of regions (keys, start, pixels) encoded to rows of cells and blended where they overlap."""
-        self.need("tile")
-        if self.encoder.make is None:
-            raise ValueError(f"{self.encoder.name} has no implementation; plug one in")
-        coded = windows.select(*keys, "start", vector_udf(self.encoder, self.dim)(pixels).alias("values"))
-        return spatial.overlap_add(coded, keys, "start", "values")
+    def embed_regions_dense(self, regions: DataFrame, target: int | tuple[int, int], keys: Sequence[str] = REGION, **more) -> DataFrame:
+        """Regions (keys, pixels) of one size to grids: see `embed_grids`."""
+        return self.embed_grids(regions, target, keys, **more)
 
-    def embed_images_dense(self, windows: DataFrame, pixels: str = "pixels") -> DataFrame:
-        return self.embed_regions_dense(windows, pixels, ("sample_id",))
+    def embed_images_dense(self, images: DataFrame, target: int | tuple[int, int], **more) -> DataFrame:
+        return self.embed_grids(images, target, ("sample_id",), **more)
 
-    def embed_grids(self, images: DataFrame, target: int | tuple[int, int], keys: Sequence[str] = ("sample_id",), window: int | None = None, overlap: float = 0.0, pad_mode: str = "reflect", pixels: str = "pixels", channels: int = 1) -> DataFrame:
-        """Images of one size to grids: (keys, h, w, vector), from windows that are encoded apart and blended on both axes."""
+    def embed_coordinates_dense(self, requests: DataFrame, open_image, target: int | tuple[int, int], keys: Sequence[str] = REGION, supertile: int = 1, **more) -> DataFrame:
+        """Regions given by place (keys, image_path, level, read_px) to grids; pixels are read by the opener, in super-tiles."""
+        self.dense_plan(target, more.get("window"), more.get("overlap", 0.0))  # before anything is read
+        wanted = requests.select(*dict.fromkeys((*keys, "image_path", "x", "y", "level", "read_px")))
+        return self.embed_regions_dense(regions.read_regions(wanted, open_image, supertile), target, keys, **more)
+
+    def dense_plan(self, target: int | tuple[int, int], window: int | None = None, overlap: float = 0.0) -> contracts.InputPlan:
+        """What reaches the encoder; one that cannot take that size is refused here."""
         self.need("tile")
         if self.encoder.make is None or self.encoder.patch is None:
             raise ValueError(f"{self.encoder.name} has no implementation or no patches; plug one in")
-        layout = contracts.Layout.of(target, self.encoder.patch, window, overlap)
+        return contracts.dense_input(self.registry, self.encoder.name, target, window, overlap)
+
+    def embed_grids(self, images: DataFrame, target: int | tuple[int, int], keys: Sequence[str] = ("sample_id",), window: int | None = None, overlap: float = 0.0, pad_mode: str = "reflect", pixels: str = "pixels", channels: int = 1) -> DataFrame:
+        """Images of one size to grids: (keys, h, w, vector), from windows that are encoded apart and blended on both axes."""
+        layout = self.dense_plan(target, window, overlap).layout
         contracts.check_dense(layout, pad_mode)
         cut = dense.cut(images.select(*keys, pixels), layout, pixels, channels, pad_mode)
         tokens = token_udf(self.encoder, layout.tokens[0] * layout.tokens[1], self.dim)(pixels)
@@ -254,6 +263,23 @@ class Pipeline:
         out.status = self.reconciled(spark, status)
         return out
 
+    def run_dense(self, requests: DataFrame, open_image, target: int | tuple[int, int], **more) -> DataFrame:
+        """Regions given by place to stored grids (sample_id, annotation, x, y, h, w, vector), committed after each `checkpoint` samples.
+
+        On resume only regions without a stored record are read and encoded. Repeated requests are one. Returns all stored cells.
+        """
+        spark = requests.sparkSession
+        todo = requests.withColumn("annotation", artifact_label("annotation")).dropDuplicates(list(REGION))
+        if self.resume and artifacts.exists(spark, self.root, "dense_embeddings"):
+            stored = artifacts.read_metadata(spark, self.root, "dense_embeddings")
+            todo = todo.join(stored, tables.same_unit(todo, stored, REGION), "left_anti")
+        mode = "append" if self.resume else "overwrite"
+        for batch in self.batches(todo):
+            cells = self.model.embed_coordinates_dense(todo.where(batch), open_image, target, **more)
+            artifacts.write_grids(cells, self.root, list(REGION), mode)
+            mode = "append"
+        return artifacts.read(spark, self.root, "dense_embeddings")
+
     def reconciled(self, spark, status: DataFrame) -> DataFrame:
         """Status from what is stored: success where a unit has metadata or no tiles, else error."""
         if self.model.level == "patient":

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tesserae.plans.catalogue import query, table
+from tesserae.plans.grids import patch_ranges
+from tesserae.plans.pipeline import Model, Pipeline
 from tesserae.sources import commits, regions, tiff
 
 
@@ -80,3 +82,18 @@ def pyramid_squares(spark, sf_dir):
     requests = squares.select(F.concat(F.lit(folder + "/"), F.col("label"), F.lit(".tif")).alias("image_path"), "label", "level", "left_px", "top_px", up("left_px", F.lit(64), F.col("across")).alias("x"), up("top_px", F.col("n"), F.col("down")).alias("y"), F.lit(10).alias("read_px"))
     total = F.aggregate("pixels", F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))
     return regions.read_regions(requests, regions.opener("tiff"), 1).select("label", "level", "left_px", "top_px", total.alias("total"))
+
+
+@query(f"""{PIXELS}, n AS (SELECT label, count(*) AS n FROM r GROUP BY 1)
+    SELECT label, x // 8 * 8 AS x, y // 8 * 8 AS y, CAST(y % 8 // 3 AS INTEGER) AS h, CAST(x % 8 // 3 AS INTEGER) AS w, CAST(min(v) AS DOUBLE) AS smallest, CAST(max(v) AS DOUBLE) AS largest
+    FROM l JOIN n USING (label) WHERE level = 0 AND y // 8 * 8 + 8 <= n GROUP BY ALL""")
+def dense_regions(spark, sf_dir):
+    """Regions of 8 x 8 pixels of pyramids to stored grids, from windows that overlap; a second run resumes one that had done the left column only."""
+    folder = pyramids(spark, sf_dir)
+    tops = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.floor(F.count("*") / 8).alias("rows")).where("rows > 0")
+    places = tops.select("label", "rows", F.explode(F.sequence(F.lit(0), F.lit(56), F.lit(8))).alias("x")).select("label", "x", F.explode(F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: i * 8)).alias("y"))
+    named = places.select(F.col("label").cast("string").alias("sample_id"), F.lit(None).cast("string").alias("annotation"), F.col("x").cast("long"), "y", F.lit(0).alias("level"), F.lit(8).alias("read_px"), F.concat(F.lit(folder + "/"), "label", F.lit(".tif")).alias("image_path"))
+    run = lambda requests: Pipeline(Model.from_preset("patches", registry=patch_ranges()), folder, resume=True).run_dense(requests, regions.opener("tiff"), 8, window=6, overlap=0.5, pad_mode="replicate", supertile=2)
+    run(named.where("x = 0"))
+    v = F.col("vector")
+    return run(named).select(F.col("sample_id").cast("int").alias("label"), "x", "y", "h", "w", F.round(v[0], 6).alias("smallest"), F.round(v[1], 6).alias("largest"))

@@ -9,6 +9,7 @@ from tesserae.functions import expressions as X
 from tesserae.functions.contracts import Layout
 from tesserae.functions.registry import STANDARD, Encoder, Registry
 from tesserae.operators import dense, tables
+from tesserae.plans.pipeline import Model
 
 
 def test_layout():
@@ -68,6 +69,47 @@ def test_blend_against_loops(spark):
     assert np.allclose(planes[1], (sums / weights)[:, :, 1].ravel())
 
 
+def test_blend_sends_parts_and_adds_them_up(spark, monkeypatch):
+    """Many windows of one key over several tasks, whose cells are let go of again and again."""
+    layout = Layout.of((20, 12), 4, 8, 0.5)
+    rng = np.random.default_rng(4)
+    k, sums, weights, rows = np.outer(*(np.array(w) for w in layout.weights()))[:, :, None], np.zeros((2, 5, 3, 3)), np.zeros((2, 5, 3, 1)), []
+    for n in range(300):
+        y, x, who = int(rng.choice(layout.starts[0])), int(rng.choice(layout.starts[1])), n % 7 == 0
+        t = rng.random((2, 2, 3))
+        sums[int(who), y // 4 : y // 4 + 2, x // 4 : x // 4 + 2] += t * k
+        weights[int(who), y // 4 : y // 4 + 2, x // 4 : x // 4 + 2] += k
+        rows.append((None if who else "a", y, x, t.reshape(4, 3).tolist()))
+    rows.append(("a", 0, 0, None))
+    df = spark.createDataFrame(rows, "id string, win_y int, win_x int, tokens array<array<double>>").repartition(4)
+    parts = dense.partial_cells(df, ["id"], layout, budget=500)
+    assert parts.count() > 100 and dense.partial_cells(df, ["id"], layout).count() <= 4 * 30
+    original = dense.partial_cells
+    monkeypatch.setattr(dense, "partial_cells", lambda *a: original(*a, budget=500))
+    got = {(r.id is None, r.h, r.w): r.vector for r in dense.blend(df, ["id"], layout).collect()}
+    assert len(got) == 30
+    for (who, h, w), v in got.items():
+        assert np.allclose(v, sums[int(who), h, w] / weights[int(who), h, w])
+    assert dense.blend(df.limit(0), ["id"], layout).count() == 0
+    for bad in ([("a", 0, 0, [[1.0]])], [("a", 16, 0, [[1.0]] * 4)]):
+        with pytest.raises(Exception, match="windows of 1 cells|not on the grid"):
+            dense.blend(spark.createDataFrame(bad, df.schema), ["id"], layout).collect()
+
+
+def test_dense_input_is_asked_on_entry(spark):
+    r = Registry()
+    r.register(Encoder("fixed", "tile", {"default": 1}, lambda: lambda x: x[:, None, :1], 8, (8, 8), (0.5,)))
+    model = Model.from_preset("fixed", registry=r)
+    images = spark.createDataFrame([("a", [1.0] * 144)], "sample_id string, pixels array<float>")
+    with pytest.raises(ValueError, match="takes 8 px only"):
+        model.embed_images_dense(images, 12)
+    with pytest.raises(ValueError, match="takes 8 px only"):
+        model.embed_coordinates_dense(images, None, 16)
+    assert len(model.embed_images_dense(images, 12, window=8, overlap=0.0, pad_mode="replicate").collect()) == 4
+    with pytest.raises(ValueError, match="made for tiles of 8"):
+        model.embed_tiles(images, tile_size=12)
+
+
 def test_image_guards(spark):
     schema = "sample_id string, image_path string, spacing_at_level_0 double"
     fine = spark.createDataFrame([("a", "a.png", None), ("b", "b.png", None)], schema)
