@@ -8,7 +8,8 @@ from tesserae.functions import expressions as X
 from tesserae.operators import aggregate
 from tesserae.plans import settings
 from tesserae.plans.catalogue import query, table
-from tesserae.streaming import events, lines
+from tesserae.sources import commits
+from tesserae.streaming import events, lines, logs, monitor
 
 
 @query("""
@@ -113,3 +114,41 @@ def worker_settings(spark, sf_dir):
     kind = F.col("p_size") % 4
     stored = X.output_precision(F.when(kind == 0, " Half ").when(kind == 1, "float32"), F.when(kind == 2, "float16").otherwise("bf16"))
     return p.select("p_partkey", settings.cpu_limit(F.lit(32), asked).alias("workers"), stored.alias("stored"))
+
+
+def micros():
+    """Of events, whose time has no zone."""
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+
+
+@query("""
+    SELECT event_type AS kind, CASE WHEN event_id % 2 = 1 THEN 'second' END AS label, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, max(epoch_us(ts)) AS latest FROM events GROUP BY ALL""")
+def event_log_tail(spark, sf_dir):
+    """Events written to a log of files by rank, by two writers, and followed as a stream; the line that a third is still writing waits."""
+    folder = commits.scratch(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    e = table(spark, sf_dir, "events")
+    made = e.select("event_id", F.col("event_type").alias("kind"), F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("us"), micros().cast("string")).alias("payload"), (micros() / 1e6).alias("timestamp"))
+    logs.write(made.where("event_id % 2 = 0").repartition(3), f"{folder}/run.jsonl")
+    logs.write(made.where("event_id % 2 = 1").repartition(2), f"{folder}/run.jsonl", "second")
+    where, name = logs.system(f"{folder}/run.rank9.jsonl")
+    with where.open_output_stream(name) as out:
+        out.write(b'{"kind": "click", "payl')
+    p = F.col("payload")
+    seen = events.drain(logs.follow(spark, f"{folder}/run.jsonl"), mode="append")
+    return seen.groupBy("kind", p["progress_label"].alias("label")).agg(F.count("*").alias("n"), F.sum(p["id"].cast("long")).alias("ids"), F.max(p["us"].cast("long")).alias("latest"))
+
+
+@query("""
+    WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id, CAST(event_type = 'purchase' AS INTEGER) AS c, CAST(event_type = 'error' AS INTEGER) AS f, CASE WHEN event_type = 'view' THEN event_id % 3 ELSE 0 END AS t FROM events),
+    s AS (SELECT key, ts, event_id, CAST(sum(c) OVER w AS BIGINT) AS completed, CAST(sum(f) OVER w AS BIGINT) AS failed, CAST(sum(t) OVER w AS BIGINT) AS discovered_tiles FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+    l AS (SELECT *, lag((completed, failed, discovered_tiles), 1, (CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT))) OVER (PARTITION BY key ORDER BY ts, event_id) AS before FROM s)
+    SELECT key, epoch_us(ts) AS us, CAST(100 AS BIGINT) AS total, completed, failed, CAST(greatest(0, 100 - completed - failed) AS BIGINT) AS pending, discovered_tiles
+    FROM l WHERE before <> (completed, failed, discovered_tiles) AND epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events) - 86400000""")
+def progress_snapshots(spark, sf_dir):
+    """Events of users as steps of their runs: a snapshot for each change, up to a day before the last event."""
+    e = events.read(spark, sf_dir)
+    kind = F.col("event_type")
+    steps = e.select(F.col("user_id").alias("key"), F.timestamp_micros(micros()).alias("ts"), F.col("event_id").alias("id"), (kind == "purchase").cast("int").alias("completed"), (kind == "error").cast("int").alias("failed"), F.when(kind == "view", F.col("event_id") % 3).otherwise(0).alias("tiles"))
+    return events.drain(monitor.snapshots(steps, 100, "1 day"), mode="append").select("key", F.unix_micros("ts").alias("us"), "total", "completed", "failed", "pending", "discovered_tiles")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources import commits
+
 #: Kinds of events that a bridge passes on.
 BRIDGED = ("tiling.started", "tiling.progress", "tiling.finished", "tissue.started", "tissue.progress", "tissue.finished", "preview.started", "preview.progress", "preview.finished", "tiling.failed")
 
@@ -23,16 +23,19 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, folder: str | None = None, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there now; the result table, which is an aggregate, as a DataFrame.
+    """Runs a stream over all that is there now; the result table, an aggregate (complete) or rows (append), as a DataFrame; empty if there was nothing.
 
-    The table and the checkpoint lie in a folder of their own, in the shared one that the session names for checkpoints if none is given.
+    The table and the checkpoint lie in a folder of their own, in the shared one that the session names for
+    checkpoints if none is given. Each batch is a commit under its number, so one that is repeated counts once.
     """
     spark = stream.sparkSession
-    root = folder or f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/drained-{uuid.uuid4().hex}"
+    root = folder or commits.scratch(spark)
+    table = commits.Table(spark, f"{root}/table")
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
-    q = q.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{root}/table")).start()
+    q = q.foreachBatch(lambda rows, batch: (table.commit({"rows": rows}, f"batch-{batch}", mode == "complete"), None)[1]).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/table")
+    rows = table.read("rows")
+    return spark.createDataFrame([], stream.schema) if rows is None else rows
 
 
 def counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,10 +77,10 @@ def throttled_stream(lines: DataFrame, seconds: str = "1 second") -> DataFrame:
 
 
 def on_change(status: DataFrame, previous: DataFrame | None, keys=("total", "completed", "failed", "pending", "discovered_tiles")) -> DataFrame:
-    """A snapshot, if it differs from the one before; else no row."""
+    """A snapshot, if it differs from the one before; else no row. For streams see `monitor`."""
     if previous is None:
         return status
     on = F.lit(True)
     for k in keys:
         on = on & status[k].eqNullSafe(previous[k])
-    return status.join(F.broadcast(previous), on, "left_anti")
+    return status.join(previous, on, "left_anti")
