@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from tesserae.plans.catalogue import query, table
 from tesserae.plans.grids import patch_ranges
 from tesserae.plans.pipeline import Model, Pipeline
-from tesserae.sources import commits, regions, tiff
+from tesserae.sources import commits, regions, tars, tiff
 
 
 @query("""
@@ -97,3 +101,26 @@ def dense_regions(spark, sf_dir):
     run(named.where("x = 0"))
     v = F.col("vector")
     return run(named).select(F.col("sample_id").cast("int").alias("label"), "x", "y", "h", "w", F.round(v[0], 6).alias("smallest"), F.round(v[1], 6).alias("largest"))
+
+
+@query("""
+    WITH m AS (SELECT label, 'tile_' || vec_id % 20 || '.bin' AS name, vec_id, embedding FROM embeddings),
+    i AS (SELECT label, name, row_number() OVER (PARTITION BY label ORDER BY name, vec_id) - 1 AS tile_index, list_sum(list_transform(embedding, lambda v: CAST(floor(abs(v) * 255) AS BIGINT))) AS total FROM m)
+    SELECT label, tile_index, name, CAST(total AS BIGINT) AS total FROM i WHERE tile_index % 3 = 1""")
+def tar_tiles(spark, sf_dir):
+    """Every third tile of a tar store for each label, in which names repeat, read by the index of its members."""
+    folder = pyramids(spark, sf_dir)
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda v: F.floor(F.abs(v) * 255).cast("int")).alias("p"))
+
+    def write(key, group):
+        system, name = fs.FileSystem.from_uri(f"{folder}/{key[0]}.tiles.tar") if ":" in folder else (fs.LocalFileSystem(), f"{folder}/{key[0]}.tiles.tar")
+        with system.open_output_stream(name) as out, tarfile.open(fileobj=out, mode="w|") as tar:
+            for row in group.sort_values("vec_id").itertuples():
+                member = tarfile.TarInfo(f"tile_{row.vec_id % 20}.bin")
+                member.size = len(row.p)
+                tar.addfile(member, io.BytesIO(bytes(row.p.astype(np.uint8))))
+        return pd.DataFrame({"label": [key[0]]})
+
+    rows.groupBy("label").applyInPandas(write, "label int").count()
+    wanted = rows.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").cast("string").alias("sample_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("tile_index")).where("tile_index % 3 = 1")
+    return tars.tiles(spark, folder, wanted).select(F.col("sample_id").cast("int").alias("label"), "tile_index", "name", byte_sum("content").alias("total"))

@@ -1,4 +1,4 @@
-"""Scans of files that hold arrays or images: npz archives, JSON sidecars, tar stores of tiles, plain rasters.
+"""Scans of files that hold arrays or images: npz archives, JSON sidecars, plain rasters. For tar stores see `tars`.
 
 All go through Spark's `binaryFile` source, so listing, filters on path, size and time, and reading from any
 store are Spark's; Python only unpacks bytes, a file at a time. One file must fit in a task's memory.
@@ -7,7 +7,6 @@ store are Spark's; Python only unpacks bytes, a file at a time. One file must fi
 from __future__ import annotations
 
 import io
-import tarfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -79,32 +78,6 @@ def sidecars(spark: SparkSession, path: str | Sequence[str], schema: str, patter
     return df.json(path if isinstance(path, str) else list(path)).select("*", F.input_file_name().alias("path"))
 
 
-def tar_tiles(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.tar") -> DataFrame:
-    """Members of tar stores: sample_id, tile_index (place of the name in order), name and content."""
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for stem, content in zip(b["sample_id"], b["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            yield pd.DataFrame({"sample_id": [stem], "name": [m.name], "content": [tar.extractfile(m).read()]})
-
-    stem = F.regexp_replace(path_stem("path"), r"\.tiles$", "")
-    members = files(spark, path, pattern).select(stem.alias("sample_id"), "content").mapInPandas(unpack, "sample_id string, name string, content binary")
-    # The index comes from names only: no image goes through the window.
-    w = Window.partitionBy("sample_id").orderBy("name")
-    index = members.select("sample_id", "name").withColumn("tile_index", (F.row_number().over(w) - 1).cast("long"))
-    return members.join(index, ["sample_id", "name"]).select("sample_id", "tile_index", "name", "content")
-
-
-def read_tiles(tiles: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Tiles named by (sample_id, tile_index); a tile that isn't there is an error when it is read."""
-    found = wanted.select("sample_id", "tile_index").distinct().join(tiles, ["sample_id", "tile_index"], "left")
-    lost = F.raise_error(F.concat(F.lit("no tile "), F.col("tile_index").cast("string"), F.lit(" of "), F.col("sample_id")))
-    return found.withColumn("content", F.when(F.col("content").isNull(), lost.cast("binary")).otherwise(F.col("content")))
-
-
 def decode_pnm(content: bytes) -> np.ndarray:
     """(height, width, channels) of a binary PGM or PPM image of one byte a sample."""
     head, at = [], 0

@@ -9,32 +9,32 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.expressions import blank_to_null, col, subject
 
-# The line of each kind of event. {field} is a field of the payload; {subject}, {empty} and {skipped} are made from several.
+# The line of each kind of event; those on masks, on previews that start, on assignment and on resume are fixed values. {field} is a field of the payload; {subject}, {empty} and {skipped} are made from several.
 LINES = {
     "run.started": "Starting run: {slide_count} slide(s), model={model_name} level={level} output={output_dir}",
     "tissue.started": "Resolving tissue masks ({total} total)...",
     "tissue.progress": "Tissue resolution: {completed}/{total} complete, {failed} failed{empty}",
     "tissue.finished": "Tissue resolution finished: {completed}/{total} complete, {failed} failed{empty}",
     "tiling.started": "Tiling slides ({slide_count} total)...",
-    "tiling.progress": "Tiling progress: {completed}/{total} complete, {failed} failed",
+    "tiling.progress": "Tiles cut for {completed} of {total} slides ({failed} failed)",
     "tiling.finished": "Tiling finished: {completed}/{total} complete, {failed} failed, {discovered_tiles} tiles{empty}",
-    "tiling.summary": "Tiling summary: {completed}/{total} complete, {failed} failed, {discovered_tiles} tiles",
+    "tiling.summary": "In all {discovered_tiles} tiles from {completed} of {total} slides ({failed} failed)",
     "preview.started": "Generating previews ({total} total)...",
-    "preview.progress": "Preview generation: {completed}/{total} complete, {failed} failed",
-    "preview.finished": "Preview generation finished: {completed}/{total} complete, {failed} failed",
-    "model.loading": "Loading model {model_name}...",
-    "model.ready": "Model {model_name} ready on {device}",
+    "preview.progress": "Previews drawn: {completed} of {total} ({failed} failed)",
+    "preview.finished": "All previews done: {completed} of {total} drawn, {failed} failed",
+    "model.loading": "Encoder {model_name} is being loaded",
+    "model.ready": "Encoder {model_name} is on {device}",
     "embedding.started": "Embedding slides ({slide_count} total)...",
     "embedding.resume": "Resume: skipped {skipped_slide_count} already processed slide(s); {pending_slide_count} pending",
     "embedding.assignment.started": "Assigning slides across {num_gpus} GPU(s)...",
     "embedding.assignment.finished": "Slide assignment complete: {slide_count} slide(s) across {num_gpus} GPU(s)",
-    "embedding.slide.started": "Embedding {subject} ({total_tiles} tiles)...",
+    "embedding.slide.started": "{subject}: {total_tiles} tiles to encode",
     "embedding.tile.progress": "Embedding {subject}: {processed}/{total} {unit}s",
-    "aggregation.started": "Aggregating slide embedding for {subject}...",
-    "embedding.slide.finished": "Completed {subject} ({num_tiles} tiles)",
-    "embedding.finished": "Embedding finished: {slides_completed}/{slide_count} slides, {tile_artifacts} tile artifacts, {slide_artifacts} slide artifacts{skipped}",
-    "run.finished": "Run finished successfully. Logs: {logs_dir}",
-    "run.failed": "Run failed during {stage}: {error}",
+    "aggregation.started": "{subject}: pooling its tiles",
+    "embedding.slide.finished": "{subject}: {num_tiles} tiles encoded",
+    "embedding.finished": "Encoded {slides_completed} of {slide_count} slides; stored {tile_artifacts} of tiles and {slide_artifacts} of slides{skipped}",
+    "run.finished": "Done. Logs are in {logs_dir}",
+    "run.failed": "Stopped at {stage} by {error}",
 }
 #: Kinds of which a line that repeats the one before is not shown again within a second.
 THROTTLED = ("tiling.progress", "preview.progress", "embedding.tile.progress")

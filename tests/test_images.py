@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import encoders, pixels, records
 from tesserae.functions.registry import Encoder
 from tesserae.plans.pipeline import Model, Pipeline, slide_vectors_of
-from tesserae.sources import arrays
+from tesserae.sources import arrays, tars
 
 IMAGE = np.arange(12, dtype=float).reshape(3, 4)
 
@@ -82,11 +82,11 @@ def test_tar_tiles(spark, tmp_path):
             member = tarfile.TarInfo(name)
             member.size = len(content)
             tar.addfile(member, io.BytesIO(content))
-    tiles = arrays.tar_tiles(spark, str(tmp_path))
+    tiles = tars.tiles(spark, str(tmp_path))
     got = [(r.sample_id, r.tile_index, r.pixels[-1], r.height, r.width) for r in arrays.decoded(tiles).orderBy("tile_index").collect()]
     assert got == [("k", 0, 97.0, 1, 2), ("k", 1, 98.0, 1, 2)]
     with pytest.raises(Exception, match="no tile 7 of k"):
-        arrays.read_tiles(tiles, spark.createDataFrame([("k", 7)], "sample_id string, tile_index long")).collect()
+        tars.tiles(spark, str(tmp_path), spark.createDataFrame([("k", 7)], "sample_id string, tile_index long")).collect()
 
 
 def test_level_choice_and_plans(spark):

@@ -56,8 +56,8 @@ def test_lines(spark):
     )
     got = {r.n: r.line for r in df.select("n", lines.line("kind", "payload").alias("line")).collect()}
     assert got == {
-        1: "Model uni ready on cpu",
-        2: "Embedding finished: 3/4 slides, 3 tile artifacts, 0 slide artifacts, 1 skipped",
+        1: "Encoder uni is on cpu",
+        2: "Encoded 3 of 4 slides; stored 3 of tiles and 0 of slides, 1 skipped",
         3: "Tiling finished: 1/1 complete, 0 failed, 9 tiles",
         4: None,
     }
