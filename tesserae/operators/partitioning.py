@@ -2,39 +2,96 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources import commits
+
+
+def numbered(rows: DataFrame, order: Sequence[str | Column], out: str = "number") -> tuple[DataFrame, int]:
+    """Adds the place of each row in an order over all of them, from 0, and gives their number.
+
+    Sorted by ranges over all partitions and written to a scratch table, so that places cannot change; a place is that in
+    the partition plus the rows of those before, of which the driver holds a number each.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id())
+    path = commits.scratch(spark)
+    ranged.withColumn("_part", F.shiftright("_n", 33)).write.parquet(path)
+    kept = spark.read.parquet(path)
+    add, total = [], 0
+    for r in kept.groupBy("_part").agg(F.min("_n").alias("first"), F.count("*").alias("rows")).orderBy("_part").collect():
+        add.append((r["_part"], total - r["first"]))
+        total += r["rows"]
+    offsets = spark.createDataFrame(add, "_part long, _add long")
+    return kept.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_n") + F.col("_add")).drop("_n", "_part", "_add"), total
+
 
 def contiguous_shards(rows: DataFrame, shards: int, order: Sequence[str], key: Sequence[str] = (), out: str = "shard") -> DataFrame:
     """Splits rows of each key, in order, into shards of sizes that differ by one at most, the larger ones first."""
     if shards < 1:
         raise ValueError("one shard at least")
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn(out, F.ntile(shards).over(w) - 1)
+    if key:
+        return rows.withColumn(out, F.ntile(shards).over(Window.partitionBy(*key).orderBy(*order)) - 1)
+    placed, n = numbered(rows, order, "_at")
+    size, larger = divmod(n, shards)
+    at, first = F.col("_at"), larger * (size + 1)
+    shard = F.when(at < first, F.floor(at / (size + 1))).otherwise(larger + F.floor((at - first) / max(1, size)))
+    return placed.withColumn(out, shard.cast("int")).select(*rows.columns, out)
+
+
+def shares(classes: Sequence[tuple[int, int]], ranks: int) -> Iterator[tuple[int, int, int, int]]:
+    """For classes (weight, units), heaviest first: (weight, rank, load before, units that the rank gets), none of which is 0.
+
+    Units of one weight w go where the load is least, so of the loads of rank i, load + w, load + 2 w, ..., the smallest
+    of all ranks are taken, ties by rank. How many each gets follows from the load that the last one meets.
+    """
+    load = [0] * ranks
+    for w, n in classes:
+        if w <= 0:  # the least loaded stays so
+            got = [0] * ranks
+            got[load.index(min(load))] = n
+        else:
+            low, high = min(load), max(load) + w * n
+            while low < high:  # the least load that n steps do not go beyond
+                mid = (low + high) // 2
+                if sum((mid - v) // w + 1 for v in load if v <= mid) >= n:
+                    high = mid
+                else:
+                    low = mid + 1
+            got = [(low - 1 - v) // w + 1 if v <= low - 1 else 0 for v in load]
+            left = n - sum(got)
+            for i, v in enumerate(load):
+                if left and v <= low and (low - v) % w == 0:
+                    got[i] += 1
+                    left -= 1
+        for i, g in enumerate(got):
+            if g:
+                yield w, i, load[i], g
+                load[i] += w * g
 
 
 def balanced(units: DataFrame, ranks: int, weight: str, unit: str, out: str = "rank") -> DataFrame:
     """Longest processing time first: heaviest unit next, to the rank with the least load, ties to the lower rank.
 
-    The rule is sequential, so it is one fold over one array of (weight, unit). It holds work units (slides),
-    not tiles; beyond about 10^5 of them split by a bucket first.
+    The rule is worked out for classes of units of one weight, of which the driver holds a count each: how many go to
+    each rank. Which ones, Spark finds by place: units in order, and the loads at which ranks take them in order.
     """
     if ranks < 1:
         raise ValueError("one rank at least")
-    item = F.struct((-F.col(weight)).cast("long").alias("w"), F.col(unit).alias("u"))
-    queue = units.agg(F.array_sort(F.collect_list(item)).alias("q"))
-    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), ranks).alias("load"), F.array().cast("array<int>").alias("to"))
-
-    def step(s: Column, x: Column) -> Column:
-        r = F.array_position(s["load"], F.array_min(s["load"])).cast("int") - 1
-        load = F.transform(s["load"], lambda v, i: F.when(i == r, v - x["w"]).otherwise(v))
-        return F.struct(load.alias("load"), F.array_append(s["to"], r).alias("to"))
-
-    done = queue.select("q", F.aggregate("q", zero, step)["to"].alias("to"))
-    return done.select(F.explode(F.arrays_zip("q", "to")).alias("x")).select(F.col("x.q.u").alias(unit), (-F.col("x.q.w")).alias(weight), F.col("x.to").alias(out))
+    spark = units.sparkSession
+    u = units.select(F.col(unit), F.col(weight).cast("long").alias(weight))
+    classes = [(r[0], r[1]) for r in u.groupBy(weight).agg(F.count("*")).orderBy(F.desc(weight)).collect()]
+    plan = spark.createDataFrame(list(shares(classes, ranks)), "w long, rank int, load long, n long")
+    step = F.greatest(F.col("w"), F.lit(0))
+    turns = plan.select("w", "rank", "load", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select("w", "rank", (F.col("load") + F.col("k") * step).alias("at"))
+    slots, _ = numbered(turns.select((-F.col("w")).alias("_w"), "at", F.col("rank").alias(out)), ["_w", "at", out])
+    placed, _ = numbered(u.withColumn("_o", -F.col(weight)), ["_o", unit])
+    return placed.join(slots.select("number", out), "number").select(unit, weight, out)
 
 
 def packed_groups(groups: DataFrame, key: Sequence[str], order: str, size: str, capacity: int, out: str = "batch") -> DataFrame:
@@ -62,17 +119,50 @@ def packed_groups(groups: DataFrame, key: Sequence[str], order: str, size: str,
     return (rows.repartition(*key) if n else rows.repartition(1)).sortWithinPartitions(*key, order).mapInPandas(walk, schema)
 
 
+def percentiles(rows: DataFrame, column: str, cuts: Sequence[float]) -> list[float | None]:
+    """Exact percentiles, between the two nearest values by distance; null without a value.
+
+    Values are counted before they are sorted by ranges, and only the partition with a cut is looked into.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    path = commits.scratch(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts.repartitionByRange(n, "v").withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    kept = rows.sparkSession.read.parquet(path)
+    sizes = sorted((r["_part"], r["c"]) for r in kept.groupBy("_part").agg(F.sum("c").alias("c")).collect())
+    total = sum(c for _, c in sizes)
+    if not total:
+        return [None] * len(cuts)
+
+    def at(rank: int) -> float:
+        for part, c in sizes:
+            if rank < c:
+                upto = F.sum("c").over(Window.partitionBy("_part").orderBy("v"))
+                return kept.where(F.col("_part") == part).withColumn("_upto", upto).where(F.col("_upto") > rank).agg(F.min("v")).first()[0]
+            rank -= c
+        raise IndexError(rank)
+
+    out = []
+    for cut in cuts:
+        place = cut * (total - 1)
+        below, above = at(math.floor(place)), at(math.ceil(place))
+        out.append(float(below + (above - below) * (place - math.floor(place))))
+    return out
+
+
 def size_bins(rows: DataFrame, size: str, cuts: Sequence[float] = (0.33, 0.66), out: str = "bin") -> DataFrame:
-    """Adds 0, 1, ... by percentiles of a size; values on a cut go down."""
-    marks = rows.agg(*(F.percentile(size, F.lit(c)).alias(f"_c{i}") for i, c in enumerate(cuts)))
-    bin_ = sum((F.when(F.col(size) > F.col(f"_c{i}"), 1).otherwise(0) for i in range(len(cuts))), F.lit(0))
-    return rows.crossJoin(F.broadcast(marks)).withColumn(out, bin_).drop(*(f"_c{i}" for i in range(len(cuts))))
+    """Adds 0, 1, ... by percentiles of a size; values on a cut go down, and null ones to 0."""
+    marks = percentiles(rows, size, cuts)
+    return rows.withColumn(out, sum((F.when(F.col(size) > m, 1).otherwise(0) for m in marks if m is not None), F.lit(0)))
 
 
 def stratified_sample(rows: DataFrame, n: int, size: str, unit: str, seed: int = 0) -> DataFrame:
-    """n rows, evenly from three size bins, by a hash of seed and unit; what a bin lacks comes from the others."""
-    binned = size_bins(rows, size).withColumn("_h", F.xxhash64(F.lit(seed), F.col(unit)))
-    ranked = binned.withColumn("_r", F.row_number().over(Window.partitionBy("bin").orderBy("_h", unit)))
+    """n rows, evenly from three size bins, by a hash of seed and unit; what a bin lacks comes from the others.
+
+    Of each bin a task keeps n rows at most before they are put together.
+    """
+    binned = size_bins(rows, size).withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(unit))))
+    ranked = binned.withColumn("_r", F.row_number().over(Window.partitionBy("bin").orderBy("_h", unit))).where(F.col("_r") <= n)
     return ranked.orderBy((F.col("_r") > n // 3), "_h", unit).limit(n).drop("_h", "_r", "bin")
 
 

@@ -218,6 +218,24 @@ def stratified_bins(spark, sf_dir):
     return d.groupBy("bin").agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
 
 
+@query("""
+    WITH c AS (SELECT quantile_cont(n_chars, 0.33) AS a, quantile_cont(n_chars, 0.66) AS b FROM documents),
+    d AS (SELECT doc_id, n_chars, CASE WHEN n_chars > b THEN 2 WHEN n_chars > a THEN 1 ELSE 0 END AS bin, md5('7:' || doc_id) AS h FROM documents, c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY h, doc_id) AS r FROM d)
+    SELECT doc_id, n_chars FROM r ORDER BY r > 30, h, doc_id LIMIT 90""")
+def stratified_sample(spark, sf_dir):
+    return partitioning.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), 90, "n_chars", "doc_id", seed=7)
+
+
+@query("""
+    WITH n AS (SELECT vec_id, row_number() OVER (ORDER BY embedding[1], vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings)
+    SELECT vec_id, CAST(CASE WHEN i < n % 7 * (n // 7 + 1) THEN i // (n // 7 + 1) ELSE n % 7 + (i - n % 7 * (n // 7 + 1)) // (n // 7) END AS INTEGER) AS shard FROM n""")
+def table_shards(spark, sf_dir):
+    """A whole table in order, in seven shards."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].alias("first"))
+    return partitioning.contiguous_shards(e, 7, ["first", "vec_id"]).select("vec_id", "shard")
+
+
 @query("""
     SELECT m.model, g.num_gpus, b.batch_size, w.workers, CASE WHEN r.i = 0 THEN 'warmup' ELSE 'measured' END AS kind, r.i AS repeat_index
     FROM (VALUES ('uni'), ('virchow2')) m(model), (VALUES (1), (2)) g(num_gpus), (VALUES (64), (128), (256)) b(batch_size), (VALUES (4), (8)) w(workers), (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS i) r""")

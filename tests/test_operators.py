@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,37 @@ def test_manifests(spark, tmp_path):
     assert [r["kind"] for r in manifests.progress(spark, str(lines)).collect()] == ["k"]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_shares_against_a_heap(seed):
+    """Counts by class, and the order in which ranks take units, against the rule one unit at a time."""
+    import heapq
+    import random
+    from collections import Counter
+
+    r = random.Random(seed)
+    weights = sorted((r.choice([0, 1, 2, 3, 5, 40, 1000, -2]) for _ in range(r.choice([0, 5, 300]))), reverse=True)
+    for ranks in (1, 2, 7):
+        heap, want = [(0, i) for i in range(ranks)], []
+        for w in weights:
+            load, i = heapq.heappop(heap)
+            want.append((w, i))
+            heapq.heappush(heap, (load + w, i))
+        counts = Counter(weights)
+        made = list(partitioning.shares(sorted(counts.items(), reverse=True), ranks))
+        slots = sorted((-w, load + max(w, 0) * k, i) for w, i, load, n in made for k in range(n))
+        assert [(-w, i) for w, _, i in slots] == want
+
+
+def test_percentiles(spark):
+    rng = np.random.default_rng(5)
+    values = [None, *rng.integers(0, 9, 70).tolist(), *rng.normal(0, 1e6, 30).tolist()]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    cuts = [0.0, 0.1, 0.33, 0.5, 0.66, 1.0]
+    assert np.allclose(partitioning.percentiles(df, "v", cuts), np.quantile([v for v in values if v is not None], cuts))
+    assert partitioning.percentiles(df.where("v IS NULL"), "v", [0.5]) == [None]
+    assert partitioning.size_bins(df.where("v IS NULL"), "v").collect()[0].bin == 0
+
+
 def test_artifacts(spark, tmp_path):
     bag = spark.createDataFrame([("a", None, 0, [1.0, 2.0]), ("a", None, 1, [3.0, 4.0]), ("b", "t", 0, [5.0, 6.0])], "sample_id string, annotation string, tile_index int, embedding array<float>")
     manifest = spark.createDataFrame([("a", None), ("b", "t"), ("c", None)], "sample_id string, annotation string")
