@@ -6,16 +6,22 @@ the others fall into hashed classes and share their class by smoothed counts. St
 Baum-Welch; the expected counts of an iteration are added up across partitions. The likelihood of a
 text is exact, by the scaled forward recursion over all its tokens and one end mark.
 
-Counts are as many as distinct words, so they are never broadcast. Documents are dealt to chunks; a
-chunk asks once for each distinct word, by hash bucket, and gets the counts back.
+Counts are as many as distinct words, so they are never broadcast. Documents are dealt to chunks of about as many
+bytes, by a hash of id and text; a chunk asks once for each distinct word, by hash bucket, and gets the counts back.
+Its texts pass by a batch at a time, so a task holds a chunk's distinct words, never its texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +32,13 @@ STATES = 6
 TOP_WORDS = 2048
 HASHED_CLASSES = 64
 ITERATIONS = 3
-#: Tokens after which a training sequence is cut; scored texts never are.
-SEGMENT = 1024
+#: Tokens after which a training sequence is cut, None: never; scored texts never are. What follows a cut is no start of a text: it begins in the states' long-run shares.
+SEGMENT: int | None = 1024
 SEED = 11
 #: Weight of the unigram model in each state's emissions, in tokens.
 PRIOR = 200.0
-#: Documents in a chunk, about.
-CHUNK_DOCS = 4096
+#: Documents, and bytes of text, in a chunk, about.
+CHUNK_DOCS, CHUNK_TEXT = 4096, 16 << 20
 #: Fewest chunks, for each shuffle partition.
 CHUNKS_PER_PARTITION = 4
 
@@ -100,14 +106,24 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray  # symbols x states
 
+    @cached_property
+    def rest(self) -> np.ndarray:
+        """Long-run shares of the states."""
+        out = np.full(len(self.start), 1 / len(self.start))
+        for _ in range(200):
+            out = out @ self.move
+        return out / out.sum()
+
 
 class _Batch:
     """Sequences side by side, longest first: at time t the first width[t] are still running."""
 
-    def __init__(self, seqs: list[np.ndarray]):
+    def __init__(self, seqs: list[np.ndarray], first: np.ndarray | None = None):
+        """first: whether a sequence begins a text; without, all do."""
         lens = np.array([len(s) for s in seqs], np.int64)
         self.order = np.argsort(-lens, kind="stable")
         lens = lens[self.order]
+        self.first = np.ones(len(seqs), bool) if first is None else np.asarray(first, bool)[self.order]
         steps = int(lens[0]) if len(lens) else 0
         self.width = np.searchsorted(-lens, -np.arange(steps), "left")  # sequences longer than t
         self.at = np.r_[0, np.cumsum(self.width)]
@@ -124,7 +140,7 @@ class _Batch:
         for t, n in enumerate(self.width):
             s = self.at[t]
             e = m.emit[self.flat[s : s + n]]
-            a = (m.start if a is None else a[:n] @ m.move) * e
+            a = (np.where(self.first[:n, None], m.start, m.rest) if a is None else a[:n] @ m.move) * e
             c = a.sum(1)
             a /= c[:, None]
             log[:n] += np.log(c)
@@ -151,7 +167,7 @@ class _Batch:
             alphas[s : s + n] *= beta  # from here on the posterior of the states
             after = beta
         emits = np.stack([np.bincount(self.flat, alphas[:, k], minlength=len(m.emit)) for k in range(states)], 1)
-        return alphas[: self.width[0]].sum(0, dtype=np.float64) if len(self.width) else np.zeros(states), moves * m.move, emits, float(log.sum())
+        return alphas[: self.width[0]][self.first[: self.width[0]]].sum(0, dtype=np.float64) if len(self.width) else np.zeros(states), moves * m.move, emits, float(log.sum())
 
 
 def first_model(vocabulary: Vocabulary, states: int = STATES, seed: int = SEED) -> Hmm:
@@ -163,8 +179,8 @@ def first_model(vocabulary: Vocabulary, states: int = STATES, seed: int = SEED)
     return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterations: int = ITERATIONS, seed: int = SEED) -> Hmm:
-    """Baum-Welch over all rows of docs (text); each iteration is one pass."""
+def train(docs: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterations: int = ITERATIONS, seed: int = SEED, segment: int | None = SEGMENT) -> Hmm:
+    """Baum-Welch over all rows of docs (text); each iteration is one pass. Exact without a segment; with one, moves over the cuts are not counted."""
     m = first_model(vocabulary, states, seed)
     symbols = vocabulary.symbols
     for _ in range(iterations):
@@ -174,11 +190,13 @@ def train(docs: DataFrame, vocabulary: Vocabulary, states: int = STATES, iterati
             for t in chunked(batches, 6 << 20):
                 seqs, hashes = tokens(t.column("text").to_pylist())
                 known = np.r_[vocabulary.symbol(hashes), symbols - 1]
-                parts = []
+                parts, first = [], []
                 for s in seqs:
                     full = known[np.r_[s, len(hashes)]]
-                    parts += [full[i : i + SEGMENT] for i in range(0, len(full), SEGMENT)]
-                a, b, c, _ = _Batch(parts).expected(m)
+                    at = range(0, len(full), segment or len(full))
+                    parts += [full[i : i + (segment or len(full))] for i in at]
+                    first += [i == 0 for i in at]
+                a, b, c, _ = _Batch(parts, first).expected(m)
                 start += a
                 move += b
                 emit += c
@@ -195,18 +213,34 @@ _ASKED = "bucket int, chunk int, hashes binary, counts binary"
 _TOLD = "kind int, chunk int, hashes binary, counts binary"
 
 
+def in_turn(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Iterator[tuple[int, Iterator[pa.Table]]]:
+    """Of rows sorted by key: each key with its rows, in tables of bounded size. The rows of one are to be taken before the next."""
+    parts = ((k, t) for table in chunked(batches) for k, t in _cut(table, key))
+    return ((k, (t for _, t in group)) for k, group in groupby(parts, itemgetter(0)))
+
+
+def _cut(table: pa.Table, key: str) -> Iterator[tuple[int, pa.Table]]:
+    keys = table.column(key).to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+    return ((int(keys[a]), table.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]))
+
+
 def _ask(batches, n):
     """Each chunk's distinct words, with how often its training documents have them; each training document counts one end mark."""
-    for t in by_bucket(batches):
-        seqs, hashes = tokens(t.column("text").to_pylist())
-        counts = np.zeros(len(hashes), np.int64)
-        training = ~np.array(t.column("held_out").to_pylist(), bool)
-        used = [s for s, x in zip(seqs, training) if x]
-        if used:
-            counts += np.bincount(np.concatenate(used), minlength=len(hashes))
-        chunk = t.column("bucket")[0].as_py()
-        rows = [(b, chunk, hashes[at].tobytes(), counts[at].astype(np.uint32).tobytes()) for b, at in bucketed(hashes, n)]
-        rows.append((chunk % n, -1, b"", np.array([training.sum()], np.uint32).tobytes()))
+    for chunk, tables in in_turn(batches):
+        ids, counts, ends = {}, np.zeros(0, np.int64), 0
+        for t in tables:
+            seqs, hashes = tokens(t.column("text").to_pylist())
+            training = ~np.array(t.column("held_out").to_pylist(), bool)
+            used = [s for s, x in zip(seqs, training) if x]
+            own = np.bincount(np.concatenate(used), minlength=len(hashes)) if used else np.zeros(len(hashes), np.int64)
+            at = np.fromiter((ids.setdefault(h, len(ids)) for h in hashes.tolist()), np.int64, len(hashes))
+            counts = np.r_[counts, np.zeros(len(ids) - len(counts), np.int64)]
+            np.add.at(counts, at, own)
+            ends += int(training.sum())
+        hashes = np.fromiter(ids, np.uint64, len(ids))
+        rows = [(b, chunk, hashes[at].tobytes(), counts[at].tobytes()) for b, at in bucketed(hashes, n)]
+        rows.append((chunk % n, -1, b"", np.array([ends], np.int64).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "chunk", "hashes", "counts"])
 
 
@@ -221,9 +255,9 @@ def _answer(batches, top_words, classes):
         asked, ends = [], 0
         for chunk, h, c in zip(t.column("chunk").to_pylist(), t.column("hashes").to_pylist(), t.column("counts").to_pylist()):
             if chunk < 0:
-                ends += int(np.frombuffer(c, np.uint32)[0])
+                ends += int(np.frombuffer(c, np.int64)[0])
             else:
-                asked.append((chunk, np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint32)))
+                asked.append((chunk, np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)))
         if asked:
             words, back = np.unique(np.concatenate([h for _, h, _ in asked]), return_inverse=True)
             total = np.bincount(back, np.concatenate([c for _, _, c in asked])).astype(np.int64)
@@ -262,20 +296,21 @@ def _merge(h, c, top_words):
 
 
 def chunk_of(docs: DataFrame):
-    """Number of a document's chunk."""
-    n = max(CHUNKS_PER_PARTITION * partitions(docs.sparkSession), -(-docs.count() // CHUNK_DOCS))
-    return F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+    """Number of a document's chunk: by id and text, so that null and repeated ids are spread like others; rows alike in both share one."""
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    n = max(CHUNKS_PER_PARTITION * partitions(docs.sparkSession), -(-rows // CHUNK_DOCS), -(-size // CHUNK_TEXT))
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
 
 
-def score(docs: DataFrame, held_out, states: int = STATES, top_words: int = TOP_WORDS, classes: int = HASHED_CLASSES, iterations: int = ITERATIONS) -> DataFrame:
+def score(docs: DataFrame, held_out, states: int = STATES, top_words: int = TOP_WORDS, classes: int = HASHED_CLASSES, iterations: int = ITERATIONS, segment: int | None = SEGMENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
     held_out: a boolean column of docs; the model learns from the other rows. base_score is of the smoothed
     unigram model, score of the hidden Markov model, both log10. Null text: empty, just the end mark.
-    Repeated rows count as often as they occur; extra columns are ignored.
+    Repeated rows, and rows with null or repeated doc_ids, count as often as they occur; where held_out is null a row
+    is learned from. Extra columns are ignored. segment: see SEGMENT.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     dealt = docs.withColumn("bucket", chunk_of(docs))
     asked = exchange(dealt.select("bucket", "text", "held_out"), n).mapInArrow(lambda it: _ask(it, n), _ASKED)
@@ -292,17 +327,30 @@ def score(docs: DataFrame, held_out, states: int = STATES, top_words: int = TOP_
     np.subtract.at(class_v, g, 1)
     order = np.argsort(h)
     vocabulary = Vocabulary(float(total_n), float(total_v), h[order], c[order].astype(np.float64), class_n, class_v, float(ends))
-    model = train(docs.where(~F.col("held_out")), vocabulary, states, iterations)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    model = train(docs.where(~F.col("held_out")), vocabulary, states, iterations, segment=segment)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, tables in in_turn(batches):
+            asked: list[tuple[np.ndarray, np.ndarray]] = []
+            known = None
+            for t in tables:
+                replies = t.filter(pc.is_null(t.column("held_out")))  # these come before the texts
+                for h, c in zip(replies.column("hashes").to_pylist(), replies.column("counts").to_pylist()):
+                    asked.append((np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)))
+                texts = t.filter(pc.is_valid(t.column("held_out")))
+                if not texts.num_rows:
+                    continue
+                if known is None:
+                    h = np.concatenate([np.zeros(0, np.uint64), *(a for a, _ in asked)])
+                    order = np.argsort(h)
+                    known = h[order], np.concatenate([np.zeros(0, np.int64), *(c for _, c in asked)])[order]
+                yield from scored(texts, *known).to_batches()
+
+    def scored(left: pa.Table, got_h: np.ndarray, got_c: np.ndarray) -> pa.Table:
         seqs, hashes = tokens(left.column("text").to_pylist())
         counts = np.zeros(len(hashes) + 1)
-        if right.num_rows:
-            got_h = np.frombuffer(b"".join(right.column("hashes").to_pylist()), np.uint64)
-            got_c = np.frombuffer(b"".join(right.column("counts").to_pylist()), np.int64)
-            order = np.argsort(got_h)
-            if len(hashes):
-                counts[:-1] = got_c[order][np.searchsorted(got_h[order], hashes)]
+        if len(hashes):
+            counts[:-1] = got_c[np.searchsorted(got_h, hashes)]
         counts[-1] = vocabulary.ends
         symbol = np.r_[vocabulary.symbol(hashes), vocabulary.symbols - 1]
         within, base = vocabulary.within(symbol[:-1], counts[:-1]), vocabulary.base(counts)
@@ -318,6 +366,8 @@ def score(docs: DataFrame, held_out, states: int = STATES, top_words: int = TOP_
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    replies = told.where("kind = 0").select(F.col("chunk").alias("bucket"), "hashes", "counts")
-    scored = dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored
+    none = lambda kind: F.lit(None).cast(kind)
+    replies = told.where("kind = 0").select(F.col("chunk").alias("bucket"), none("long").alias("doc_id"), none("string").alias("text"), none("boolean").alias("held_out"), "hashes", "counts")
+    texts = dealt.select("bucket", "doc_id", "text", "held_out", none("binary").alias("hashes"), none("binary").alias("counts"))
+    both = exchange(replies.unionByName(texts), n).sortWithinPartitions("bucket", F.col("held_out").asc_nulls_first())
+    return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

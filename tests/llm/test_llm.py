@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("tesserae.llm.queries")
@@ -705,6 +707,88 @@ def test_hmm(awkward, none):
     assert hmm.score(none, F.lit(False)).count() == 0
 
 
+def brute_hmm(texts, held, states, top_words, classes, iterations, segment):
+    """log10 probabilities of texts by plain loops: counts, classes, forward and backward values without scaling by batch."""
+    tok = lambda t: [*(t or "").encode().lower().split(), None]
+    h = lambda w: xxhash.xxh64_intdigest(w)
+    counts = Counter(w for t, x in zip(texts, held) if not x for w in tok(t))
+    ends = counts.pop(None, 0)
+    top = sorted(sorted(counts, key=lambda w: (-counts[w], h(w)))[:top_words], key=h)
+    rest = [w for w in counts if w not in top]
+    class_n = [sum(counts[w] for w in rest if h(w) % classes == g) for g in range(classes)]
+    class_v = [sum(1 for w in rest if h(w) % classes == g) for g in range(classes)]
+    v = hmm.Vocabulary(0, 0, np.array([h(w) for w in top], np.uint64), np.array([counts[w] for w in top], float), np.array(class_n, float), np.array(class_v, float), float(ends))
+    symbol = lambda w: len(top) + classes if w is None else top.index(w) if w in top else len(top) + h(w) % classes
+    m = hmm.first_model(v, states)
+
+    def forward(seq, first):
+        a, out, log = (m.start if first else m.rest) * m.emit[seq[0]], [], 0.0
+        for k, s in enumerate(seq):
+            if k:
+                a = (a @ m.move) * m.emit[s]
+            log += math.log(a.sum())
+            a = a / a.sum()
+            out.append(a)
+        return np.array(out), log
+
+    for _ in range(iterations):
+        start, move, emit = np.ones(states), np.ones((states, states)), hmm.PRIOR * v.unigram()[:, None] * np.ones(states)
+        for t, x in zip(texts, held):
+            whole = [symbol(w) for w in tok(t)]
+            for at in range(0, len(whole) if not x else 0, segment or len(whole)):
+                seq = whole[at : at + (segment or len(whole))]
+                alpha, _ = forward(seq, at == 0)
+                beta = np.ones(states)
+                for k in range(len(seq) - 1, -1, -1):
+                    post = alpha[k] * beta
+                    emit[seq[k]] += post / post.sum()
+                    if k:
+                        pair = alpha[k - 1][:, None] * m.move * (m.emit[seq[k]] * beta)
+                        move += pair / pair.sum()
+                        beta = m.move @ (m.emit[seq[k]] * beta)
+                        beta /= beta.sum()
+                    elif at == 0:
+                        start += post / post.sum()
+        m = hmm.Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    out = []
+    for t in texts:
+        words = tok(t)
+        within = sum(math.log10((counts[w] + 0.5) / (class_n[h(w) % classes] + 0.5 * (class_v[h(w) % classes] + 1))) for w in words if w is not None and w not in top)
+        out.append(forward([symbol(w) for w in words], True)[1] / math.log(10) + within)
+    return out
+
+
+@pytest.mark.parametrize("segment", [None, 16])
+def test_hmm_score_against_loops(spark, segment):
+    texts = [prose(int(n)) for n in RNG.integers(0, 60, 30)] + [None, "", "THE the The", prose(5, ["new", "words", "only"])]
+    df = spark.createDataFrame([(i if i % 5 else None, t, i % 4 == 3) for i, t in enumerate(texts)], "doc_id long, text string, away boolean")
+    got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], round(r["score"], 2)) for r in hmm.score(df, F.col("away"), 2, 5, 3, 2, segment).collect())
+    want = brute_hmm(texts, [i % 4 == 3 for i in range(len(texts))], 2, 5, 3, 2, segment)
+    near = Counter()
+    for i, (t, x) in enumerate(zip(texts, want)):
+        for r in got:
+            if r[:3] == (i if i % 5 else None, i % 4 == 3, len((t or "").split()) + 1) and abs(r[3] - x) < 0.02:
+                near[i] = 1
+                break
+    assert sum(near.values()) == len(texts) and sum(got.values()) == len(texts)
+
+
+def test_hmm_of_null_and_repeated_ids(spark):
+    """Such rows are spread over chunks, and their texts pass in tables of bounded size."""
+    rows = [(None if i % 2 else 7, f"{WORDS[i % 14]} {i % 50}") for i in range(3000)] + [(None, None)] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = df.groupBy(hmm.chunk_of(df).alias("c")).count().collect()
+    assert len(sizes) >= 14 and max(r["count"] for r in sizes) < 1000
+    got = hmm.score(df, F.lit(None).cast("boolean"), iterations=1).collect()
+    c = Counter(w for _, t in rows for w in (t or "").split())
+    n, v = sum(c.values()) + len(rows), len(c) + 1
+    base = lambda t: round(sum(math.log10((k + 0.5) / (n + 0.5 * (v + 1))) for k in [*(c[w] for w in (t or "").split()), len(rows)]), 4)
+    assert Counter((r["doc_id"], r["held_out"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == Counter((i, False, n, base(t)) for i, t in rows)
+    batches = [pa.RecordBatch.from_pydict({"bucket": pa.array([k] * 5000, pa.int32()), "text": ["x"] * 5000}) for k in (1, 1, 1, 2)]
+    turns = [(k, [t.num_rows for t in tables]) for k, tables in hmm.in_turn(iter(batches))]
+    assert [k for k, _ in turns] == [1, 2] and sum(turns[0][1]) == 15000 and max(turns[0][1]) <= 2 * common.CHUNK_ROWS
+
+
 def test_forward_is_exact_and_em_rises():
     rng = np.random.default_rng(0)
     k, s = 7, 3
