@@ -1,7 +1,9 @@
 """Bit-sliced search, Merkle manifest and whitening against brute-force versions and on awkward tables."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -9,9 +11,10 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 pytest.importorskip("tesserae.llm.queries")
-from tesserae.llm import bitslices, merkle, queries, whitening  # noqa: E402
+from tesserae.llm import bitslices, divergence, merkle, queries, simhash, whitening  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 VECTORS = "vec_id long, embedding array<double>, rank int, score string, block string, n string"
@@ -266,6 +269,78 @@ def test_whitening_sums_are_exact():
     assert (whitening.unpacked(whitening.packed(v)) == v).all()
 
 
+# 1 and 6: second computations
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+MIXED = [None, "", " \t\n", "one two three four five six seven eight nine ten", "a b c d e " * 6, "x\ny\nx\n\n \nx", "#*$%&|<> é\u00a0日本 a\u2028b", "Aa " * 3000, "q\x0bw\x1ce\x85r\x0c\r\n t\r\n", "The cat sat on the mat. " * 30, *(" ".join(RNG.choice(list("abcdef"), int(n))) for n in RNG.integers(0, 400, 25))]
+
+
+def brute_base(text):
+    words, lines, seen, dup = words_of(text), (text or "").split("\n"), set(), 0
+    for line in lines:
+        if words_of(line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    repeated = sum(any(windows[tuple(words[j : j + 5])] > 1 for j in range(max(0, i - 4), min(i, len(words) - 5) + 1)) for i in range(len(words)))
+    n = len(words)
+    return n, sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, repeated, n < 10 or 100 * repeated > 20 * n
+
+
+def test_divergence_base_columns_and_distances(spark):
+    """All base columns, both distances and the verdict of the query's operator against plain recounts."""
+    texts = [*MIXED, *(" ".join(RNG.choice(["the", "of", "river", "and", "stone,", "Quiet", "to"], 150)) for _ in range(6)), "zq#" * 400 + " w" * 80]
+    df = spark.createDataFrame([(i, t, "en" if i % 3 else "fr", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, kept int")
+    got = {r["doc_id"]: r for r in divergence.judge(df).collect()}
+    assert len(got) == len(texts)
+    common = sorted({w for ws in divergence.COMMON_WORDS.values() for w in ws})
+
+    def histograms(text):
+        groups = [" \t", "\n\r\x0b\x0c", *("".join(map(chr, range(a, a + 26))) for a in (65, 97)), "0123456789", ".,;:!?'\"()-", "#*$%&|<>=+@^~_{}[]\\/`"]
+        chars = Counter(next((k for k, g in enumerate(groups) if c in g), 7 if ord(c) < 128 else 8) for c in text)
+        plain = "".join(c for c in text if c not in ".,;:!?")
+        words = Counter(w if w in common else "" for w in ("".join(c.lower() if c.isascii() else c for c in w) for w in words_of(plain)))
+        return [chars[k] for k in range(9)], [words[w] for w in [*common, ""]]
+
+    def distance(a, b):
+        if not sum(a) or not sum(b):
+            return 1.0
+        p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+        kl = lambda u: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(u, q if u is p else p) if x)
+        return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    made = [histograms(t or "") for t in texts]
+    long = [sum(c) >= divergence.MIN_CHARS and sum(w) >= divergence.MIN_WORDS_JUDGED for c, w in made]
+    refs = [([sum(made[i][0][k] for i in mine) for k in range(9)], [sum(made[i][1][k] for i in mine) for k in range(len(common) + 1)]) for mine in ([i for i in range(len(texts)) if long[i] and (i % 3 > 0) == en] for en in (True, False))]
+    for i, t in enumerate(texts):
+        r, base = got[i], brute_base(t)
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == base, i
+        if not long[i]:
+            assert r["char_distance"] is None and r["kept"] == (not base[5])
+            continue
+        both = min(((distance(made[i][0], c), distance(made[i][1], w)) for c, w in refs), key=sum)
+        assert abs(r["char_distance"] - both[0]) < 1e-6 and abs(r["word_distance"] - both[1]) < 1e-6
+        assert r["kept"] == (not base[5] and both[0] <= divergence.MAX_CHAR_DISTANCE and both[1] <= divergence.MAX_WORD_DISTANCE)
+
+
+def test_fingerprints_against_bits(spark):
+    def brute(text):
+        words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words_of(text)]
+        if not words:
+            return "0" * 16
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+        hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        return f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)):016x}"
+
+    df = spark.createDataFrame(list(enumerate([*MIXED, "ÉCOLE École", "A a A", "w " * 9000])), "doc_id long, text string")
+    for r, t in zip(simhash.near_duplicates(df).orderBy("doc_id").collect(), [*MIXED, "ÉCOLE École", "A a A", "w " * 9000]):
+        assert r["fingerprint"] == brute(t)
+
+
 # SQL
 
 
