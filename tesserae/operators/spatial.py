@@ -41,6 +41,28 @@ def explode_regions(regions: DataFrame, multiple: int, size: str, x: str = "x",
     return sub.select(*(c for c in regions.columns if c not in (x, y)), F.col("_s.subtile").alias("subtile_index"), F.col("_s.x").alias("x"), F.col("_s.y").alias("y"), flat)
 
 
+def scatter(vectors: DataFrame, regions: DataFrame, per_region: int, keys: Sequence[str] = ("sample_id",), vector: str = "embedding", index: str = "flat_index") -> DataFrame:
+    """The vectors of each region in order of its subtiles: keys, region_index and an array of per_region vectors.
+
+    vectors: keys, a flat index over all subtiles, and a vector, from any shards and in any order. regions: keys and
+    num_regions. Indices that are missing, that come twice or that no region has are errors that name them.
+    """
+    at = F.col(index).cast("long")
+    found = vectors.select(*keys, F.floor(at / per_region).cast("long").alias("region_index"), F.pmod(at, F.lit(per_region)).alias("_p"), F.col(vector).alias("_v"))
+    found = found.groupBy(*keys, "region_index").agg(F.array_sort(F.collect_list(F.struct("_p", F.col("_v")))).alias("_s"))
+    known = regions.where("num_regions > 0").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("num_regions").cast("long") - 1)).alias("region_index")).withColumn("_known", F.lit(True))
+    both = known.join(found, [*keys, "region_index"], "full")
+    have = F.coalesce(F.transform("_s", lambda s: s["_p"]), F.array().cast("array<long>"))
+    gone = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(per_region).cast("long") - 1), have)
+    twice = F.array_distinct(F.filter(have, lambda p: F.size(F.filter(have, lambda q: q == p)) > 1))
+    flat = lambda which: F.concat_ws(", ", F.transform(which, lambda p: (F.col("region_index") * per_region + p).cast("string")))
+    of = F.concat(F.lit(" of "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))
+    made = F.transform("_s", lambda s: s["_v"])
+    wrong = lambda text, which: F.raise_error(F.concat(F.lit(text), flat(which), of)).cast(both.select(made).schema[0].dataType)
+    checked = F.when(F.col("_known").isNull(), wrong("no region for subtiles ", have)).when(F.size(gone) > 0, wrong("no vectors for subtiles ", gone)).when(F.size(twice) > 0, wrong("several vectors for subtiles ", twice)).otherwise(made)
+    return both.select(*keys, "region_index", checked.alias(vector))
+
+
 def explode_rois(slides: DataFrame, coordinates: str = "coordinates") -> DataFrame:
     """One row for each (x, y) of an array of pairs; slides without any drop out."""
     pairs = slides.select("*", F.posexplode(coordinates).alias("roi_index", "_c"))

@@ -1,4 +1,4 @@
-"""Queries on what is stored: commits and their replay, pyramids of tiles."""
+"""Queries on what is stored: commits and their replay, pyramids of tiles, tar stores, masks and regions."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ import tarfile
 import numpy as np
 import pandas as pd
 from pyarrow import fs
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tesserae.operators import coverage, spatial
 from tesserae.plans.catalogue import query, table
 from tesserae.plans.grids import patch_ranges
 from tesserae.plans.pipeline import Model, Pipeline
@@ -124,3 +126,32 @@ def tar_tiles(spark, sf_dir):
     rows.groupBy("label").applyInPandas(write, "label int").count()
     wanted = rows.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").cast("string").alias("sample_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("tile_index")).where("tile_index % 3 = 1")
     return tars.tiles(spark, folder, wanted).select(F.col("sample_id").cast("int").alias("label"), "tile_index", "name", byte_sum("content").alias("total"))
+
+
+@query("""
+    WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(floor(abs(unnest(embedding)) * 16) AS BIGINT) % 3 AS v FROM embeddings),
+    t(x, y) AS (VALUES (0, 0), (12, 0), (20, 20), (24, 8)), c(annotation, value, least) AS (VALUES ('one', 1, 0.3), ('two', 2, 0.25))
+    SELECT vec_id, CAST(t.x AS BIGINT) AS x, CAST(t.y AS BIGINT) AS y, annotation, round(count(*) / 9.0, 6) AS coverage
+    FROM p, t, c WHERE p.v = c.value AND i % 8 BETWEEN t.x // 4 AND t.x // 4 + 2 AND i // 8 BETWEEN t.y // 4 AND t.y // 4 + 2
+    GROUP BY ALL HAVING count(*) / 9.0 >= any_value(least)""")
+def mask_coverage(spark, sf_dir):
+    """Vectors as masks of 8 x 8 pixels, four pixels of level 0 wide: tiles of 12 pixels by the classes that cover them enough."""
+    e = table(spark, sf_dir, "embeddings")
+    masks = e.select("vec_id", F.transform("embedding", lambda v: F.floor(F.abs(v) * 16) % 3).alias("mask"), F.lit(8).alias("mask_width"), F.lit(4.0).alias("mask_downsample"))
+    places = F.array(*(F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in ((0, 0), (12, 0), (20, 20), (24, 8))))
+    tiles = e.select("vec_id", F.explode(places).alias("p")).select("vec_id", "p.x", "p.y", F.lit(12).cast("long").alias("size"))
+    settings = {"pixel_mapping": {"none": 0, "one": 1, "two": 2}, "min_coverage": {"none": None, "one": 0.3, "two": 0.25}}
+    return coverage.select(tiles, masks, settings, ["vec_id"]).select("vec_id", "x", "y", "annotation", F.round("coverage", 6).alias("coverage"))
+
+
+@query("""
+    WITH n AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) // 4 * 4 AS n FROM embeddings)
+    SELECT label, i // 4 AS region_index, list(round(CAST(embedding[1] AS DOUBLE), 6) ORDER BY i) AS firsts FROM n WHERE i < n GROUP BY ALL""")
+def hierarchical_scatter(spark, sf_dir):
+    """Vectors of subtiles, in three shards and no order, put back to regions of four."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.groupBy("label").agg(F.floor(F.count("*") / 4).alias("num_regions"))
+    flat = e.withColumn("flat_index", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).join(n, "label").where("flat_index < num_regions * 4")
+    shards = [flat.where(F.col("vec_id") % 3 == k).select("label", "flat_index", "embedding") for k in (2, 0, 1)]
+    made = spatial.scatter(shards[0].unionByName(shards[1]).unionByName(shards[2]), n, 4, ["label"])
+    return made.select("label", "region_index", F.transform("embedding", lambda v: F.round(v[0].cast("double"), 6)).alias("firsts"))
