@@ -15,7 +15,7 @@ from tesserae.operators import coverage, spatial
 from tesserae.plans.catalogue import query, table
 from tesserae.plans.grids import patch_ranges
 from tesserae.plans.pipeline import Model, Pipeline
-from tesserae.sources import commits, regions, tars, tiff
+from tesserae.sources import commits, regions, tars, tensors, tiff
 
 
 @query("""
@@ -155,3 +155,20 @@ def hierarchical_scatter(spark, sf_dir):
     shards = [flat.where(F.col("vec_id") % 3 == k).select("label", "flat_index", "embedding") for k in (2, 0, 1)]
     made = spatial.scatter(shards[0].unionByName(shards[1]).unionByName(shards[2]), n, 4, ["label"])
     return made.select("label", "region_index", F.transform("embedding", lambda v: F.round(v[0].cast("double"), 6)).alias("firsts"))
+
+
+@query("""
+    SELECT label, vec_id AS tile_index, len(embedding) AS dim, round(CAST(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS DOUBLE), 4) AS total FROM embeddings""")
+def tensor_rows(spark, sf_dir):
+    """The vectors of each label written as a tensor archive, with their ids, and read back."""
+    folder = pyramids(spark, sf_dir)
+
+    def write(key, group):
+        system, name = fs.FileSystem.from_uri(f"{folder}/{key[0]}.pt") if ":" in folder else (fs.LocalFileSystem(), f"{folder}/{key[0]}.pt")
+        with system.open_output_stream(name) as out:
+            out.write(tensors.dump({"features": np.stack(group["embedding"].to_numpy()).astype(np.float32), "tile_index": group["vec_id"].to_numpy().astype(np.int64)}))
+        return pd.DataFrame({"label": [key[0]]})
+
+    table(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(write, "label int").count()
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return tensors.rows(spark, folder, "features").select(F.col("sample_id").cast("int").alias("label"), "tile_index", F.size("embedding").cast("long").alias("dim"), F.round(total, 4).alias("total"))
