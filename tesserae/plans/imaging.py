@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tesserae.functions import encoders, pixels, records
+from tesserae.functions import encoders, pixels, records, transforms
 from tesserae.functions import expressions as X
 from tesserae.functions.registry import Encoder
 from tesserae.operators import aggregate, spatial, tables
@@ -208,3 +208,15 @@ def embed_patients(spark, sf_dir):
 def encoder_catalogue(spark, sf_dir):
     rows = [(e.level, e.name, max(e.variants.values())) for e in encoders.catalogue().encoders.values()]
     return spark.createDataFrame(rows, "level string, name string, dim int").groupBy("level").agg(F.count("*").cast("int").alias("encoders"), F.max("dim").alias("widest"))
+
+
+def _mean_of_four(y: str, x: str) -> str:
+    cells = (source(f"(({y} + 1) * 2 + {a})", f"(({x} + 1) * 2 + {b})") for a in (0, 1) for b in (0, 1))
+    return "(" + " + ".join(f"CAST({c} AS DOUBLE)" for c in cells) + ") / 4"
+
+
+@query(f"SELECT vec_id, {raster_sql(2, 2, 'round((' + _mean_of_four('{y}', '{x}') + ' - 0.1) / 0.5, 6)')} AS p, 2 AS h, 2 AS w FROM embeddings")
+def fused_transforms(spark, sf_dir):
+    steps = [transforms.Normalize((0.1,), (0.25,)), [transforms.Resize((4, 4), "area"), transforms.CenterCrop(2)], transforms.Scale(0.5)]
+    made = images(spark, sf_dir).select("vec_id", transforms.transform_udf(steps)("pixels", "h", "w").alias("t"))
+    return made.select("vec_id", F.transform("t.pixels", lambda v: F.round(v, 6)).alias("p"), F.col("t.height").alias("h"), F.col("t.width").alias("w"))
