@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from tesserae.functions.registry import Encoder, Registry
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.functions.registry import TOLERANCE, Encoder, Registry
 
 # Level, name, variants with dimensions (the default first), input px, patch px, spacings, precision, tile encoder, any input size.
 KNOWN = """
@@ -83,3 +86,27 @@ def input_size(registry: Registry, name: str, size: int) -> int:
     if t.patch and any(size % p for p in t.patch):
         raise ValueError(f"{size} px are not whole patches of {t.patch} px")
     return size
+
+
+def table(spark: SparkSession, registry: Registry) -> DataFrame:
+    """The registry as a table, for requests to be joined with: a row for each encoder, sizes and patches those of its tile encoder."""
+    rows = []
+    for e in registry.encoders.values():
+        t = registry.tile_of(e.name)
+        variant, dim = registry.variant(e.name)
+        rows.append((e.name, e.level, t.name, variant, dim, t.input_size, *(t.patch or (None, None)), list(e.spacings or t.spacings), e.precision, t.variable_input))
+    return spark.createDataFrame(rows, "encoder_name string, level string, tile_encoder string, output_variant string, dim int, input_size int, patch_height int, patch_width int, spacings array<double>, precision string, variable_input boolean")
+
+
+def accepted(requests: DataFrame, registry: Registry, name: str = "encoder_name", size: str = "size_px", spacing: str = "spacing_um") -> DataFrame:
+    """Requests with level, dim and the complaints of `Registry.complaints` on size and spacing, as names; no such encoder is one too.
+
+    The registry's table is broadcast: it has a row for each registered encoder, a matter of code and not of data.
+    """
+    known = table(requests.sparkSession, registry).withColumnRenamed("encoder_name", "_name")
+    both = requests.join(F.broadcast(known), requests[name] == F.col("_name"), "left")
+    whole = F.col("patch_height").isNotNull() & (F.pmod(size, "patch_height") == 0) & (F.pmod(size, "patch_width") == 0)
+    misfit = F.col("input_size").isNotNull() & (F.col(size) != F.col("input_size")) & ~(F.col("variable_input") & whole)
+    off = (F.size("spacings") > 0) & ~F.exists("spacings", lambda s: F.abs(s - F.col(spacing)) <= TOLERANCE)
+    found = F.array_compact(F.array(F.when(off, "spacing"), F.when(misfit, "size")))
+    return both.select(*requests.columns, "level", "dim", F.when(F.col("_name").isNull(), F.array(F.lit("encoder"))).otherwise(found).alias("complaints"))

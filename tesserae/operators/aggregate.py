@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,10 +46,25 @@ def stage_seconds(events: DataFrame, key: str, time: str, start: Column, end: Co
     return span.select(key, F.round((F.unix_micros("b") - F.unix_micros("a")) / 1e6, 3).alias(out))
 
 
+def spread(rate: str, digits: int = 4) -> tuple[Column, Column, Column]:
+    """Mean, population deviation and maximum of a rate."""
+    return F.round(F.avg(rate), digits), F.round(F.stddev_pop(rate), digits), F.max(rate)
+
+
+def first_seen(rows: DataFrame, key: str, label: str, order: str, out: str = "place") -> DataFrame:
+    """Labels of each key, numbered from 1 by their first row in order, then by label; null is a label.
+
+    Rows are reduced to one for each label before they are numbered.
+    """
+    seen = rows.groupBy(key, label).agg(F.min(order).alias("_o"))
+    return seen.select(key, label, F.row_number().over(Window.partitionBy(key).orderBy("_o", label)).alias(out))
+
+
 def trials(rows: DataFrame, keys: Sequence[str], rate: str, *optional: str) -> DataFrame:
     """Mean, population deviation and maximum of a rate; means of optional columns over the rows that have them."""
     extra = [F.round(F.avg(c), 6).alias(f"mean_{c}") for c in optional]
-    return rows.groupBy(*keys).agg(F.count("*").alias("trials"), F.round(F.avg(rate), 4).alias(f"mean_{rate}"), F.round(F.stddev_pop(rate), 4).alias(f"std_{rate}"), F.max(rate).alias(f"max_{rate}"), *extra)
+    mean, deviation, most = spread(rate)
+    return rows.groupBy(*keys).agg(F.count("*").alias("trials"), mean.alias(f"mean_{rate}"), deviation.alias(f"std_{rate}"), most.alias(f"max_{rate}"), *extra)
 
 
 def best(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -26,13 +26,8 @@ def area(table: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (1 - a) * (1 - b) * table[i, j] + (1 - a) * b * table[i, j + 1] + a * (1 - b) * table[i + 1, j] + a * b * table[i + 1, j + 1]
 
 
-def coverage(tiles: DataFrame, masks: DataFrame, classes: Mapping[str, int], keys: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """tiles with annotation and coverage, a row for each class: the share of the tile's area whose mask pixels have the class's value.
-
-    tiles: keys, x, y and size, at level 0. masks: keys, mask (values by rows), mask_width and mask_downsample (pixels
-    of level 0 along a side of a mask pixel), one row for each key. What lies beyond the mask is of no class. Tiles
-    without a mask have no rows; a mask that is null or empty covers nothing. A task holds one mask, with its tiles.
-    """
+def _measured(tiles: DataFrame, masks: DataFrame, classes: Mapping[str, int], keys: Sequence[str], rows) -> DataFrame:
+    """tiles with annotation and coverage as `rows` makes them of a mask's tiles and their shares by class."""
     names = tiles.columns
     schema = StructType([*tiles.schema.fields, StructField("annotation", StringType()), StructField("coverage", DoubleType())])
 
@@ -50,25 +45,52 @@ def coverage(tiles: DataFrame, masks: DataFrame, classes: Mapping[str, int], key
             for k, value in enumerate(classes.values()):
                 table = summed(grid == value)
                 shares[k] = (area(table, bottom, right) - area(table, top, right) - area(table, bottom, left) + area(table, top, left)) / ((right - left) * (bottom - top))
-        rows = t.take(pa.array(np.tile(np.arange(n), len(classes))))
-        return rows.append_column("annotation", pa.array(np.repeat(list(classes), n), pa.string())).append_column("coverage", pa.array(shares.ravel()))
+        at, labels, found = rows(shares)
+        return t.take(pa.array(at)).append_column("annotation", pa.array(labels, pa.string())).append_column("coverage", pa.array(found))
 
     return tiles.groupBy(*keys).cogroup(masks.select(*keys, "mask", "mask_width", "mask_downsample").groupBy(*keys)).applyInArrow(one, schema)
 
 
+def coverage(tiles: DataFrame, masks: DataFrame, classes: Mapping[str, int], keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """tiles with annotation and coverage, a row for each class: the share of the tile's area whose mask pixels have the class's value.
+
+    tiles: keys, x, y and size, at level 0. masks: keys, mask (values by rows), mask_width and mask_downsample (pixels
+    of level 0 along a side of a mask pixel), one row for each key. What lies beyond the mask is of no class. Tiles
+    without a mask have no rows; a mask that is null or empty covers nothing. A task holds one mask, with its tiles.
+    """
+    names = list(classes)
+
+    def each(shares: np.ndarray):
+        n = shares.shape[1]
+        return np.tile(np.arange(n), len(names)), np.repeat(names, n), shares.ravel()
+
+    return _measured(tiles, masks, classes, keys, each)
+
+
 def select(tiles: DataFrame, masks: DataFrame, settings: Mapping, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Tiles of the classes that cover them enough: a row for each class with a least coverage, that is met.
 
     settings: `pixel_mapping` from class to mask value, and `min_coverage` from class to least share, null for classes
-    that make no tiles. Flat classes have the null label (see artifact_label).
+    that make no tiles. Flat classes have the null label (see artifact_label). Where `output_mode` is merged a tile that
+    any class covers enough has one row, without a label, with the largest of those coverages.
     """
     wanted = {c: m for c, m in settings["min_coverage"].items() if m is not None}
     if lost := sorted(set(wanted) - set(settings["pixel_mapping"])):
         raise ValueError(f"no mask values for {lost}")
     if bad := {c: m for c, m in wanted.items() if not 0 <= m <= 1}:
         raise ValueError(f"a least coverage is a share: {bad}")
+    values = {c: settings["pixel_mapping"][c] for c in wanted}
+    if settings.get("output_mode") == "merged":
+        floor = np.array(list(wanted.values()), np.float64)[:, None]
+
+        def union(shares: np.ndarray):
+            met = np.where(shares + 1e-12 >= floor, shares, -1.0).max(0, initial=-1.0)
+            at = np.flatnonzero(met >= 0)
+            return at, [None] * len(at), met[at]
+
+        return _measured(tiles, masks, values, keys, union)
     least = F.lit(None).cast("double")
     for c, m in wanted.items():
         least = F.when(F.col("annotation") == c, F.lit(float(m))).otherwise(least)
-    made = coverage(tiles, masks, {c: settings["pixel_mapping"][c] for c in wanted}, keys)
+    made = coverage(tiles, masks, values, keys)
     return made.where(F.col("coverage") + 1e-12 >= least).withColumn("annotation", artifact_label("annotation"))

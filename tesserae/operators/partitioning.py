@@ -166,12 +166,15 @@ def stratified_sample(rows: DataFrame, n: int, size: str, unit: str, seed: int =
     return ranked.orderBy((F.col("_r") > n // 3), "_h", unit).limit(n).drop("_h", "_r", "bin")
 
 
-def trial_plan(spark, models: Sequence[str], gpus: Sequence[int], batches: Sequence[int], workers: Sequence[int], repeat: int) -> DataFrame:
-    """Every combination in nested order, with one warm-up and then `repeat` measured runs each."""
+def trial_plan(spark, models: Sequence[str] | DataFrame, gpus: Sequence[int], batches: Sequence[int], workers: Sequence[int], repeat: int) -> DataFrame:
+    """Every combination in nested order, with one warm-up and then `repeat` measured runs each. models: names in order, or a table with the column model, which is then in order of names."""
     axes = [("model", models), ("num_gpus", gpus), ("batch_size", batches), ("workers", workers)]
     out = spark.range(1).select()
+    if isinstance(models, DataFrame):
+        out, axes[0] = models.select("model", F.col("model").alias("_model")), ("model", None)
     for name, values in axes:
-        out = out.select("*", F.posexplode(F.array(*(F.lit(v) for v in values))).alias(f"_{name}", name))
+        if values is not None:
+            out = out.select("*", F.posexplode(F.array(*(F.lit(v) for v in values))).alias(f"_{name}", name))
     out = out.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeat))).alias("repeat_index"))
     kind = F.when(F.col("repeat_index") == 0, "warmup").otherwise("measured")
     return out.orderBy(*(f"_{n}" for n, _ in axes), "repeat_index").select(*(n for n, _ in axes), kind.alias("kind"), "repeat_index")

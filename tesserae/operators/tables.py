@@ -96,6 +96,12 @@ def completed(status: DataFrame, payloads: DataFrame, required: Sequence[str], k
     return ok.join(have, same_unit(ok, have, keys), "left_semi").select(*keys)
 
 
+def siblings(samples: DataFrame, units: DataFrame, done: Column, key: str = "sample_id", label: str = "annotation") -> DataFrame:
+    """Samples with the number of their classes, and whether all of their units are done; a sample without units is not ready."""
+    known = units.groupBy(key).agg(F.count_distinct(F.coalesce(label, F.lit(""))).alias("classes"), F.bool_and(F.coalesce(done, F.lit(False))).alias("ready"))
+    return samples.join(known, key, "left").withColumn("classes", F.coalesce("classes", F.lit(0))).withColumn("ready", F.coalesce("ready", F.lit(False)))
+
+
 def changed(specs: DataFrame, records: DataFrame, key: str, compatibility: str = "compatibility") -> DataFrame:
     """Specs to encode again: without a record, or whose compatibility map differs; `differs` names the keys, null without a record.
 

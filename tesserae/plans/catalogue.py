@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import expressions as X
-from tesserae.operators import aggregate, partitioning, spatial, tables
+from tesserae.functions import records
+from tesserae.operators import aggregate, partitioning, spatial, tables, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,11 +63,12 @@ def pool_tiles_to_slides(spark, sf_dir):
     SELECT CAST(coalesce(c.c_custkey, -o.o_orderkey) AS VARCHAR) AS patient_id, count(*) AS n_slides, round(avg(o_totalprice), 6) AS mean_value, min(o_orderkey) AS first_slide
     FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_acctbal > 0 GROUP BY 1""")
 def pool_slides_to_patients(spark, sf_dir):
-    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
-    both = o.join(known.withColumn("patient_id", F.col("c_custkey").cast("string")), "c_custkey", "left")
-    patient = F.coalesce("patient_id", (-F.col("o_orderkey")).cast("string"))
-    return both.groupBy(patient.alias("patient_id")).agg(F.count("*").alias("n_slides"), F.round(F.avg("o_totalprice"), 6).alias("mean_value"), F.min("o_orderkey").alias("first_slide"))
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_custkey").cast("string").alias("patient_id"))
+    o = table(spark, sf_dir, "orders").select((-F.col("o_orderkey")).alias("sample_id"), "o_orderkey", "o_custkey", F.array(F.col("o_totalprice").cast("double")).alias("vector"))
+    both = tables.patients_of(o, o.join(known, "o_custkey").select("sample_id", "patient_id"))
+    pooled = aggregate.pool_mean(both, ["patient_id"], "vector", digits=6)
+    counts = both.groupBy("patient_id").agg(F.count("*").alias("n_slides"), F.min("o_orderkey").alias("first_slide"))
+    return counts.join(pooled, "patient_id").select("patient_id", "n_slides", F.col("pooled")[0].alias("mean_value"), "first_slide")
 
 
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS sample, list(l_returnflag ORDER BY l_returnflag) AS labels, list(n ORDER BY l_returnflag) AS sizes FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
@@ -181,7 +183,8 @@ def stage_seconds(spark, sf_dir):
       CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS items FROM events GROUP BY 1""")
 def batch_timing(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return ev.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("batches"), F.round(F.avg("value"), 6).alias("mean_ms"), F.round(F.max("value"), 6).alias("max_ms"), F.round(F.stddev_pop("value"), 6).alias("std_ms"), F.sum("k").alias("items"))
+    mean, deviation, most = aggregate.spread("value", 6)
+    return ev.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("batches"), mean.alias("mean_ms"), F.round(most, 6).alias("max_ms"), deviation.alias("std_ms"), F.sum("k").alias("items"))
 
 
 @query("""
@@ -238,9 +241,10 @@ def table_shards(spark, sf_dir):
 
 @query("""
     SELECT m.model, g.num_gpus, b.batch_size, w.workers, CASE WHEN r.i = 0 THEN 'warmup' ELSE 'measured' END AS kind, r.i AS repeat_index
-    FROM (VALUES ('uni'), ('virchow2')) m(model), (VALUES (1), (2)) g(num_gpus), (VALUES (64), (128), (256)) b(batch_size), (VALUES (4), (8)) w(workers), (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS i) r""")
+    FROM (SELECT 'm' || p_partkey AS model FROM part) m, (VALUES (1), (2)) g(num_gpus), (VALUES (64), (128), (256)) b(batch_size), (VALUES (4), (8)) w(workers), (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS i) r""")
 def trial_plan(spark, sf_dir):
-    return partitioning.trial_plan(spark, ["uni", "virchow2"], [1, 2], [64, 128, 256], [4, 8], 3)
+    models = table(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("model"))
+    return partitioning.trial_plan(spark, models, [1, 2], [64, 128, 256], [4, 8], 3)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(ntile(3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INTEGER) AS shard FROM lineitem")
@@ -384,8 +388,46 @@ def event_stream_counts(spark, sf_dir):
     return events.counts(spark, sf_dir)
 
 
-@query("SELECT DISTINCT event_type AS kind, user_id, max_by(value, ts) OVER (PARTITION BY event_type, user_id) AS value FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 3)")
+@query("SELECT event_type AS kind, user_id, max_by(value, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS value FROM events GROUP BY 1, 2")
 def latest_task_board(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    kinds = ev.select("event_type").distinct().orderBy("event_type").limit(3)
-    return ev.join(F.broadcast(kinds), "event_type", "left_semi").groupBy(F.col("event_type").alias("kind"), "user_id").agg(F.max_by("value", "ts").alias("value"))
+    ev = table(spark, sf_dir, "events").withColumn("seen", F.struct("ts", "event_id"))
+    return tables.last_by(ev, ["event_type", "user_id"], "seen", ["value"]).withColumnRenamed("event_type", "kind")
+
+
+# From tiling to encoding
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, nullif(l_returnflag, 'N') AS annotation, CAST(sum(l_linenumber % 3) AS BIGINT) AS n, min(l_suppkey) AS k FROM lineitem GROUP BY 1, 2)
+    SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_custkey, annotation, n AS num_tiles, '/c/' || l_orderkey || '.npz' AS coordinates_npz_path
+    FROM orders JOIN s ON l_orderkey = o_orderkey WHERE n > 0 AND k % 10 > 0""")
+def tiled_units(spark, sf_dir):
+    """Orders as samples with what their lineitems say of a tiling: a unit for each class with tiles and coordinates."""
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("sample_id"), F.nullif("l_returnflag", F.lit("N")).alias("annotation"))
+    status = t.agg(F.sum(F.col("l_linenumber") % 3).alias("num_tiles"), F.min("l_suppkey").alias("_k")).select(
+        "sample_id", "annotation", F.lit("success").alias("tiling_status"), F.lit(None).cast("string").alias("error"), "num_tiles", F.when(F.col("_k") % 10 > 0, F.concat(F.lit("/c/"), "sample_id", F.lit(".npz"))).alias("coordinates_npz_path"),
+    )
+    samples = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), "o_custkey").join(status.select("sample_id").distinct(), "sample_id", "left_semi")
+    return tiling.units(samples, status).select("sample_id", "o_custkey", "annotation", "num_tiles", "coordinates_npz_path")
+
+
+@query("SELECT CAST(conv_id * 1048576 + row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS BIGINT) AS place, conv_id, turn, role AS tiling FROM conversations")
+def tilings_beside_samples(spark, sf_dir):
+    """Turns as samples, and tilings that only say which place they are for."""
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    c = table(spark, sf_dir, "conversations").withColumn("place", F.col("conv_id").cast("long") * 1048576 + n)
+    return tiling.beside(c.select("place", "conv_id", "turn"), c.select("place", F.col("role").alias("tiling")), key="conv_id", place="place")
+
+
+@query("""
+    SELECT CAST(l_orderkey AS VARCHAR) AS sample_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_partkey, l_linenumber, l_extendedprice) - 1 AS INTEGER) AS tile_index, CAST(l_partkey AS BIGINT) AS x, CAST(l_suppkey AS BIGINT) AS y,
+      CASE WHEN l_linenumber <= 2 THEN 224 ELSE CAST(round_even(224 * 0.5 / 0.3, 0) AS INTEGER) END AS read_tile_size_px, 0.5 AS requested_spacing_um, CASE WHEN l_linenumber <= 2 THEN 0.5 ELSE 0.3 END AS read_spacing_um, l_linenumber <= 2 AS is_within_tolerance FROM lineitem""")
+def region_records(spark, sf_dir):
+    """Tiles as regions given by coordinates, of images that have the spacing asked for or a finer one."""
+    source = F.when(F.col("l_linenumber") <= 2, 0.5).otherwise(0.3)
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("sample_id"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), "l_linenumber", "l_extendedprice", source.alias("s"))
+    choice = records.level_choice(F.lit(0.5), "s", F.array(F.lit(1.0)), 0.05)
+    plan = records.region_plan(choice, F.lit(224), F.lit(0.5), source_spacing_um=F.col("s"), spacing_at_level_0=F.col("s"), tolerance=0.05)
+    r = t.withColumn("read_plan", plan).withColumn("read_tile_size_px", F.col("read_plan.read_size")[0]).withColumn("requested_tile_size_px", F.lit(224))
+    out = tiling.region_records(r, ["y", "x", "l_linenumber", "l_extendedprice"])
+    return out.select("sample_id", "tile_index", "x", "y", "read_tile_size_px", "requested_spacing_um", "read_spacing_um", "is_within_tolerance")

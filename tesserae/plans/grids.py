@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tesserae.functions import encoders, records
 from tesserae.functions import expressions as X
-from tesserae.functions import records
 from tesserae.functions.contracts import Layout
 from tesserae.functions.registry import Encoder, Registry
 from tesserae.operators import dense, tables
+from tesserae.plans import recipes
 from tesserae.plans.catalogue import query, table
 from tesserae.plans.imaging import images, raster_sql, source
 from tesserae.plans.pipeline import Model
@@ -102,3 +103,26 @@ def hierarchical_metadata(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     r = records.record(records.HIERARCHICAL_METADATA, encoder_name="uni", encoder_level="tile", region_tile_multiple=2, requested_tile_size_px=F.col("p_size") * 224, requested_region_size_px=F.col("p_size") * 448, subtile_order="row_major")
     return p.select("p_partkey", r.alias("r")).select("p_partkey", *(f"r.{n}" for n in ("requested_region_size_px", "region_tile_multiple", "requested_tile_size_px", "subtile_order", "coordinates_npz_path")))
+
+
+@query("""
+    SELECT CAST(p_partkey AS VARCHAR) AS sample_id, 'dense_image_embeddings' AS artifact_type, 'uni' AS encoder_name, CASE WHEN p_size % 2 = 0 THEN 'spacing-readable' ELSE 'raster' END AS reader_regime, p_size / 10.0 AS source_spacing_um,
+      [16, 13] AS grid_shape, [6, 4] AS pad, 48 AS window_size, 'float16' AS dtype, 1024 AS feature_dim, 0.5 AS declared_spacing_um, p_partkey % 4 AS differs FROM part""")
+def image_grid_records(spark, sf_dir):
+    """Parts as images, half of them with a spacing to read at; what differs from the compatibility of grids of another overlap, padding and window."""
+    p = table(spark, sf_dir, "part")
+    ask = lambda **more: recipes.image_grids(encoders.catalogue(), "uni", (250, 204), precision="fp16", spacing=0.5, **({"window": 48} | more))
+    name, path = F.col("p_partkey").cast("string"), F.concat(F.lit("/images/"), F.col("p_partkey").cast("string"))
+    source = F.col("p_size") / 10.0
+    readable = records.record(records.READ_PLAN, reader_regime="spacing-readable", spacing_source="explicit", declared_spacing_um=0.5, source_spacing_um=source)
+    raster = records.record(records.READ_PLAN, reader_regime="raster", spacing_source="explicit", declared_spacing_um=0.5, source_spacing_um=source)
+    plan = F.when(F.col("p_size") % 2 == 0, readable).otherwise(raster)
+    now = recipes.image_grid_record(ask(), name, path, F.lit(1024), plan)
+    before = F.lit(None)
+    for k, more in enumerate(({}, {"overlap": 0.25}, {"overlap": 0.25, "pad_mode": "replicate"}, {"overlap": 0.25, "pad_mode": "replicate", "window": 64})):
+        before = F.when(F.col("p_partkey") % 4 == k, F.to_json(recipes.compatibility(ask(**more), name, path, plan))).otherwise(before)
+    kind = "map<string,string>"
+    both = p.select(now.alias("r"), F.from_json(before, kind).alias("before")).withColumn("now", F.from_json(F.to_json("r.compatibility"), kind))
+    return both.select(
+        "r.sample_id", "r.artifact_type", "r.encoder_name", "r.reader_regime", "r.source_spacing_um", "r.grid_shape", "r.pad", "r.window_size", "r.dtype", "r.feature_dim", "r.declared_spacing_um", F.size(X.differing_keys("before", "now")).cast("long").alias("differs"),
+    )

@@ -156,14 +156,14 @@ def last_bag_wins(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_returnflag AS label, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber::BIGINT * 1000000000 + l_partkey), l_returnflag) AS place FROM lineitem GROUP BY 1, 2")
 def first_seen_labels(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("label")).agg(F.min(F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")).alias("o"))
-    return t.select("l_orderkey", "label", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("o", "label")).alias("place"))
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("label"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")).alias("o"))
+    return aggregate.first_seen(t, "l_orderkey", "label", "o")
 
 
 @query("SELECT o_orderkey, CAST(count(DISTINCT l_returnflag) AS BIGINT) AS classes, coalesce(bool_and(l_linestatus = 'F'), false) AS ready FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def siblings_ready(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_distinct("l_returnflag").alias("classes"), F.bool_and(F.col("l_linestatus") == "F").alias("ready"))
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(t, "o_orderkey", "left").select("o_orderkey", F.coalesce("classes", F.lit(0)).alias("classes"), F.coalesce("ready", F.lit(False)).alias("ready"))
+    units = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_linestatus")
+    return tables.siblings(table(spark, sf_dir, "orders").select("o_orderkey"), units, F.col("l_linestatus") == "F", "o_orderkey", "l_returnflag")
 
 
 @query("""
@@ -204,10 +204,17 @@ def embed_patients(spark, sf_dir):
     return pool_patients(embedded_slides(spark, sf_dir), who).select("patient_id", "num_slides", F.round(F.col("embedding")[0], 5).alias("first_half"))
 
 
-@query("""SELECT * FROM (VALUES ('slide', 5, 3072), ('patient', 1, 768), ('tile', 28, 4608)) t(level, encoders, widest)""")
+@query("""
+    WITH k(i, name, level, dim, px, patch, any_size) AS (VALUES (0, 'uni', 'tile', 1024, 224, 16, true), (1, 'musk', 'tile', 2048, 384, 16, false), (2, 'titan', 'slide', 768, 448, 16, true), (3, 'moozy', 'patient', 768, 224, 8, true)),
+    r AS (SELECT p_partkey, p_size, p_partkey % 5 AS i, CASE WHEN p_size % 2 = 0 THEN p_size * 8 ELSE 224 END AS size_px FROM part)
+    SELECT p_partkey, level, dim, CASE WHEN name IS NULL THEN ['encoder'] ELSE list_filter([CASE WHEN p_size % 3 = 0 THEN 'spacing' END, CASE WHEN size_px <> px AND NOT (any_size AND size_px % patch = 0) THEN 'size' END], lambda c: c IS NOT NULL) END AS complaints
+    FROM r LEFT JOIN k USING (i)""")
 def encoder_catalogue(spark, sf_dir):
-    rows = [(e.level, e.name, max(e.variants.values())) for e in encoders.catalogue().encoders.values()]
-    return spark.createDataFrame(rows, "level string, name string, dim int").groupBy("level").agg(F.count("*").cast("int").alias("encoders"), F.max("dim").alias("widest"))
+    """Parts as requests to four encoders and one that is not known, each held against the encoder's contract."""
+    names = F.array(*map(F.lit, ("uni", "musk", "titan", "moozy", "nobody")))
+    size = F.when(F.col("p_size") % 2 == 0, F.col("p_size") * 8).otherwise(224)
+    p = table(spark, sf_dir, "part").select("p_partkey", names[F.col("p_partkey") % 5].alias("encoder_name"), size.alias("size_px"), F.when(F.col("p_size") % 3 == 0, 3.5).otherwise(0.5).alias("spacing_um"))
+    return encoders.accepted(p, encoders.catalogue()).select("p_partkey", "level", "dim", "complaints")
 
 
 def _mean_of_four(y: str, x: str) -> str:

@@ -124,6 +124,39 @@ def regions(p: dict) -> dict:
     return p | {"region_tile_multiple": multiple, "requested_region_size_px": region}
 
 
+# How tiles of several classes are kept.
+OUTPUT_MODES = ("per_annotation", "merged")
+
+
+def tiling(cfg: dict) -> dict:
+    """What a tiler and `coverage.select` are asked for, from the settings under `tiling`, checked before any image is read.
+
+    size_px is the region's where there are regions. by_class: whether classes other than the shipped ones are told
+    apart. Classes without a least coverage make no tiles.
+    """
+    p, m = regions(cfg["params"]), masks(cfg.get("masks"))
+    size, spacing, overlap = p.get("requested_region_size_px") or p.get("requested_tile_size_px"), p.get("requested_spacing_um"), p.get("overlap") or 0.0
+    values, least = m["pixel_mapping"], m["min_coverage"]
+    wrong = [
+        (not size or size <= 0 or not spacing or spacing <= 0, "a tile size and a spacing above zero are needed"),
+        (not 0 <= overlap < 1, f"an overlap is a part of a tile, not {overlap}"),
+        (m["output_mode"] not in OUTPUT_MODES, f"no such output mode: {m['output_mode']}"),
+        (any(isinstance(v, bool) or not isinstance(v, int) or not 0 <= v <= 255 for v in values.values()), f"mask values are 0 to 255: {values}"),
+        (len(set(values.values())) < len(values), f"classes share mask values: {values}"),
+        (any(not c or c.strip() != c or c in (".", "..", "merged") or "/" in c or "\\" in c for c in values), f"class names must do as folders: {sorted(values)}"),
+        (bool(set(least) - set(values)), f"no mask values for {sorted(set(least) - set(values))}"),
+        (any(v is not None and not 0 <= v <= 1 for v in least.values()), f"a least coverage is a share: {least}"),
+        (all(v is None for v in least.values()), "no class makes tiles"),
+    ]
+    if bad := [text for failed, text in wrong if failed]:
+        raise ValueError("; ".join(bad))
+    step = max(1, round(size * (1 - overlap)))
+    return {
+        "size_px": size, "step_px": step, "spacing_um": spacing, "tolerance": p["tolerance"], "overlap": overlap, "backend": cfg.get("backend") or "auto",
+        "by_class": values != DEFAULTS["tiling"]["masks"]["pixel_mapping"], "output_mode": m["output_mode"], "pixel_mapping": values, "min_coverage": least,
+    }
+
+
 def run_id(now: datetime) -> str:
     return now.strftime("%Y-%m-%d_%H_%M")
 

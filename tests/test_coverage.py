@@ -37,6 +37,11 @@ def test_coverage_against_loops(spark):
                 assert got[k, x, y, s, name] == 0
     kept = {(r.sample_id, r.x, r.y, r.size, r.annotation) for r in coverage.select(t, m, settings).collect()}
     assert kept == {k for k, c in got.items() if c >= settings["min_coverage"][k[4]] - 1e-12}
+    merged = [(r.sample_id, r.x, r.y, r.size, r.annotation, r.coverage) for r in coverage.select(t, m, settings | {"output_mode": "merged"}).collect()]
+    best = {}
+    for k in kept:
+        best[k[:4]] = max(best.get(k[:4], 0), got[k])
+    assert len(merged) == len(best) and {k[:4]: k[5] for k in merged} == best and {k[4] for k in merged} == {None}
     with pytest.raises(ValueError, match="no mask values"):
         coverage.select(t, m, {"pixel_mapping": {}, "min_coverage": {"x": 0.1}})
     with pytest.raises(ValueError, match="is a share"):
