@@ -2,18 +2,20 @@
 
 A document's histogram of character classes and of common words is compared with references of several
 languages by Jensen-Shannon distance. References are counted over the whole table, from all documents of
-each language that are long enough; a document is judged by the language it is closest to. Short
-texts have histograms too rough to judge and are left to the base rules.
+each language that are long enough; a document is judged by the language it is closest to. Languages are
+those with a list of common words here and all others that enough documents of the table are said to be in,
+whose lists are their most frequent words. Short texts have histograms too rough to judge and are left to the
+base rules.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import add_up, chunked
+from tesserae.llm.common import CHUNK_ROWS, add_up, chunked
 
 # Frequent function words of each language whose reference is counted.
 COMMON_WORDS = {
@@ -23,6 +25,8 @@ COMMON_WORDS = {
     "es": "el la los las de del y en un una que por para con se no es al lo como su más".split(),
 }
 CLASSES = ("space", "line end", "A-Z", "a-z", "digit", "sentence mark", "symbol", "other ASCII", "not ASCII")
+#: A lang without a list gets one of so many words, if so many documents that are long enough, and at least one of so many of those, have it (so there are at most that many lists).
+LEARNED_WORDS, MIN_LANGUAGE_DOCS, LANGUAGE_SHARE = 26, 50, 2000
 MIN_WORDS = 10
 #: Below these, a histogram is not judged.
 MIN_CHARS, MIN_WORDS_JUDGED = 400, 60
@@ -34,9 +38,16 @@ for _k, _chars in enumerate((b" \t", b"\n\r\x0b\x0c", bytes(range(65, 91)), byte
     _CLASS[list(_chars)] = _k
 _CLASS[128:192] = 255  # continuation bytes belong to the character before
 _CLASS[192:] = 8
-_WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-_WORD_AT = {w.encode(): i for i, w in enumerate(_WORDS)}
-LANGUAGES = tuple(COMMON_WORDS)
+#: Cells of the histograms that a task holds at a time.
+_CELLS = 1 << 21
+
+
+def vocabulary(lists: dict[str, list[str]]) -> list[str]:
+    """The words of all lists, each once, in order."""
+    return sorted({w for ws in lists.values() for w in ws})
+
+
+_WORDS = vocabulary(COMMON_WORDS)
 
 
 def base(text: str | None) -> tuple[int, int, int, int, int, bool]:
@@ -68,16 +79,15 @@ def base(text: str | None) -> tuple[int, int, int, int, int, bool]:
     return n, chars, sum(map(raw.count, b"#*$%&|<>")), dup, repeated, n < MIN_WORDS or 100 * repeated > 20 * n
 
 
-def histograms(texts: list[str]) -> np.ndarray:
-    """A row for each text: counts of character classes, then of common words, then of all other words."""
+def histograms(texts: list[str], words: list[str] = _WORDS) -> np.ndarray:
+    """A row for each text: counts of character classes, then of the given words, then of all other words."""
     cut = len(CLASSES)
-    out = np.zeros((len(texts), cut + len(_WORDS) + 1))
-    get = _WORD_AT.get
+    out = np.zeros((len(texts), cut + len(words) + 1))
+    get = {w.encode(): i for i, w in enumerate(words)}.get
     for row, text in zip(out, texts):
         raw = text.encode()
         row[:cut] = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=256)[:cut]
-        words = raw.lower().translate(None, b".,;:!?").split()
-        hits = np.bincount([get(w, len(_WORDS)) for w in words], minlength=len(_WORDS) + 1)
+        hits = np.bincount([get(w, len(words)) for w in raw.lower().translate(None, b".,;:!?").split()], minlength=len(words) + 1)
         row[cut:] = hits
     return out
 
@@ -97,37 +107,68 @@ def _judged(h: np.ndarray) -> np.ndarray:
     return (h[:, : len(CLASSES)].sum(1) >= MIN_CHARS) & (h[:, len(CLASSES) :].sum(1) >= MIN_WORDS_JUDGED)
 
 
-def references(docs: DataFrame) -> np.ndarray:
-    """Histograms of each of LANGUAGES, added up over all documents with that lang that are long enough."""
-    size = len(CLASSES) + len(_WORDS) + 1
+def word_lists(docs: DataFrame) -> dict[str, list[str]]:
+    """COMMON_WORDS, and for each other lang with enough documents its most frequent words, ties to the smaller one.
+
+    Words are counted over all whole texts of the lang, and only the words of the lists reach the driver. Null and
+    blank lang: none. Where all documents are in languages with lists, no word is counted.
+    """
+    lang = F.col("lang").cast("string")
+    long = docs.where(F.length("text") >= MIN_CHARS).groupBy(lang.alias("lang")).agg(F.count("*").alias("n"))
+    total = long.agg(F.sum("n")).first()[0] or 0
+    enough = long.where((F.col("n") >= MIN_LANGUAGE_DOCS) & (F.col("n") * LANGUAGE_SHARE >= total) & (F.trim("lang") != "") & ~F.col("lang").isin(*COMMON_WORDS))
+    new = sorted(r["lang"] for r in enough.collect())
+    if not new:
+        return COMMON_WORDS
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    word = F.explode(F.split(F.translate("text", upper + ".,;:!?", upper.lower()), r"[\x20\x09-\x0D]+")).alias("word")
+    counts = docs.where(lang.isin(*new)).select(lang.alias("lang"), word).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= LEARNED_WORDS)
+    learned: dict[str, list[str]] = {}
+    for r in top.orderBy("lang", "place").collect():
+        learned.setdefault(r["lang"], []).append(r["word"])
+    return COMMON_WORDS | learned
+
+
+def _rows(words: list[str]) -> int:
+    """Texts of which a task holds histograms at a time."""
+    return max(16, min(CHUNK_ROWS, _CELLS // (len(CLASSES) + len(words) + 1)))
+
+
+def references(docs: DataFrame, lists: dict[str, list[str]] = COMMON_WORDS) -> np.ndarray:
+    """Histograms of each language of the lists, added up over all documents with that lang that are long enough."""
+    words, at = vocabulary(lists), {lang: k for k, lang in enumerate(lists)}
+    size = len(CLASSES) + len(words) + 1
 
     def count(batches):
-        total = np.zeros((len(LANGUAGES), size))
-        for t in chunked(batches):
-            langs = np.array([LANGUAGES.index(x) for x in t.column("lang").to_pylist()])
-            h = histograms(t.column("text").to_pylist())
+        total = np.zeros((len(at), size))
+        for t in chunked(batches, most_rows=_rows(words)):
+            langs = np.array([at[x] for x in t.column("lang").to_pylist()])
+            h = histograms(t.column("text").to_pylist(), words)
             np.add.at(total, langs[_judged(h)], h[_judged(h)])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    rows = docs.where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).select("text", "lang")
-    return add_up(rows.mapInArrow(count, "v binary"), len(LANGUAGES) * size).reshape(len(LANGUAGES), size)
+    rows = docs.where(F.col("lang").cast("string").isin(*at) & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
+    return add_up(rows.mapInArrow(count, "v binary"), len(at) * size).reshape(len(at), size)
 
 
-def judge(docs: DataFrame, refs: np.ndarray | None = None) -> DataFrame:
+def judge(docs: DataFrame, refs: np.ndarray | None = None, lists: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, char_distance, word_distance and kept for every row of docs.
 
+    lists: common words by language, else `word_lists` of docs. refs: their histograms, else `references` of docs.
     Distances are null for texts below the guards and where no language has a reference; such texts are kept
     if the base rules pass them. Null text: no words, so the base rules reject it. Repeated rows are judged
-    alike; extra columns are ignored.
+    alike; extra columns are ignored. Languages at the same distance: the first of the lists.
     """
-    refs = references(docs) if refs is None else refs
+    lists = (word_lists(docs) if refs is None else COMMON_WORDS) if lists is None else lists
+    refs = references(docs, lists) if refs is None else refs
     known = refs[refs.sum(1) > 0]
-    cut = len(CLASSES)
+    words, cut = vocabulary(lists), len(CLASSES)
 
     def run(batches):
-        for t in chunked(batches):
+        for t in chunked(batches, most_rows=_rows(words)):
             texts = [x or "" for x in t.column("text").to_pylist()]
-            h = histograms(texts)
+            h = histograms(texts, words)
             dc = np.array([distances(h[:, :cut], r[:cut]) for r in known]).reshape(len(known), -1)
             dw = np.array([distances(h[:, cut:], r[cut:]) for r in known]).reshape(len(known), -1)
             nearest = (dc + dw).argmin(0) if len(known) else np.zeros(len(texts), int)

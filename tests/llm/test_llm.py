@@ -70,6 +70,29 @@ def test_divergence_rejects_other_distributions(spark):
     assert not got[40] and sum(got.values()) >= 36
 
 
+def test_divergence_learns_languages_of_the_table(spark):
+    """A language without a list gets one from its documents; rare and blank ones don't, and texts of other distributions still go."""
+    italian = "il lo la di che e un per con non sono del alla si come ma anche dal nel questo".split()
+    others = ["fiume", "montagna", "quieto", "giallo", "pietra", "casa", "strada", "lettera", "vento"]
+    share = [0.6 / len(italian)] * len(italian) + [0.4 / len(others)] * len(others)
+    text = lambda: " ".join(RNG.choice([*italian, *others], 150, p=share)) + ". " + " ".join(RNG.choice([*italian, *others], 50, p=share)).capitalize()
+    rows = [(text(), "it") for _ in range(60)] + [(prose(150, divergence.COMMON_WORDS["en"] + ["river", "stone"]), "en") for _ in range(30)]
+    rows += [(" ".join(f"q{i}#|%$ 77x{i}" for i in range(200)), "it"), (text(), "rare"), (text(), " "), (text(), None), ("corto", "it"), (None, "it")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    lists = divergence.word_lists(df)
+    assert set(lists) == {*divergence.COMMON_WORDS, "it"}
+    counts = Counter(w.strip(".").lower() for t, lang in rows if lang == "it" and t for w in t.split() if "#" not in w)
+    counts.update(f"77x{i}" for i in range(200))
+    counts.update(f"q{i}#|%$" for i in range(200))
+    assert lists["it"] == sorted(counts, key=lambda w: (-counts[w], w))[: divergence.LEARNED_WORDS]
+    got = {r["doc_id"]: r for r in divergence.judge(df).collect()}
+    assert all(got[i]["kept"] for i in range(90)) and not got[90]["kept"]
+    assert all(got[i]["kept"] and got[i]["word_distance"] is not None for i in (91, 92, 93)) and got[94]["word_distance"] is None
+    fixed = {r["doc_id"]: r["kept"] for r in divergence.judge(df, lists=divergence.COMMON_WORDS).collect()}
+    assert not any(fixed[i] for i in range(60))
+    assert divergence.word_lists(df.where("lang = 'en'")) == divergence.COMMON_WORDS
+
+
 # 2
 
 
