@@ -1,7 +1,7 @@
 """All registered queries and their SQL."""
 
-from tesserae.plans import catalogue, grids, imaging, storing, telemetry
+from tesserae.plans import catalogue, files, grids, imaging, storing, telemetry
 
 QUERIES = catalogue.QUERIES
 ORACLE_SQL = catalogue.ORACLE_SQL
-MODULES = (catalogue, grids, imaging, storing, telemetry)
+MODULES = (catalogue, files, grids, imaging, storing, telemetry)
