@@ -2,7 +2,8 @@
 
 spark-submit tesserae/plans/cli.py --config run.yaml --tiles tiles.parquet --encoders my_encoders [key=value ...]
 
-`my_encoders` is a module with `register(registry)`, which plugs implementations in.
+`my_encoders` is a module with `register(registry)`, which plugs implementations in. With --masks the classes of tiles
+are those of `tiling.masks` that cover them enough; with --status a run starts at the status table of a tiler.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import importlib
 from pyspark.sql import SparkSession
 
 from tesserae.functions import encoders
+from tesserae.operators import coverage
 from tesserae.plans import settings
 from tesserae.plans.pipeline import Model, Pipeline, Result
 from tesserae.sources import manifests
@@ -22,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tesserae", description="Vectors of tiles, slides or patients.")
     p.add_argument("--config", help="YAML file of settings")
     p.add_argument("--tiles", required=True, help="Parquet table with sample_id, annotation, tile_index and pixels")
+    p.add_argument("--masks", help="Parquet table with sample_id, mask, mask_width and mask_downsample; tiles then have x, y and size, too")
+    p.add_argument("--status", help="CSV of the status table after tiling")
     p.add_argument("--encoders", help="module with register(registry)")
     p.add_argument("--tiling-only", action="store_true")
     p.add_argument("--run-on-cpu", action="store_true")
@@ -40,7 +44,13 @@ def run(spark: SparkSession, argv: list[str]) -> Result:
     model = Model.from_preset(cfg["model"]["name"], cfg["model"]["output_variant"], registry)
     pipeline = Pipeline(model, cfg["output_dir"], cfg["resume"], cfg["model"]["save_tile_embeddings"], cfg["model"]["save_slide_embeddings"])
     patients = manifests.patients(spark, cfg["csv"]) if model.level == "patient" else None
-    return pipeline.run(manifests.slides(spark, cfg["csv"]), spark.read.parquet(args.tiles), patients, args.tiling_only)
+    slides, tiles = manifests.slides(spark, cfg["csv"]), spark.read.parquet(args.tiles)
+    if args.masks:
+        # Classes come from the masks, so labels that tiles have already are dropped.
+        tiles = coverage.select(tiles.drop("annotation", "coverage"), spark.read.parquet(args.masks), settings.tiling(cfg["tiling"]))
+    if args.status and not args.tiling_only:
+        return pipeline.run_tiled(slides, manifests.status(spark, args.status), tiles, patients=patients)
+    return pipeline.run(slides, tiles, patients, args.tiling_only)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -13,6 +13,8 @@ from tesserae.functions import attention
 from tesserae.functions import expressions as X
 from tesserae.operators import aggregate, tables
 from tesserae.plans.catalogue import query, table
+from tesserae.plans.imaging import stand_ins
+from tesserae.plans.pipeline import Model, Pipeline
 from tesserae.sources import arrays, artifacts, commits, manifests
 
 
@@ -183,3 +185,19 @@ def unit_names(spark, sf_dir):
         X.backend(kind(4, "auto", "cucim", "auto", "auto"), kind(4, "auto", "openslide", "openslide", "")).alias("backend"), X.subject("a", name).alias("subject"), X.scaled_float32("p_partkey", F.lit(0.252), F.lit(0.5)).alias("x"),
         X.round_to("p_size", 14).alias("stride"), X.glob_escaped(F.concat(F.lit("*"), name, F.lit("?"))).alias("pattern"),
     )
+
+
+@query("""
+    WITH t AS (SELECT CAST(vec_id % 20 AS VARCHAR) AS sample_id, CASE WHEN label % 3 = 0 THEN 'a' END AS annotation, list_avg(list_transform(embedding[1:32], lambda v: CAST(v AS DOUBLE))) AS h FROM embeddings),
+    u AS (SELECT sample_id, annotation, count(*) AS n, round(avg(CAST(h AS FLOAT)), 5) AS first_half FROM t GROUP BY ALL)
+    SELECT sample_id, annotation, n AS num_tiles, CASE WHEN CAST(sample_id AS INTEGER) % 5 > 0 THEN first_half END AS first_half, CASE WHEN CAST(sample_id AS INTEGER) % 5 > 0 THEN 'success' ELSE 'tbp' END AS feature_status FROM u""")
+def run_after_tiling(spark, sf_dir):
+    """Vectors as tiles of twenty slides with two classes, run from a status table in which the classes of every fifth slide have no coordinates."""
+    name, label = (F.col("vec_id") % 20).cast("string"), F.when(F.col("label") % 3 == 0, "a").otherwise("tissue")
+    bag = table(spark, sf_dir, "embeddings").select(name.alias("sample_id"), label.alias("annotation"), F.col("vec_id").alias("tile_index"), F.col("embedding").alias("pixels"))
+    fine = F.col("sample_id").cast("int") % 5 > 0
+    status = bag.groupBy("sample_id", "annotation").agg(F.count("*").alias("num_tiles")).withColumn("tiling_status", F.lit("success")).withColumn("coordinates_npz_path", F.when(fine, "/c/x.npz"))
+    slides = bag.select("sample_id").distinct()
+    made = Pipeline(Model.from_preset("halves-slide", registry=stand_ins()), commits.scratch(spark)).run_tiled(slides, status, bag)
+    both = made.status.join(made.slides, tables.same_unit(made.status, made.slides, ["sample_id", "annotation"]), "left")
+    return both.select(made.status["sample_id"], made.status["annotation"], "num_tiles", F.round(F.col("embedding")[0], 5).alias("first_half"), "feature_status")

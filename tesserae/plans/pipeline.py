@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import contracts, encoders
 from tesserae.functions.expressions import artifact_label, has_tiles
 from tesserae.functions.registry import Encoder, Registry, token_udf, vector_udf
-from tesserae.operators import aggregate, dense, tables
+from tesserae.operators import aggregate, dense, tables, tiling
 from tesserae.sources import artifacts, regions
 
 UNIT = ("sample_id", "annotation")
@@ -293,3 +293,25 @@ class Pipeline:
         known = coordinates.select("sample_id").distinct()
         wanted = known if slides is None else slides.join(known, "sample_id", "left_semi")
         return self.run(wanted, coordinates.join(wanted.select("sample_id"), "sample_id", "left_semi"), **more)
+
+    def run_tiled(self, slides: DataFrame, status: DataFrame, tiles: DataFrame, previous: DataFrame | None = None, patients: DataFrame | None = None, pixels: str = "pixels", **more) -> Result:
+        """Starts at the status table that a tiler wrote: a unit for each class of a slide that has tiles and coordinates.
+
+        Slides that the table doesn't know or that were not tiled are an error before anything is encoded; slides and
+        classes without tiles are left out, and so are tiles of no unit. previous: the table of an earlier run, for
+        columns to be restored. The result's status is the given table with what became of each unit.
+        more: see tiling.prepared.
+        """
+        status, units = tiling.prepared(slides, status, previous=previous, **more)
+        labelled = status.withColumn("annotation", artifact_label("annotation"))
+        units = units.select("sample_id", artifact_label("annotation").alias("annotation"))
+        tables.require_unique(units, list(UNIT), "units")
+        tiles = tiles.withColumn("annotation", artifact_label("annotation"))
+        mine = tiles.join(units, tables.same_unit(tiles, units, UNIT), "left_semi")
+        made = self.run(slides.join(units.select("sample_id").distinct(), "sample_id", "left_semi"), mine, patients, pixels=pixels)
+        base = labelled if "feature_status" in labelled.columns else labelled.withColumn("feature_status", F.lit("tbp"))
+        ran = made.status.select(*UNIT, "feature_status")
+        # A unit whose tiles aren't there was not encoded, whatever the table said.
+        lost = units.join(ran, tables.same_unit(units, ran, UNIT), "left_anti").withColumn("feature_status", F.lit("error"))
+        made.status = tables.upsert(base, ran.unionByName(lost), ["feature_status"], UNIT)
+        return made
