@@ -114,10 +114,12 @@ def word_lists(docs: DataFrame) -> dict[str, list[str]]:
     blank lang: none. Where all documents are in languages with lists, no word is counted.
     """
     lang = F.col("lang").cast("string")
-    long = docs.where(F.length("text") >= MIN_CHARS).groupBy(lang.alias("lang")).agg(F.count("*").alias("n"))
-    total = long.agg(F.sum("n")).first()[0] or 0
-    enough = long.where((F.col("n") >= MIN_LANGUAGE_DOCS) & (F.col("n") * LANGUAGE_SHARE >= total) & (F.trim("lang") != "") & ~F.col("lang").isin(*COMMON_WORDS))
-    new = sorted(r["lang"] for r in enough.collect())
+    long = docs.where(F.length("text") >= MIN_CHARS).select(lang.alias("lang")).rollup("lang").agg(F.count("*").alias("n"), F.grouping("lang").alias("total"))
+    enough = long.where((F.col("total") == 1) | ((F.col("n") >= MIN_LANGUAGE_DOCS) & (F.trim("lang") != "") & ~F.col("lang").isin(*COMMON_WORDS)))
+    # No more than LANGUAGE_SHARE can have that share, so with the total the largest are all.
+    largest = enough.orderBy(F.desc("n"), F.desc("total")).limit(LANGUAGE_SHARE + 1).collect()
+    total = max((r["n"] for r in largest if r["total"]), default=0)
+    new = sorted(r["lang"] for r in largest if not r["total"] and r["n"] * LANGUAGE_SHARE >= total)
     if not new:
         return COMMON_WORDS
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
