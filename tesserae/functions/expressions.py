@@ -18,6 +18,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """A double rounded as in SQL engines, half away from zero: what is below zero and rounds to it stays -0.0, which Spark's round drops."""
+    return F.signum(col(x)) * F.abs(F.round(col(x), digits))
+
+
 # Labels of annotation classes
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.expressions import rounded
+
 
 def pool_mean(bags: DataFrame, keys: Sequence[str], vector: str, out: str = "pooled", digits: int | None = None) -> DataFrame:
     """Element-wise mean of vectors by keys, as one array in element order.
@@ -16,7 +18,7 @@ def pool_mean(bags: DataFrame, keys: Sequence[str], vector: str, out: str = "poo
     """
     long = bags.select(*keys, F.posexplode(vector).alias("pos", "x"))
     mean = F.avg(F.col("x").cast("double"))
-    cells = long.groupBy(*keys, "pos").agg((F.round(mean, digits) if digits is not None else mean).alias("m"))
+    cells = long.groupBy(*keys, "pos").agg((rounded(mean, digits) if digits is not None else mean).alias("m"))
     return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias(out))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tesserae.functions import pixels as P
 from tesserae.functions.contracts import Layout
+from tesserae.functions.expressions import rounded
 
 #: Bytes of cells that a task holds before it sends them.
 FOLDED_BYTES = 128 << 20
@@ -98,7 +99,7 @@ def blend(windows: DataFrame, keys: Sequence[str], layout: Layout, tokens: str =
     add = lambda a, b: F.struct((a["weight"] + b["weight"]).alias("weight"), F.zip_with(a["vector"], b["vector"], lambda x, y: x + y).alias("vector"))
     total = F.when(F.size("_p") == 1, F.col("_p")[0]).otherwise(F.aggregate(F.slice("_p", 2, F.size("_p")), F.col("_p")[0], add))
     mean = lambda x: x / F.col("_t.weight")
-    return parts.select(*keys, "h", "w", total.alias("_t")).select(*keys, "h", "w", F.transform("_t.vector", (lambda x: F.round(mean(x), digits)) if digits is not None else mean).alias("vector"))
+    return parts.select(*keys, "h", "w", total.alias("_t")).select(*keys, "h", "w", F.transform("_t.vector", (lambda x: rounded(mean(x), digits)) if digits is not None else mean).alias("vector"))
 
 
 def planes(cells: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.expressions import hann, subtiles
+from tesserae.functions.expressions import hann, rounded, subtiles
 
 
 def fold(rows: DataFrame, keys: Sequence[str], tokens: str, prefix: int, width: int) -> DataFrame:
@@ -31,7 +31,7 @@ def overlap_add(windows: DataFrame, keys: Sequence[str], start: str, values: str
     weighted = windows.select(*keys, F.col(start).alias("_s"), F.posexplode(F.arrays_zip(F.col(values).alias("v"), hann(F.size(values)).alias("w"))).alias("_i", "_x"))
     cells = weighted.select(*keys, (F.col("_s") + F.col("_i")).cast("long").alias("cell"), F.col("_x.v").cast("double").alias("v"), F.col("_x.w").alias("w"))
     mean = F.sum(F.col("w") * F.col("v")) / F.sum("w")
-    return cells.groupBy(*keys, "cell").agg((F.round(mean, digits) if digits is not None else mean).alias("value"))
+    return cells.groupBy(*keys, "cell").agg((rounded(mean, digits) if digits is not None else mean).alias("value"))
 
 
 def explode_regions(regions: DataFrame, multiple: int, size: str, x: str = "x", y: str = "y", index: str = "region_index") -> DataFrame:

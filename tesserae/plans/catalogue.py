@@ -321,7 +321,7 @@ def cls_patch_mean(spark, sf_dir):
     # One label may hold much of the table: its class token by min_by, its patches by partial sums.
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("token"), F.min("vec_id").alias("vec_id"))
     patches = aggregate.pool_mean(e.join(first.select("label", "vec_id"), ["label", "vec_id"], "left_anti"), ["label"], "embedding", "mean")
-    return first.join(patches, "label").select("label", F.transform(F.concat(F.col("token").cast("array<double>"), "mean"), lambda x: F.round(x, 6)).alias("vector"))
+    return first.join(patches, "label").select("label", F.transform(F.concat(F.col("token").cast("array<double>"), "mean"), lambda x: X.rounded(x, 6)).alias("vector"))
 
 
 @query("""
@@ -336,7 +336,7 @@ def attention_softmax(spark, sf_dir):
 def cosine_parity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("b"))
-    return e.join(b, "vec_id").select("vec_id", "other", F.round(X.cosine("embedding", "b"), 6).alias("cosine"))
+    return e.join(b, "vec_id").select("vec_id", "other", X.rounded(X.cosine("embedding", "b"), 6).alias("cosine"))
 
 
 @query("""

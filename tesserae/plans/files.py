@@ -88,7 +88,7 @@ def array_files(spark, sf_dir):
     places = arrays.coordinates(spark, root, "*.coordinates.npz")
     notes = arrays.sidecars(spark, root, "label int, rows long").drop("path")
     total = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double"))
-    return vectors.join(places, ["sample_id", "tile_index"]).join(notes, F.col("sample_id") == F.col("label").cast("string")).select("label", "x", "y", "tile_index", F.round(total, 4).alias("total"), "rows")
+    return vectors.join(places, ["sample_id", "tile_index"]).join(notes, F.col("sample_id") == F.col("label").cast("string")).select("label", "x", "y", "tile_index", X.rounded(total, 4).alias("total"), "rows")
 
 
 @query("""
@@ -128,7 +128,7 @@ def artifact_tables(spark, sf_dir):
     artifacts.write_vectors(first, root, "slide_embeddings")
     meta, vectors = artifacts.read_metadata(spark, root, "tile_embeddings"), artifacts.read(spark, root, "slide_embeddings")
     both = meta.join(vectors, tables.same_unit(meta, vectors, ["sample_id", "annotation"]), "left")
-    return both.select(meta["sample_id"], meta["annotation"], "num_tiles", "feature_dim", F.round(F.col("embedding")[0], 4).alias("firsts"))
+    return both.select(meta["sample_id"], meta["annotation"], "num_tiles", "feature_dim", X.rounded(F.col("embedding")[0], 4).alias("firsts"))
 
 
 @query("""
@@ -153,7 +153,7 @@ def trial_files(spark, sf_dir):
 def attention_maps(spark, sf_dir):
     """Vectors as queries, and reversed as keys, of two heads and eight tokens: maps of the class token and a register over 2 x 3 patches."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 4).alias("q"), F.reverse("embedding").cast("array<double>").alias("k"))
-    return e.select("vec_id", F.transform(attention.maps_udf(2, 4, 2, (2, 3), True)("q", "k"), lambda x: F.round(x, 6)).alias("maps"))
+    return e.select("vec_id", F.transform(attention.maps_udf(2, 4, 2, (2, 3), True)("q", "k"), lambda x: X.rounded(x, 6)).alias("maps"))
 
 
 @query("""
@@ -200,4 +200,4 @@ def run_after_tiling(spark, sf_dir):
     slides = bag.select("sample_id").distinct()
     made = Pipeline(Model.from_preset("halves-slide", registry=stand_ins()), commits.scratch(spark)).run_tiled(slides, status, bag)
     both = made.status.join(made.slides, tables.same_unit(made.status, made.slides, ["sample_id", "annotation"]), "left")
-    return both.select(made.status["sample_id"], made.status["annotation"], "num_tiles", F.round(F.col("embedding")[0], 5).alias("first_half"), "feature_status")
+    return both.select(made.status["sample_id"], made.status["annotation"], "num_tiles", X.rounded(F.col("embedding")[0], 5).alias("first_half"), "feature_status")

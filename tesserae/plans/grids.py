@@ -57,7 +57,7 @@ def patch_ranges() -> Registry:
 def dense_grids(spark, sf_dir):
     model = Model.from_preset("patches", registry=patch_ranges())
     cells = model.embed_grids(images(spark, sf_dir), 8, ["vec_id"], window=6, overlap=0.5, pad_mode="replicate")
-    return cells.select("vec_id", "h", "w", F.round(F.col("vector")[0], 5).alias("smallest"), F.round(F.col("vector")[1], 5).alias("largest"))
+    return cells.select("vec_id", "h", "w", X.rounded(F.col("vector")[0], 5).alias("smallest"), X.rounded(F.col("vector")[1], 5).alias("largest"))
 
 
 @query("""

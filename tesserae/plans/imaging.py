@@ -61,12 +61,12 @@ def region_unfold(spark, sf_dir):
     SELECT vec_id, {raster_sql(4, 4, 'round((' + ' + '.join(f'CAST({source(f"({{y}} * 2 + {a})", f"({{x}} * 2 + {b})")} AS DOUBLE)' for a in (0, 1) for b in (0, 1)) + ') / 4, 6)')} AS pixels FROM embeddings""")
 def area_resize(spark, sf_dir):
     out = images(spark, sf_dir).select("vec_id", pixels.resize_udf((4, 4))("pixels", "h", "w").alias("p"))
-    return out.select("vec_id", F.transform("p", lambda v: F.round(v, 6)).alias("pixels"))
+    return out.select("vec_id", F.transform("p", lambda v: X.rounded(v, 6)).alias("pixels"))
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda v, i: round((CAST(v AS DOUBLE) - CASE WHEN i % 2 = 1 THEN 0.5 ELSE 0.25 END) / CASE WHEN i % 2 = 1 THEN 0.2 ELSE 0.1 END, 6)) AS pixels FROM embeddings")
 def normalise_channels(spark, sf_dir):
-    return images(spark, sf_dir).select("vec_id", F.transform(pixels.normalised("pixels", [0.5, 0.25], [0.2, 0.1]), lambda v: F.round(v, 6)).alias("pixels"))
+    return images(spark, sf_dir).select("vec_id", F.transform(pixels.normalised("pixels", [0.5, 0.25], [0.2, 0.1]), lambda v: X.rounded(v, 6)).alias("pixels"))
 
 
 # Grids and regions
@@ -195,13 +195,13 @@ SLIDES_SQL = "s AS (SELECT CAST(vec_id % 20 AS VARCHAR) AS sample_id, avg(CAST(l
 
 @query(f"WITH {SLIDES_SQL} SELECT sample_id, round(a, 5) AS first_half, round(b, 5) AS second_half FROM s")
 def embed_slides(spark, sf_dir):
-    return embedded_slides(spark, sf_dir).select("sample_id", F.round(F.col("embedding")[0], 5).alias("first_half"), F.round(F.col("embedding")[1], 5).alias("second_half"))
+    return embedded_slides(spark, sf_dir).select("sample_id", X.rounded(F.col("embedding")[0], 5).alias("first_half"), X.rounded(F.col("embedding")[1], 5).alias("second_half"))
 
 
 @query(f"WITH {SLIDES_SQL} SELECT CASE WHEN CAST(sample_id AS INTEGER) < 12 THEN 'p' || CAST(sample_id AS INTEGER) % 3 ELSE sample_id END AS patient_id, count(*) AS num_slides, round(avg(a), 5) AS first_half FROM s GROUP BY 1")
 def embed_patients(spark, sf_dir):
     who = spark.range(12).select(F.col("id").cast("string").alias("sample_id"), F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("patient_id"))
-    return pool_patients(embedded_slides(spark, sf_dir), who).select("patient_id", "num_slides", F.round(F.col("embedding")[0], 5).alias("first_half"))
+    return pool_patients(embedded_slides(spark, sf_dir), who).select("patient_id", "num_slides", X.rounded(F.col("embedding")[0], 5).alias("first_half"))
 
 
 @query("""
@@ -226,4 +226,4 @@ def _mean_of_four(y: str, x: str) -> str:
 def fused_transforms(spark, sf_dir):
     steps = [transforms.Normalize((0.1,), (0.25,)), [transforms.Resize((4, 4), "area"), transforms.CenterCrop(2)], transforms.Scale(0.5)]
     made = images(spark, sf_dir).select("vec_id", transforms.transform_udf(steps)("pixels", "h", "w").alias("t"))
-    return made.select("vec_id", F.transform("t.pixels", lambda v: F.round(v, 6)).alias("p"), F.col("t.height").alias("h"), F.col("t.width").alias("w"))
+    return made.select("vec_id", F.transform("t.pixels", lambda v: X.rounded(v, 6)).alias("p"), F.col("t.height").alias("h"), F.col("t.width").alias("w"))

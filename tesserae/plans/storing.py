@@ -11,6 +11,7 @@ from pyarrow import fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import expressions as X
 from tesserae.operators import coverage, spatial
 from tesserae.plans.catalogue import query, table
 from tesserae.plans.grids import patch_ranges
@@ -154,7 +155,7 @@ def hierarchical_scatter(spark, sf_dir):
     flat = e.withColumn("flat_index", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).join(n, "label").where("flat_index < num_regions * 4")
     shards = [flat.where(F.col("vec_id") % 3 == k).select("label", "flat_index", "embedding") for k in (2, 0, 1)]
     made = spatial.scatter(shards[0].unionByName(shards[1]).unionByName(shards[2]), n, 4, ["label"])
-    return made.select("label", "region_index", F.transform("embedding", lambda v: F.round(v[0].cast("double"), 6)).alias("firsts"))
+    return made.select("label", "region_index", F.transform("embedding", lambda v: X.rounded(v[0].cast("double"), 6)).alias("firsts"))
 
 
 @query("""
@@ -171,4 +172,4 @@ def tensor_rows(spark, sf_dir):
 
     table(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(write, "label int").count()
     total = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double"))
-    return tensors.rows(spark, folder, "features").select(F.col("sample_id").cast("int").alias("label"), "tile_index", F.size("embedding").cast("long").alias("dim"), F.round(total, 4).alias("total"))
+    return tensors.rows(spark, folder, "features").select(F.col("sample_id").cast("int").alias("label"), "tile_index", F.size("embedding").cast("long").alias("dim"), X.rounded(total, 4).alias("total"))

@@ -4,12 +4,15 @@ import io
 import json
 import tarfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import encoders, pixels, records
+from tesserae.functions import expressions as X
 from tesserae.functions.registry import Encoder
+from tesserae.plans import imaging, registered
 from tesserae.plans.pipeline import Model, Pipeline, slide_vectors_of
 from tesserae.sources import arrays, tars
 
@@ -56,6 +59,18 @@ def test_resize_and_unfold(spark, image):
     assert value(df, pixels.unfolded("p", "n", 3)) is None
 
 
+def test_rounds_to_zero_with_its_sign(spark, tmp_path):
+    """As the SQL does, whose -0.0 is another text than 0.0."""
+    spark.createDataFrame([(0, [-4e-7] * 32 + [4e-7] * 32)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    ours, theirs = imaging.area_resize(spark, str(tmp_path)).first().pixels, con.execute(registered.ORACLE_SQL["area_resize"]).fetchone()[1]
+    assert repr(ours) == repr(theirs) == repr([-0.0] * 8 + [0.0] * 8)
+    values = [-4e-7, 4e-7, -0.0, -5e-7, 2.5e-6, -1.0, float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    assert repr([r[0] for r in df.select(X.rounded("v", 6)).collect()]) == repr([con.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values])
+
+
 @pytest.mark.parametrize(("n", "m"), [(5, 2), (7, 3), (4, 4), (9, 4)])
 def test_weights_keep_flat_images(n, m):
     for made in pixels.WEIGHTS.values():
