@@ -38,6 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def each_label(rows, write) -> None:
+    """Writes a file for each label. By number of partitions, since Spark would put small rows, and so all files, into one task."""
+    ways = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(ways, "label").groupBy("label").applyInPandas(write, "label int").count()
+
+
 def tiles(spark, sf_dir) -> DataFrame:
     """sample, tile_index, x, y, label, status of every tile."""
     w = Window.partitionBy("l_orderkey").orderBy(*TILE_ORDER)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import attention
 from tesserae.functions import expressions as X
 from tesserae.operators import aggregate, tables
-from tesserae.plans.catalogue import query, table
+from tesserae.plans.catalogue import each_label, query, table
 from tesserae.plans.imaging import stand_ins
 from tesserae.plans.pipeline import Model, Pipeline
 from tesserae.sources import arrays, artifacts, commits, manifests
@@ -83,7 +83,7 @@ def array_files(spark, sf_dir):
         put(root, f"{key[0]}.meta.json", b'{\n  "label": %d,\n  "rows": %d\n}' % (key[0], len(group)))
         return pd.DataFrame({"label": [key[0]]})
 
-    table(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(write, "label int").count()
+    each_label(table(spark, sf_dir, "embeddings"), write)
     vectors = arrays.npz_rows(spark, root, pattern="*.features.npz").withColumn("sample_id", F.regexp_replace("sample_id", r"\.features$", ""))
     places = arrays.coordinates(spark, root, "*.coordinates.npz")
     notes = arrays.sidecars(spark, root, "label int, rows long").drop("path")
@@ -103,7 +103,7 @@ def raster_files(spark, sf_dir):
         put(root, f"{key[0]}.pgm", b"P5\n# %d\n64 %d\n255\n" % (key[0], len(pixels)) + pixels.tobytes())
         return pd.DataFrame({"label": [key[0]]})
 
-    table(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(write, "label int").count()
+    each_label(table(spark, sf_dir, "embeddings"), write)
     sized = arrays.with_file_size(arrays.images(spark, root, "*.pgm"), spark, root)
     total = F.aggregate("pixels", F.lit(0).cast("long"), lambda s, v: s + v.cast("long"))
     return sized.select(F.col("sample_id").cast("int").alias("label"), "height", "width", total.alias("total"), "size_bytes")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import expressions as X
 from tesserae.operators import coverage, spatial
-from tesserae.plans.catalogue import query, table
+from tesserae.plans.catalogue import each_label, query, table
 from tesserae.plans.grids import patch_ranges
 from tesserae.plans.pipeline import Model, Pipeline
 from tesserae.sources import commits, regions, tars, tensors, tiff
@@ -54,7 +54,7 @@ def pyramids(spark, sf_dir) -> str:
         tiff.write_pyramid(f"{folder}/{key[0]}.tif", [image, image[::2, ::2]], tile=16, predictor=2, big=bool(key[0] % 2))
         return pd.DataFrame({"label": [key[0]]})
 
-    rows.groupBy("label").applyInPandas(write, "label int").count()
+    each_label(rows, write)
     return folder
 
 
@@ -124,7 +124,7 @@ def tar_tiles(spark, sf_dir):
                 tar.addfile(member, io.BytesIO(bytes(row.p.astype(np.uint8))))
         return pd.DataFrame({"label": [key[0]]})
 
-    rows.groupBy("label").applyInPandas(write, "label int").count()
+    each_label(rows, write)
     wanted = rows.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").cast("string").alias("sample_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("tile_index")).where("tile_index % 3 = 1")
     return tars.tiles(spark, folder, wanted).select(F.col("sample_id").cast("int").alias("label"), "tile_index", "name", byte_sum("content").alias("total"))
 
@@ -170,6 +170,6 @@ def tensor_rows(spark, sf_dir):
             out.write(tensors.dump({"features": np.stack(group["embedding"].to_numpy()).astype(np.float32), "tile_index": group["vec_id"].to_numpy().astype(np.int64)}))
         return pd.DataFrame({"label": [key[0]]})
 
-    table(spark, sf_dir, "embeddings").groupBy("label").applyInPandas(write, "label int").count()
+    each_label(table(spark, sf_dir, "embeddings"), write)
     total = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double"))
     return tensors.rows(spark, folder, "features").select(F.col("sample_id").cast("int").alias("label"), "tile_index", F.size("embedding").cast("long").alias("dim"), X.rounded(total, 4).alias("total"))

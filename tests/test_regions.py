@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.sources import regions
 
@@ -52,6 +53,18 @@ def test_one_read_spans_a_full_supertile():
     assert calls == [(0, 0, 8)]
 
 
+def test_small_requests_go_to_many_tasks(spark):
+    """Spark puts small rows into one task, however long their reads take; and a task sends its squares in parts."""
+    rows = [("s" if i % 2 else None, i, 4 * i, 4 * (i % 5), 0, 4, {"i": i}) for i in range(100)]
+    df = spark.createDataFrame(rows, "image_path string, tile_index int, x long, y long, level int, read_px int, more map<string,int>").coalesce(1)
+    assert regions.read_regions(df, counted()).select(F.spark_partition_id()).distinct().count() > 1
+    got = regions.read_regions(df, counted(), budget=200).collect()
+    assert {(r.tile_index, r.more["i"], r.x) for r in got} == {(i, i, 4 * i) for i in range(1, 100, 2)}  # a place without an image is left out
+    whole = np.full((60, 500, 3), 255)
+    whole[:20, :30] = Counted("").pixels
+    assert all(r.pixels == whole[r.y : r.y + 4, r.x : r.x + 4].ravel().tolist() for r in got)
+
+
 def test_raster_and_openers(tmp_path):
     (tmp_path / "a.pgm").write_bytes(b"P5 2 1 255\n" + bytes([7, 8]))
     assert regions.opener("pil")(f"{tmp_path}/a.pgm").read(1, 0, 0, 2).ravel().tolist() == [8, 255, 255, 255]
