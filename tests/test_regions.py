@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.plans.catalogue import each_label
 from tesserae.sources import regions
 
 
@@ -70,3 +71,22 @@ def test_raster_and_openers(tmp_path):
     assert regions.opener("pil")(f"{tmp_path}/a.pgm").read(1, 0, 0, 2).ravel().tolist() == [8, 255, 255, 255]
     with pytest.raises(ValueError, match="no opener"):
         regions.opener("other")
+
+
+def test_labels_are_dealt_to_many_tasks(spark, tmp_path):
+    """Files of small labels were all written by one task."""
+    import pandas as pd
+
+    folder = str(tmp_path)
+
+    def write(key, group):
+        from pyspark import TaskContext
+
+        with open(f"{folder}/{key[0]}.{TaskContext.get().partitionId()}", "w") as f:
+            f.write(",".join(map(str, sorted(group["id"]))))
+        return pd.DataFrame({"label": [key[0]]})
+
+    each_label(spark.range(30).select((F.col("id") % 10).cast("int").alias("label"), "id"), write)
+    made = {p.name.split(".")[0]: p.read_text() for p in tmp_path.iterdir()}
+    assert made == {str(k): f"{k},{k + 10},{k + 20}" for k in range(10)}
+    assert len({p.suffix for p in tmp_path.iterdir()}) > 1
