@@ -122,3 +122,46 @@ def test_snapshots_in_order_of_time(spark, tmp_path):
     assert first == [("a", 1010, 0, 0, 3, 5), ("b", 1000, 0, 1, 2, 0)]
     put("2", ("a", 1040, 5, 0, 1, 0), ("c", 2000, 6, 1, 0, 0))
     assert run() == [("a", 1010, 0, 0, 3, 5), ("a", 1040, 0, 1, 2, 5), ("a", 1050, 1, 1, 1, 5), ("a", 1120, 2, 1, 0, 5), ("b", 1000, 0, 1, 2, 0)]
+
+
+def test_monitor_counts_the_keys_of_a_bucket_apart():
+    """A call takes the events of all keys of a bucket, and the state a part for each call, not for each event."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        exists = lambda self: bool(self.held)
+        get = lambda self: self.held[0] if self.single else iter(self.held)
+        clear = lambda self: self.held.clear()
+        appendValue = lambda self, v: self.held.append(v)  # noqa: E731, N815
+        put = lambda self, vs: self.held.__setitem__(slice(None), vs)
+        update = lambda self, v: self.held.__setitem__(slice(None), [v])
+
+    waiting, last, timers = State(), State(), []
+    waiting.single, last.single = False, True
+    m = monitor.Monitor(40)
+    m.init(SimpleNamespace(getListState=lambda *_: waiting, getValueState=lambda *_: last, registerTimer=timers.append))
+    draw = np.random.default_rng(3)
+    rows = [(draw.choice(["a", "b", "c", None]), int(draw.integers(0, 40)) * 500, n, *(int(v) for v in draw.integers(0, 2, 3))) for n in range(200)]
+    got = []
+    for part, now in ((rows[:90], 0), (rows[90:], 7), (None, 12), (None, 30)):
+        if part is not None:
+            frame = pd.DataFrame(part, columns=["key", "ts", "id", "completed", "failed", "tiles"])
+            list(m.handleInputRows((1,), iter([frame.assign(ts=frame["ts"].astype("datetime64[us]"))]), None))
+            assert timers[-1] == min(r[1] for r in part) // 1000 + 1
+        if now:
+            for out in m.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), None):  # noqa: B023
+                got += [(None if r.key is None else str(r.key), int(r.ts.value) // 1000, r.total, r.completed, r.failed, r.pending, r.discovered_tiles) for r in out.itertuples()]
+        assert len(waiting.held) <= 2
+    want, counts = [], {}
+    for key, us, _, *added in sorted(rows, key=lambda r: r[1:]):
+        c = counts[key] = [a + b for a, b in zip(counts.get(key, [0, 0, 0]), added)]
+        if any(added):
+            want.append((key, us, 40, c[0], c[1], max(0, 40 - c[0] - c[1]), c[2]))
+    by_key = lambda rows: sorted(rows, key=lambda r: (r[0] or "", r[1:2]))
+    assert by_key(got) == by_key(want) and not waiting.held
