@@ -124,15 +124,15 @@ def micros():
 @query("""
     SELECT event_type AS kind, CASE WHEN event_id % 2 = 1 THEN 'second' END AS label, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, max(epoch_us(ts)) AS latest FROM events GROUP BY ALL""")
 def event_log_tail(spark, sf_dir):
-    """Events written to a log of files by rank, by two writers, and followed as a stream; the line that a third is still writing waits."""
+    """Events written to a log of files by rank, by two writers whose files grow in number with the table, and followed as a stream; the line that a third is still writing waits."""
     folder = commits.scratch(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     e = table(spark, sf_dir, "events")
     made = e.select("event_id", F.col("event_type").alias("kind"), F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("us"), micros().cast("string")).alias("payload"), (micros() / 1e6).alias("timestamp"))
-    logs.write(made.where("event_id % 2 = 0").repartition(3), f"{folder}/run.jsonl")
-    logs.write(made.where("event_id % 2 = 1").repartition(2), f"{folder}/run.jsonl", "second")
-    where, name = logs.system(f"{folder}/run.rank9.jsonl")
+    logs.write(made.where("event_id % 2 = 0").repartition("event_id"), f"{folder}/run.jsonl")
+    logs.write(made.where("event_id % 2 = 1").repartition("event_id"), f"{folder}/run.jsonl", "second")
+    where, name = logs.system(f"{folder}/run.rank-third.jsonl")  # no number, which a file of the others may have
     with where.open_output_stream(name) as out:
         out.write(b'{"kind": "click", "payl')
     p = F.col("payload")

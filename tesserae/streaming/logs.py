@@ -6,15 +6,15 @@ still being written waits for its end; a whole line that is no event is an error
 
 from __future__ import annotations
 
-import itertools
 import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "kind string, payload map<string,string>, timestamp double"
@@ -78,22 +78,23 @@ def lines_of(path: str, part: Bytes, start: int, end: int) -> Iterator[tuple[int
     with where.open_input_file(part.name) as f:
         # A line that began in the part before is that part's: it ends with the first newline from the byte before on.
         skip = part.start > start
-        at = part.start - skip
+        at = read = part.start - skip
         f.seek(at)
-        held, read = b"", at
+        held, begin = b"", 0
         while at < part.end:
-            cut = held.find(b"\n") + 1
+            cut = held.find(b"\n", begin) + 1
             while not cut and read < end:
                 more = f.read(min(STEP, end - read))
                 if not more:
                     raise ValueError(f"{part.name} has {read} bytes, not {end}")
+                held, begin = held[begin:], 0
                 before, read = len(held), read + len(more)
                 held += more
                 cut = held.find(b"\n", before) + 1
-            line = held[: cut or len(held)]
+            line = held[begin : cut or len(held)]
             if not skip:
                 yield at, line
-            skip, at, held = False, at + len(line), held[len(line) :]
+            skip, at, begin = False, at + len(line), begin + len(line)
 
 
 def event(line: bytes, name: str, at: int) -> tuple | None:
@@ -160,7 +161,7 @@ class Written(WriterCommitMessage):
     name: str | None
 
 
-class Sink(DataSourceWriter):
+class Sink(DataSourceArrowWriter):
     """Each task writes a file beside the log under a name that readers pass over; the commit gives them names by rank, from the first that is free."""
 
     def __init__(self, path: str, label: str | None = None) -> None:
@@ -172,19 +173,25 @@ class Sink(DataSourceWriter):
         stem, dot, ext = last.rpartition(".")
         return f"{folder}/{stem}.rank{rank}.{ext}" if dot else f"{folder}/{ext}.rank{rank}"
 
-    def write(self, rows: Iterator[Row]) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         where, name = system(self.path)
         folder, _, last = name.rpartition("/")
-        first = next(rows, None)
+        batches = (b for b in batches if b.num_rows)
+        first = next(batches, None)
         if first is None:
             return Written(None)
         made = f"{folder}/.{last}.{uuid.uuid4().hex}"
+        encode = json.JSONEncoder(sort_keys=True).encode
         with where.open_output_stream(made) as out:
-            for r in itertools.chain([first], rows):
-                payload = dict(r["payload"] or {})
-                if self.label is not None:
-                    payload.setdefault("progress_label", self.label)
-                out.write((json.dumps({"kind": r["kind"], "payload": payload, "timestamp": r["timestamp"]}, sort_keys=True) + "\n").encode())
+            while first is not None:
+                lines = []
+                for kind, entries, timestamp in zip(*(first.column(c).to_pylist() for c in ("kind", "payload", "timestamp"))):
+                    payload = dict(entries or ())
+                    if self.label is not None:
+                        payload.setdefault("progress_label", self.label)
+                    lines.append(encode({"kind": kind, "payload": payload, "timestamp": timestamp}) + "\n")
+                out.write("".join(lines).encode())
+                first = next(batches, None)
         return Written(made)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -204,14 +211,14 @@ class Sink(DataSourceWriter):
                 where.delete_file(m.name)
 
 
-class StreamSink(DataSourceStreamWriter):
+class StreamSink(DataSourceStreamArrowWriter):
     """As Sink, with the number of the batch in the names, so that a batch that is repeated replaces its own files."""
 
     def __init__(self, path: str, label: str | None = None) -> None:
         self.sink = Sink(path, label)
 
-    def write(self, rows: Iterator[Row]) -> Written:
-        return self.sink.write(rows)
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        return self.sink.write(batches)
 
     def commit(self, messages: list[Written | None], batchId: int) -> None:  # noqa: N803
         where, _ = system(self.sink.path)

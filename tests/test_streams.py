@@ -165,3 +165,25 @@ def test_monitor_counts_the_keys_of_a_bucket_apart():
             want.append((key, us, 40, c[0], c[1], max(0, 40 - c[0] - c[1]), c[2]))
     by_key = lambda rows: sorted(rows, key=lambda r: (r[0] or "", r[1:2]))
     assert by_key(got) == by_key(want) and not waiting.held
+
+
+def test_files_of_a_log_grow_in_number_with_the_table(spark, tmp_path, monkeypatch):
+    """Not three tasks for one writer and two for the other, whatever the table's size."""
+    from tesserae.plans import telemetry
+
+    (tmp_path / "log").mkdir()
+    folders = iter([str(tmp_path / "log"), str(tmp_path / "drained")])
+    monkeypatch.setattr(telemetry.commits, "scratch", lambda _: next(folders))
+    spark.range(4000, numPartitions=1).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "'click' AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(telemetry, "table", lambda spark, d, name: spark.read.parquet(f"{d}/{name}.parquet"))
+    changed = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "6"}
+    before = {name: spark.conf.get(name) for name in changed}
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    try:
+        got = {tuple(r) for r in telemetry.event_log_tail(spark, str(tmp_path)).select("kind", "label", "n", "ids").collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == {("click", None, 2000, sum(range(0, 4000, 2))), ("click", "second", 2000, sum(range(1, 4000, 2)))}
+    assert len([p for p in (tmp_path / "log").iterdir() if p.name.startswith("run.rank")]) == 13  # with the file that is still written
