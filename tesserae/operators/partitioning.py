@@ -167,14 +167,18 @@ def stratified_sample(rows: DataFrame, n: int, size: str, unit: str, seed: int =
 
 
 def trial_plan(spark, models: Sequence[str] | DataFrame, gpus: Sequence[int], batches: Sequence[int], workers: Sequence[int], repeat: int) -> DataFrame:
-    """Every combination in nested order, with one warm-up and then `repeat` measured runs each. models: names in order, or a table with the column model, which is then in order of names."""
-    axes = [("model", models), ("num_gpus", gpus), ("batch_size", batches), ("workers", workers)]
-    out = spark.range(1).select()
+    """Every combination in nested order, with one warm-up and then `repeat` measured runs each. models: names in order, or a table with the column model, which is then in order of names.
+
+    Of a table only its distinct names are sorted, with their counts; combinations are made of them in order, after the sort.
+    """
     if isinstance(models, DataFrame):
-        out, axes[0] = models.select("model", F.col("model").alias("_model")), ("model", None)
-    for name, values in axes:
-        if values is not None:
-            out = out.select("*", F.posexplode(F.array(*(F.lit(v) for v in values))).alias(f"_{name}", name))
+        out, axes = models.groupBy("model").agg(F.count("*").alias("_n")).orderBy("model"), []
+    else:
+        out, axes = spark.range(1).select(F.lit(1).cast("long").alias("_n")), [("model", models)]
+    for name, values in [*axes, ("num_gpus", gpus), ("batch_size", batches), ("workers", workers)]:
+        out = out.select("*", F.explode(F.array(*(F.lit(v) for v in values))).alias(name))
     out = out.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeat))).alias("repeat_index"))
+    # A name that stands in several rows has each combination as often.
+    out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     kind = F.when(F.col("repeat_index") == 0, "warmup").otherwise("measured")
-    return out.orderBy(*(f"_{n}" for n, _ in axes), "repeat_index").select(*(n for n, _ in axes), kind.alias("kind"), "repeat_index")
+    return out.select("model", "num_gpus", "batch_size", "workers", kind.alias("kind"), "repeat_index")

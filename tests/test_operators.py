@@ -184,3 +184,12 @@ def test_artifacts(spark, tmp_path):
     meta = {r["sample_id"]: (r["num_tiles"], r["feature_dim"]) for r in artifacts.read_metadata(spark, root, "tile_embeddings").collect()}
     assert meta == {"a": (2, 2), "b": (1, 2), "c": (0, None)}
     assert artifacts.read(spark, root, "tile_embeddings").count() == 3
+
+
+def test_trial_plan_sorts_names_alone(spark):
+    """Sorted were all combinations, which are many times the names; a name that is given twice still has each twice, side by side."""
+    plan = partitioning.trial_plan(spark, spark.createDataFrame([("b",), ("a",), ("b",)], "model string"), [1, 2], [64], [4, 8], 1)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Generate") < text.index("Sort")
+    want = [(m, g, 64, w, k, r) for m, n in (("a", 1), ("b", 2)) for g in (1, 2) for w in (4, 8) for r, k in enumerate(("warmup", "measured")) for _ in range(n)]
+    assert [tuple(r) for r in plan.collect()] == want
