@@ -44,6 +44,16 @@ def each_label(rows, write) -> None:
     rows.repartition(ways, "label").groupBy("label").applyInPandas(write, "label int").count()
 
 
+def numbered(rows: DataFrame, n: str, name: str, block: int = 1024) -> DataFrame:
+    """A row for each number (name) from 0 to n - 1 in place of one with their count n; none where n is null or under 1.
+
+    Numbers are made in blocks, which are dealt by number of partitions: Spark would make all numbers of few rows in one task.
+    """
+    ways, others = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), [c for c in rows.columns if c != n]
+    blocks = rows.where(F.col(n) > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1, F.lit(block).cast("long"))).alias("_first"))
+    return blocks.repartition(ways, *others, "_first").select(*others, F.explode(F.sequence("_first", F.least(F.col("_first") + (block - 1), F.col(n).cast("long") - 1))).alias(name))
+
+
 def tiles(spark, sf_dir) -> DataFrame:
     """sample, tile_index, x, y, label, status of every tile."""
     w = Window.partitionBy("l_orderkey").orderBy(*TILE_ORDER)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import expressions as X
 from tesserae.operators import coverage, spatial
-from tesserae.plans.catalogue import each_label, query, table
+from tesserae.plans.catalogue import each_label, numbered, query, table
 from tesserae.plans.grids import patch_ranges
 from tesserae.plans.pipeline import Model, Pipeline
 from tesserae.sources import commits, regions, tars, tensors, tiff
@@ -81,9 +81,9 @@ def pyramid_squares(spark, sf_dir):
     """Squares of 10 pixels of both levels, across the seams of tiles, through the opener of pyramids."""
     folder = pyramids(spark, sf_dir)
     tops = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    steps = lambda n: F.explode(F.sequence(F.lit(0), F.floor((n - 1) / 10)))
     levels = tops.select("label", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("level")).select("*", F.when(F.col("level") == 0, F.lit(64)).otherwise(32).alias("across"), F.when(F.col("level") == 0, F.col("n")).otherwise(F.ceil(F.col("n") / 2)).alias("down"))
-    squares = levels.select("*", steps(F.col("across")).alias("sx")).select("*", (F.col("sx") * 10).cast("long").alias("left_px"), steps(F.col("down")).alias("sy")).withColumn("top_px", (F.col("sy") * 10).cast("long"))
+    columns = levels.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("across") - 1) / 10))).alias("sx"), F.ceil(F.col("down") / 10).alias("steps"))
+    squares = numbered(columns, "steps", "sy").withColumns({"left_px": (F.col("sx") * 10).cast("long"), "top_px": F.col("sy") * 10})
     # Places are given at level 0; of n rows the second level has ceil(n / 2).
     up = lambda at, whole, part: F.ceil(F.col(at) * whole / part).cast("long")
     requests = squares.select(F.concat(F.lit(folder + "/"), F.col("label"), F.lit(".tif")).alias("image_path"), "label", "level", "left_px", "top_px", up("left_px", F.lit(64), F.col("across")).alias("x"), up("top_px", F.col("n"), F.col("down")).alias("y"), F.lit(10).alias("read_px"))
@@ -97,8 +97,8 @@ def pyramid_squares(spark, sf_dir):
 def dense_regions(spark, sf_dir):
     """Regions of 8 x 8 pixels of pyramids to stored grids, from windows that overlap; a second run resumes one that had done the left column only."""
     folder = pyramids(spark, sf_dir)
-    tops = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.floor(F.count("*") / 8).alias("rows")).where("rows > 0")
-    places = tops.select("label", "rows", F.explode(F.sequence(F.lit(0), F.lit(56), F.lit(8))).alias("x")).select("label", "x", F.explode(F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: i * 8)).alias("y"))
+    tops = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.floor(F.count("*") / 8).alias("rows"))
+    places = numbered(tops.select("label", "rows", F.explode(F.sequence(F.lit(0), F.lit(56), F.lit(8))).alias("x")), "rows", "row").withColumn("y", F.col("row") * 8)
     named = places.select(F.col("label").cast("string").alias("sample_id"), F.lit(None).cast("string").alias("annotation"), F.col("x").cast("long"), "y", F.lit(0).alias("level"), F.lit(8).alias("read_px"), F.concat(F.lit(folder + "/"), "label", F.lit(".tif")).alias("image_path"))
     run = lambda requests: Pipeline(Model.from_preset("patches", registry=patch_ranges()), folder, resume=True).run_dense(requests, regions.opener("tiff"), 8, window=6, overlap=0.5, pad_mode="replicate", supertile=2)
     run(named.where("x = 0"))
@@ -125,7 +125,7 @@ def tar_tiles(spark, sf_dir):
         return pd.DataFrame({"label": [key[0]]})
 
     each_label(rows, write)
-    wanted = rows.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").cast("string").alias("sample_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("tile_index")).where("tile_index % 3 = 1")
+    wanted = numbered(rows.groupBy("label").agg(F.count("*").alias("n")), "n", "tile_index").where("tile_index % 3 = 1").select(F.col("label").cast("string").alias("sample_id"), "tile_index")
     return tars.tiles(spark, folder, wanted).select(F.col("sample_id").cast("int").alias("label"), "tile_index", "name", byte_sum("content").alias("total"))
 
 

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.plans.catalogue import each_label
+from tesserae.plans import storing
+from tesserae.plans.catalogue import each_label, numbered
+from tesserae.plans.pipeline import Pipeline
 from tesserae.sources import regions
 
 
@@ -90,3 +92,26 @@ def test_labels_are_dealt_to_many_tasks(spark, tmp_path):
     made = {p.name.split(".")[0]: p.read_text() for p in tmp_path.iterdir()}
     assert made == {str(k): f"{k},{k + 10},{k + 20}" for k in range(10)}
     assert len({p.suffix for p in tmp_path.iterdir()}) > 1
+
+
+def test_requests_are_made_by_many_tasks(spark, monkeypatch):
+    """All requests of dense_regions were made from counts of labels in one task."""
+    asked = []
+
+    def run_dense(self, requests, *more, **others):
+        asked.append(requests)
+        raise InterruptedError
+
+    monkeypatch.setattr(Pipeline, "run_dense", run_dense)
+    with pytest.raises(InterruptedError):
+        storing.dense_regions(spark, "/root/testdata/sf0.001")
+    got = asked[0].select(F.spark_partition_id().alias("task"), "sample_id", "x", "y").collect()
+    counts = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").groupBy("label").count().collect()
+    assert sorted((r.sample_id, r.x, r.y) for r in got) == sorted((str(c.label), 0, y) for c in counts for y in range(0, c["count"] // 8 * 8, 8))
+    assert len({r.task for r in got}) > 1
+
+
+def test_numbers_in_blocks(spark):
+    df = spark.createDataFrame([("a", 7), ("b", 0), ("c", 1), (None, 3), ("d", None), ("e", 6), ("e", 6)], "k string, n int")
+    got = sorted(map(tuple, numbered(df, "n", "i", 3).collect()), key=str)
+    assert got == sorted([(k, i) for k, n in (("a", 7), ("c", 1), (None, 3), ("e", 6), ("e", 6)) for i in range(n)], key=str)
